@@ -41,3 +41,9 @@ def staged(df: DataFrame, folder: str) -> DataFrame:
     """
     df.write.mode("error").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Remove a work folder once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

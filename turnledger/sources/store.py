@@ -172,7 +172,7 @@ def _append(rows: DataFrame, path: str, fmt: str) -> None:
 def append_events(events: DataFrame, store: str, fmt: str = "parquet") -> None:
     """Append events to their months. Rows carry ``month`` and ``seq``."""
     columns = [*EVENT_COLUMNS, "seq", "month"]
-    _append(events.select(*columns), events_path(store), fmt)
+    _append(laid_out(events.select(*columns)), events_path(store), fmt)
 
 
 def append_prompts(
@@ -183,7 +183,7 @@ def append_prompts(
         prompts = prompts.withColumn("text", F.lit(None).cast("string"))
     rows = prompts.withColumn("text_indexed", F.col("text").isNotNull())
     columns = [*PROMPT_COLUMNS, "text_indexed", "seq", "month"]
-    _append(rows.select(*columns), prompts_path(store), fmt)
+    _append(laid_out(rows.select(*columns)), prompts_path(store), fmt)
 
 
 def append_cursors(files: DataFrame, store: str, adapter: str, now_ms: int) -> None:
@@ -198,16 +198,24 @@ def append_cursors(files: DataFrame, store: str, adapter: str, now_ms: int) -> N
     rows.write.mode("append").parquet(cursors_path(store))
 
 
-def in_append_order(rows: DataFrame, order: list[str], after: Column) -> DataFrame:
-    """Number rows by month and source order, spread over tasks by ranges.
+def in_append_order(rows: DataFrame, order: list[str], first: int) -> DataFrame:
+    """Number rows by month and source order, from ``first`` on.
 
-    Ranges cut a month that holds most rows into several files and keep small
-    months together, so neither few huge nor many tiny files are written. Row
-    numbers rise with the range and within it.
+    Ranges spread a month that holds most rows over many tasks. Numbers rise
+    from range to range and within each, and are not consecutive.
     """
     place = ["month", *order]
     return (
         rows.repartitionByRange(*place)
         .sortWithinPartitions(*place)
-        .withColumn("seq", after + F.monotonically_increasing_id())
+        .withColumn("seq", F.lit(first) + F.monotonically_increasing_id())
     )
+
+
+def laid_out(rows: DataFrame) -> DataFrame:
+    """Rows in ranges of month and append order, ready to be written.
+
+    A month that holds most rows becomes several files and small months share a
+    task, so neither few huge files nor many tiny ones are written.
+    """
+    return rows.repartitionByRange("month", "seq").sortWithinPartitions("month", "seq")

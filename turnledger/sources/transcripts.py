@@ -96,21 +96,26 @@ def read_lines(
         .option("ignoreMissingFiles", True)
         .text(root)
     )
-    return with_place(lines, modified_from)
-
-
-def with_place(lines: DataFrame, modified_from: int | None = None) -> DataFrame:
     if modified_from is not None:
         since = F.timestamp_millis(F.lit(modified_from))
         lines = lines.where(F.col("_metadata.file_modification_time") >= since)
+    return numbered(located_lines(lines))
+
+
+def located_lines(lines: DataFrame) -> DataFrame:
+    """Lines of a text scan with the file and block they were read from."""
     return lines.select(
         "value",
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_id"),
     )
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """Number lines as scanned. Must come before anything that moves rows."""
+    return lines.withColumn("line_id", F.monotonically_increasing_id())
+
+
 def _node(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 
