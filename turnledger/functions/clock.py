@@ -10,6 +10,7 @@ DAY_MS = 86_400_000
 _UNIT_MS = {"m": 60_000, "h": 3_600_000, "d": DAY_MS, "w": 7 * DAY_MS}
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
+_INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:[0-5]\d)$"
 _RFC3339 = (
     r"^(\d{4}-\d{2}-\d{2})[Tt ](\d{2}:\d{2}:)(\d{2})(\.\d+)?"
     r"(?:[Zz]|([+-])([01]\d|2[0-3]):([0-5]\d))$"
@@ -18,8 +19,7 @@ _RFC3339 = (
 
 def day_of(ts: Column) -> Column:
     """UTC day, ``yyyy-MM-dd``."""
-    days = ((ts - F.pmod(ts, F.lit(DAY_MS))) / DAY_MS).cast("int")
-    return F.date_from_unix_date(days).cast("string")
+    return F.date_from_unix_date(F.floor(ts / DAY_MS).cast("int")).cast("string")
 
 
 def month_of(ts: Column) -> Column:
@@ -37,29 +37,31 @@ def rfc3339_millis(text: Column) -> Column:
     """Epoch milliseconds of a timestamp that states its offset, else NULL.
 
     Spark's own cast also takes bare dates and local times; those are not
-    points in time and must not be guessed at. A leap second (``:60``) is the
-    second after ``:59``.
+    points in time and must not be guessed at.
+    """
+    usual = F.when(text.rlike(_INSTANT), F.unix_millis(F.try_to_timestamp(text)))
+    return F.coalesce(usual, F.when(text.rlike(_RFC3339), _unusual_millis(text)))
+
+
+def _unusual_millis(text: Column) -> Column:
+    """Forms the cast does not know: small letters, leap seconds, far offsets.
+
+    A leap second (``:60``) is the second after ``:59``.
     """
 
     def part(group: int) -> Column:
         return F.regexp_extract(text, _RFC3339, group)
 
     leap = part(3) == "60"
-    local = F.concat(
-        part(1),
-        F.lit("T"),
-        part(2),
-        F.when(leap, F.lit("59")).otherwise(part(3)),
-        part(4),
-        F.lit("Z"),
-    )
+    second = F.when(leap, F.lit("59")).otherwise(part(3))
+    local = F.concat(part(1), F.lit("T"), part(2), second, part(4), F.lit("Z"))
     offset_ms = F.when(
         part(5) != "",
         F.when(part(5) == "-", -1).otherwise(1)
         * (part(6).cast("int") * 3_600_000 + part(7).cast("int") * 60_000),
     ).otherwise(0)
-    millis = F.unix_millis(F.try_to_timestamp(local)) - offset_ms
-    return F.when(text.rlike(_RFC3339), millis + F.when(leap, 1000).otherwise(0))
+    utc = F.unix_millis(F.try_to_timestamp(local)) - offset_ms
+    return utc + F.when(leap, 1000).otherwise(0)
 
 
 def _month_text(ms: int) -> str | None:

@@ -29,13 +29,14 @@ from turnledger.operators.pricing import (
 from turnledger.operators.scope import Scope, located, scanned
 from turnledger.operators.tool_use import calls, file_calls, file_targets
 from turnledger.operators.totals import (
-    SUMMED,
+    exact_sum,
     group_total_tokens,
     heaviest_first,
     merged,
     per_session,
     published,
     rollup,
+    summed,
 )
 from turnledger.schemas import TOKEN_COLUMNS
 
@@ -109,7 +110,7 @@ def sessions(
         with_group_costs(groups, prices)
         .groupBy("session_id")
         .agg(
-            *[F.sum(name).alias(name) for name in SUMMED],
+            *summed(),
             F.min("first_ts").alias("first_ts"),
             F.max("last_ts").alias("last_ts"),
             F.sum("duration_ms").alias("duration_ms"),
@@ -165,7 +166,7 @@ def attributed_files(events: DataFrame, prices: DataFrame, scope: Scope = Scope(
     """Usage split evenly over the files each event touched, for every file.
 
     Attribution, not measurement. Counts are summed as whole numbers per split
-    size and divided after, so the result does not depend on task order.
+    size and divided once.
     """
     touched = file_calls(scanned(events, scope))
     # Only the first call on a file carries the event's share; later calls on
@@ -183,7 +184,8 @@ def attributed_files(events: DataFrame, prices: DataFrame, scope: Scope = Scope(
     )
 
     def share(name: str) -> Column:
-        return F.sum(F.col(name) / F.col("files"))
+        whole = F.col(name) if name == "cost" else F.col(name).cast("decimal(19,0)")
+        return exact_sum(whole / F.col("files"))
 
     return (
         with_group_costs(groups, prices)
@@ -199,14 +201,18 @@ def attributed_files(events: DataFrame, prices: DataFrame, scope: Scope = Scope(
 
 
 def files(
-    events: DataFrame, prices: DataFrame, scope: Scope = Scope(), limit: int = FILES_SHOWN
+    events: DataFrame,
+    prices: DataFrame,
+    scope: Scope = Scope(),
+    limit: int | None = FILES_SHOWN,
 ) -> DataFrame:
-    """The files with the most attributed tokens."""
+    """The files with the most attributed tokens; all of them without a limit."""
+    ranked = attributed_files(events, prices, scope).orderBy(
+        group_total_tokens().desc(), F.col("file").asc()
+    )
+    shown = ranked if limit is None else ranked.limit(limit)
     return (
-        attributed_files(events, prices, scope)
-        .orderBy(group_total_tokens().desc(), F.col("file").asc())
-        .limit(limit)
-        .select(
+        shown.select(
             "file",
             F.lit(SPLIT_METHOD).alias("method"),
             F.lit(True).alias("attributed"),

@@ -42,7 +42,7 @@ def _calls_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("src/f"), (part % 300).cast("string"), F.lit(".rs")))
     )
     call = F.struct("l_linenumber", name.alias("tool_name"), target.alias("tool_target"))
-    ordered = F.array_sort(F.collect_list(call))
+    ordered = F.sort_array(F.collect_list(call))
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("event_id"))

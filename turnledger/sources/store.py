@@ -1,8 +1,8 @@
 """The store: events and prompts by UTC month, cursors as a log.
 
-Parquet is the native format. ``fmt="json"`` writes the same layout as JSON
-lines for other tools, and :func:`read_month_files` reads a store kept as one
-JSON-lines file per month.
+Parquet is the native format. ``fmt="json"`` keeps the same layout as JSON lines
+for other tools, and ``month_files`` reads a store of one JSON-lines file per
+month, such as a command-line tool would append to.
 """
 
 from pyspark.errors import AnalysisException
@@ -42,27 +42,40 @@ def cursors_path(store: str) -> str:
 
 def _load(
     spark: SparkSession, path: str, fmt: str, schema: T.StructType, **options
-) -> DataFrame:
-    """A table with a fixed schema; a store not written yet is empty."""
+) -> DataFrame | None:
+    """A table read with a fixed schema; None if nothing was written there yet."""
+    reader = spark.read.format(fmt).schema(schema).options(ignoreMissingFiles=True, **options)
     try:
-        return (
-            spark.read.format(fmt)
-            .schema(schema)
-            .options(ignoreMissingFiles=True, **options)
-            .load(path)
-        )
+        return reader.load(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], schema)
+        return None
 
 
-def _with_json_options(fmt: str, schema: T.StructType) -> tuple[T.StructType, dict]:
-    if fmt != "json":
-        return schema, {}
-    return (
-        T.StructType([*schema.fields, _CORRUPT]),
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT.name},
+def _load_lines(
+    spark: SparkSession, path: str, schema: T.StructType, **options
+) -> DataFrame | None:
+    """JSON lines, with the text of a line that does not decode in ``_corrupt``."""
+    with_text = T.StructType([*schema.fields, _CORRUPT])
+    keep = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT.name}
+    return _load(spark, path, "json", with_text, **keep, **options)
+
+
+def _load_month_files(
+    spark: SparkSession, path: str, schema: T.StructType, window: Window
+) -> DataFrame | None:
+    """Lines of ``yyyy-MM.jsonl`` files; other files and months are not opened."""
+    rows = _load_lines(spark, path, schema, pathGlobFilter="*.jsonl")
+    if rows is None:
+        return None
+    month = F.regexp_extract("_metadata.file_name", _MONTH_FILE, 1)
+    # Blocks of one file follow each other, and so do rows within a block.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.where((month != "") & window.months(month)).select(
+        "*",
+        (F.col("_metadata.file_block_start") + place).alias("seq"),
+        month.alias("month"),
     )
 
 
@@ -75,90 +88,94 @@ def is_event() -> Column:
     usable = F.col(_CORRUPT.name).isNull()
     for name in REQUIRED_EVENT_FIELDS:
         usable = usable & F.col(name).isNotNull()
-    for name in COUNT_FIELDS:
+    for name in ["v", *COUNT_FIELDS]:
         usable = usable & F.coalesce(F.col(name) >= 0, F.lit(True))
     named = F.forall("tool_calls", lambda call: call["tool_name"].isNotNull())
-    return usable & (F.col("v") >= 0) & F.coalesce(named, F.lit(True))
+    return usable & F.coalesce(named, F.lit(True))
+
+
+def read_event_lines(
+    spark: SparkSession, store: str, window: Window = Window(), month_files: bool = False
+) -> DataFrame:
+    """Lines of an event store kept as JSON, with whether each is ``usable``.
+
+    The store has a folder per month, or with ``month_files`` one file per
+    month. Lines that are no events count in :func:`scan_stats`.
+    """
+    path = events_path(store)
+    schema = T.StructType([*STORED_EVENT.fields, MONTH])
+    if month_files:
+        rows = _load_month_files(spark, path, EVENT, window)
+    else:
+        rows = _load_lines(spark, path, schema)
+    if rows is None:
+        usable = T.StructField("usable", T.BooleanType())
+        return spark.createDataFrame([], T.StructType([*schema.fields, usable]))
+    rows = rows if month_files else rows.where(window.months(F.col("month")))
+    return rows.withColumn("usable", is_event()).drop(_CORRUPT.name)
 
 
 def read_events(
-    spark: SparkSession, store: str, window: Window = Window(), fmt: str = "parquet"
+    spark: SparkSession,
+    store: str,
+    window: Window = Window(),
+    fmt: str = "parquet",
+    month_files: bool = False,
 ) -> DataFrame:
     """Stored events of the months a period touches, with ``month`` and ``seq``."""
-    schema, options = _with_json_options(fmt, T.StructType([*STORED_EVENT.fields, MONTH]))
-    rows = _load(spark, events_path(store), fmt, schema, **options)
-    rows = rows.where(window.months(F.col("month")))
-    if fmt == "json":
-        rows = rows.where(is_event()).drop(_CORRUPT.name)
-    return rows
+    if fmt == "json" or month_files:
+        lines = read_event_lines(spark, store, window, month_files)
+        return lines.where("usable").drop("usable")
+    schema = T.StructType([*STORED_EVENT.fields, MONTH])
+    rows = _load(spark, events_path(store), fmt, schema)
+    if rows is None:
+        return spark.createDataFrame([], schema)
+    return rows.where(window.months(F.col("month")))
 
 
 def read_prompts(
-    spark: SparkSession, store: str, window: Window = Window(), fmt: str = "parquet"
+    spark: SparkSession,
+    store: str,
+    window: Window = Window(),
+    fmt: str = "parquet",
+    month_files: bool = False,
 ) -> DataFrame:
-    """Stored prompts of the months a period touches; bad lines are dropped."""
-    schema, options = _with_json_options(fmt, T.StructType([*STORED_PROMPT.fields, MONTH]))
-    rows = _load(spark, prompts_path(store), fmt, schema, **options)
-    rows = rows.where(window.months(F.col("month")))
-    if fmt == "json":
-        usable = F.col("event_id").isNotNull() & F.col("text_hash").isNotNull()
-        rows = rows.where(F.col(_CORRUPT.name).isNull() & usable).drop(_CORRUPT.name)
+    """Stored prompts of the months a period touches; bad lines are left out."""
+    schema = T.StructType([*STORED_PROMPT.fields, MONTH])
+    path = prompts_path(store)
+    if month_files:
+        rows = _load_month_files(spark, path, PROMPT, window)
+    elif fmt == "json":
+        rows = _load_lines(spark, path, schema)
+    else:
+        rows = _load(spark, path, fmt, schema)
+    if rows is None:
+        return spark.createDataFrame([], schema)
+    if not month_files:
+        rows = rows.where(window.months(F.col("month")))
+    if _CORRUPT.name in rows.columns:
+        decoded = F.col(_CORRUPT.name).isNull()
+        usable = decoded & F.col("event_id").isNotNull() & F.col("text_hash").isNotNull()
+        rows = rows.where(usable).drop(_CORRUPT.name)
+    if month_files:
+        rows = rows.withColumn("text_indexed", F.col("text").isNotNull())
     return rows
 
 
 def read_cursors(spark: SparkSession, store: str) -> DataFrame:
-    return _load(spark, cursors_path(store), "parquet", CURSOR)
-
-
-def _month_lines(spark: SparkSession, path: str, schema: T.StructType, window: Window):
-    """Lines of ``yyyy-MM.jsonl`` files, other files and months never opened."""
-    schema, options = _with_json_options("json", schema)
-    rows = _load(spark, path, "json", schema, pathGlobFilter="*.jsonl", **options)
-    if "_metadata" not in rows.columns and rows.inputFiles() == []:
-        return rows.withColumns({"month": F.lit(""), "seq": F.lit(0), "file": F.lit("")})
-    month = F.regexp_extract("_metadata.file_name", _MONTH_FILE, 1)
-    # Blocks of one file follow each other, and so do rows within a block.
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.where((month != "") & window.months(month)).select(
-        *schema.fieldNames(),
-        month.alias("month"),
-        (F.col("_metadata.file_block_start") + place).alias("seq"),
-        F.col("_metadata.file_name").alias("file"),
-    )
-
-
-def read_month_files(spark: SparkSession, store: str, window: Window = Window()) -> DataFrame:
-    """Events of a JSON-lines store, unusable lines included and marked.
-
-    ``usable`` says whether a line is an event; take
-    ``where("usable")`` for reports and :func:`scan_stats` for the counts.
-    """
-    rows = _month_lines(spark, events_path(store), EVENT, window)
-    return rows.withColumn("usable", is_event()).drop(_CORRUPT.name)
-
-
-def read_month_file_prompts(
-    spark: SparkSession, store: str, window: Window = Window()
-) -> DataFrame:
-    """Prompts of a JSON-lines store; bad lines are passed over in silence."""
-    rows = _month_lines(spark, prompts_path(store), PROMPT, window)
-    usable = F.col("event_id").isNotNull() & F.col("text_hash").isNotNull()
-    return (
-        rows.where(F.col(_CORRUPT.name).isNull() & usable)
-        .withColumn("text_indexed", F.col("text").isNotNull())
-        .drop(_CORRUPT.name, "file")
-    )
+    rows = _load(spark, cursors_path(store), "parquet", CURSOR)
+    return spark.createDataFrame([], CURSOR) if rows is None else rows
 
 
 def scan_stats(
     lines: DataFrame, window: Window = Window(), project: str | None = None
 ) -> DataFrame:
-    """One row of what a scan of :func:`read_month_files` read and left out."""
+    """One row of what a scan of :func:`read_event_lines` read and left out."""
     wanted = window.holds(F.col("ts"))
     if project is not None:
         wanted = wanted & F.col("project").eqNullSafe(project)
     return lines.agg(
-        F.count_distinct("file").alias("partitions_read"),
+        F.count_distinct("month").alias("partitions_read"),
         F.count("*").alias("lines_read"),
         F.count_if(~F.col("usable")).alias("lines_skipped"),
         F.count_if(F.col("usable") & ~wanted).alias("events_filtered"),

@@ -116,57 +116,82 @@ def numbered(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line_id", F.monotonically_increasing_id())
 
 
-def _node(value: Column, path: str) -> Column:
-    return F.try_variant_get(value, path, "variant")
+# Fields a record is made of. Every leaf stays a variant, which keeps its JSON
+# type; all other fields are passed over by the JSON reader.
+_LINE = """
+    line STRUCT<
+        type VARIANT, timestamp VARIANT, uuid VARIANT, sessionId VARIANT,
+        requestId VARIANT, cwd VARIANT, isSidechain VARIANT, message VARIANT>,
+    complete BOOLEAN,
+    malformed STRING
+"""
+_LINE_OPTIONS = {
+    "columnNameOfCorruptRecord": "malformed",
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+}
+_MESSAGE = """
+    STRUCT<
+        model VARIANT, stop_reason VARIANT,
+        usage STRUCT<
+            input_tokens VARIANT, output_tokens VARIANT,
+            cache_read_input_tokens VARIANT, cache_creation_input_tokens VARIANT>>
+"""
+_TARGETS = ", ".join(f"`{key}` VARIANT" for key in TARGET_KEYS)
+_BLOCKS = f"""
+    ARRAY<STRUCT<type VARIANT, name VARIANT, text VARIANT, input STRUCT<{_TARGETS}>>>
+"""
 
 
-def _typed(value: Column, path: str, json_type: str, sql_type: str) -> Column:
-    is_type = F.schema_of_variant(_node(value, path)) == json_type
-    return F.when(is_type, F.try_variant_get(value, path, sql_type))
+def _decoded(line: Column) -> Column:
+    """The JSON object of a line.
 
+    The line is read as a value inside an object. Anything left over after its
+    own closing brace, such as a second record run into it, then is an error
+    instead of being ignored.
+    """
+    wrapped = F.concat(F.lit('{"line":'), line, F.lit(',"complete":true}'))
+    return F.from_json(wrapped, _LINE, _LINE_OPTIONS)
 
-def _string(value: Column, path: str) -> Column:
-    return _typed(value, path, "STRING", "string")
 
+def _typed(leaf: Column, json_type: str, sql_type: str) -> Column:
+    is_type = F.schema_of_variant(leaf) == json_type
+    return F.when(is_type, F.try_variant_get(leaf, "$", sql_type))
 
-def _count(value: Column, path: str) -> Column:
-    count = _typed(value, path, "BIGINT", "bigint")
-    return F.when(count >= 0, count)
+
+def _string(leaf: Column) -> Column:
+    return _typed(leaf, "STRING", "string")
 
 
-def _blocks(doc: Column, block_type: str) -> Column:
-    blocks = F.try_variant_get(doc, "$.message.content", "array<variant>")
-    return F.filter(blocks, lambda block: _string(block, "$.type") == block_type)
+def _count(leaf: Column) -> Column:
+    count = _typed(leaf, "BIGINT", "bigint")
+    return F.when(count >= 0, count)
 
 
-def _tool_calls(doc: Column) -> Column:
+def _tool_calls(blocks: Column) -> Column:
     """Tools a message used; the target is the first key that holds a string."""
 
     def call(block: Column) -> Column:
-        target = F.coalesce(*[_string(block, f"$.input.{key}") for key in TARGET_KEYS])
+        target = F.coalesce(*[_string(block["input"][key]) for key in TARGET_KEYS])
         return F.struct(
-            _string(block, "$.name").alias("tool_name"),
+            _string(block["name"]).alias("tool_name"),
             F.nullif(target, F.lit("")).alias("tool_target"),
         )
 
-    named = F.filter(
-        F.transform(_blocks(doc, "tool_use"), call), lambda made: made["tool_name"].isNotNull()
-    )
+    used = F.filter(blocks, lambda block: _string(block["type"]) == "tool_use")
+    named = F.filter(F.transform(used, call), lambda made: made["tool_name"].isNotNull())
     return F.coalesce(named, F.array()).cast(TOOL_CALLS)
 
 
-def _prompt_text(doc: Column) -> Column:
+def _prompt_text(message: Column, blocks: Column) -> Column:
     """What a person typed: a bare string, or the text blocks of a list."""
-    content = _node(doc, "$.message.content")
-    blocks = F.try_variant_get(doc, "$.message.content", "array<variant>")
+    parts = F.filter(blocks, lambda block: _string(block["type"]) == "text")
     texts = F.filter(
-        F.transform(_blocks(doc, "text"), lambda block: _string(block, "$.text")),
+        F.transform(parts, lambda block: _string(block["text"])),
         lambda text: text.isNotNull(),
     )
-    text = F.when(blocks.isNotNull(), F.array_join(texts, "\n")).when(
-        F.schema_of_variant(content) == "STRING",
-        F.try_variant_get(doc, "$.message.content", "string"),
-    )
+    bare = _string(F.try_variant_get(message, "$.content", "variant"))
+    text = F.when(blocks.isNotNull(), F.array_join(texts, "\n")).otherwise(bare)
     return F.when(trim(text) != "", text)
 
 
@@ -185,52 +210,60 @@ def parse_lines(
     usage) or ``unparseable``; the other columns are filled for records.
     """
     kept = [name for name in lines.columns if name != "value"]
-    doc = F.col("_doc")
+    line, message, blocks = F.col("_json.line"), F.col("_json.line.message"), F.col("_blocks")
+    well_formed = F.col("_json.malformed").isNull() & F.col("_json.complete")
     typed = (
-        lines.withColumn("_doc", F.try_parse_json("value"))
-        .withColumn("_type", _string(doc, "$.type"))
-        .withColumn("_ts", rfc3339_millis(_string(doc, "$.timestamp")))
-    )
-    status = (
-        F.when(trim(F.col("value")) == "", "skipped")
-        .when(F.col("_type").isNull(), "unparseable")
-        .when(~F.col("_type").isin(INGESTED_TYPES), "skipped")
-        .when(F.col("_ts").isNull(), "unparseable")
-        .otherwise("record")
+        lines.withColumn("_json", _decoded(F.col("value")))
+        .withColumns(
+            {
+                "_type": F.when(well_formed, _string(line["type"])),
+                "_timestamp": _string(line["timestamp"]),
+                "_session": _string(line["sessionId"]),
+                "_uuid": _string(line["uuid"]),
+                "_cwd": _string(line["cwd"]),
+                "_message": F.try_variant_get(message, "$", _MESSAGE),
+                "_blocks": F.try_variant_get(message, "$.content", _BLOCKS),
+            }
+        )
+        .withColumn("_ts", rfc3339_millis(F.col("_timestamp")))
+        .withColumn(
+            "status",
+            F.when(trim(F.col("value")) == "", "skipped")
+            .when(F.col("_type").isNull(), "unparseable")
+            .when(~F.col("_type").isin(INGESTED_TYPES), "skipped")
+            .when(F.col("_ts").isNull(), "unparseable")
+            .otherwise("record"),
+        )
     )
-    ts, role = F.col("_ts"), F.col("_type")
-    session = _string(doc, "$.sessionId")
+    ts, role, usage = F.col("_ts"), F.col("_type"), F.col("_message.usage")
+    session = F.col("_session")
     by_assistant = role == "assistant"
     fields = {
         "v": F.lit(RECORD_VERSION),
-        "id": event_id(F.lit(agent), session, _string(doc, "$.uuid"), ts, role),
+        "id": event_id(F.lit(agent), session, F.col("_uuid"), ts, role),
         "ts": ts,
         "agent": F.lit(agent),
         "provider": F.lit(provider),
-        "model": _string(doc, "$.message.model"),
-        "project": project_of(_string(doc, "$.cwd")),
+        "model": _string(F.col("_message.model")),
+        "project": project_of(F.col("_cwd")),
         "session_id": session,
-        "turn_id": _string(doc, "$.requestId"),
+        "turn_id": _string(line["requestId"]),
         "role": role,
-        "input_tok": F.when(by_assistant, _count(doc, "$.message.usage.input_tokens")),
-        "output_tok": F.when(by_assistant, _count(doc, "$.message.usage.output_tokens")),
-        "cache_read_tok": F.when(
-            by_assistant, _count(doc, "$.message.usage.cache_read_input_tokens")
-        ),
-        "cache_write_tok": F.when(
-            by_assistant, _count(doc, "$.message.usage.cache_creation_input_tokens")
-        ),
+        "input_tok": F.when(by_assistant, _count(usage["input_tokens"])),
+        "output_tok": F.when(by_assistant, _count(usage["output_tokens"])),
+        "cache_read_tok": F.when(by_assistant, _count(usage["cache_read_input_tokens"])),
+        "cache_write_tok": F.when(by_assistant, _count(usage["cache_creation_input_tokens"])),
         "duration_ms": F.lit(None).cast("long"),
-        "stop_reason": _string(doc, "$.message.stop_reason"),
+        "stop_reason": _string(F.col("_message.stop_reason")),
         "cost_est": F.lit(None).cast("double"),
-        "tool_calls": _tool_calls(doc),
-        "is_sidechain": _typed(doc, "$.isSidechain", "BOOLEAN", "boolean"),
+        "tool_calls": _tool_calls(blocks),
+        "is_sidechain": _typed(line["isSidechain"], "BOOLEAN", "boolean"),
     }
     is_record = F.col("status") == "record"
-    return typed.withColumn("status", status).select(
+    return typed.select(
         *kept,
         "status",
         *[F.when(is_record, fields[name]).alias(name) for name in EVENT_COLUMNS],
-        F.when(is_record & (role == "user"), _prompt_text(doc)).alias("prompt_text"),
+        F.when(is_record & (role == "user"), _prompt_text(message, blocks)).alias("prompt_text"),
         F.when(is_record, month_of(ts)).alias("month"),
     )
