@@ -162,8 +162,18 @@ def suggest_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.lookup(groups, wanted).select("id", "text_hash", "count", "last_ts")
 
 
+def _ordered(records: DataFrame, parts: int) -> DataFrame:
+    return records.repartitionByRange(parts, "seq").sortWithinPartitions("seq")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample.raw_events(spark, sf_dir, tool_calls=True)
+
+
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = sample.transcript_lines(spark, sf_dir)
+    # Typing lines is work for the processor: small in bytes, yet worth all cores.
+    records = _ordered(_records(spark, sf_dir), spark.sparkContext.defaultParallelism)
+    lines = sample.transcript_lines(records)
     return transcripts.parse_lines(lines, SOURCE.agent, SOURCE.provider)
 
 
@@ -186,16 +196,16 @@ def transcript_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _land(lines: DataFrame, folder: str, files: int = FILES) -> None:
+def _land(records: DataFrame, folder: str, files: int = FILES) -> None:
     """Transcript files whose names sort in the order of their lines."""
-    ordered = lines.repartitionByRange(files, "seq").sortWithinPartitions("seq")
-    ordered.select("value").write.text(folder)
+    lines = sample.transcript_lines(_ordered(records, files))
+    lines.select("value").write.text(folder)
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = sample.transcript_lines(spark, sf_dir)
+    records = _records(spark, sf_dir)
     middle = sample.table(spark, sf_dir, "events").agg(F.avg("event_id")).first()[0]
-    return lines.where(F.col("seq") < middle), lines.where(F.col("seq") >= middle)
+    return records.where(F.col("seq") < middle), records.where(F.col("seq") >= middle)
 
 
 def _stored(spark: SparkSession, store: str) -> DataFrame:
@@ -208,7 +218,7 @@ def _stored(spark: SparkSession, store: str) -> DataFrame:
 def ingest_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same lines taken twice, past any cursor; the second time adds nothing."""
     home = new_work_folder(spark, "twice")
-    _land(sample.transcript_lines(spark, sf_dir), f"{home}/logs")
+    _land(_records(spark, sf_dir), f"{home}/logs")
     lines = transcripts.read_lines(spark, f"{home}/logs", SOURCE.pattern)
     parsed = transcripts.parse_lines(lines, SOURCE.agent, SOURCE.provider)
     records = staged(parsed, f"{home}/records")
@@ -230,7 +240,7 @@ def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _summary(project: str | None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         home = new_work_folder(spark, "summary")
-        _land(sample.transcript_lines(spark, sf_dir), f"{home}/logs")
+        _land(_records(spark, sf_dir), f"{home}/logs")
         done = ingest(
             spark,
             f"{home}/logs",
@@ -269,8 +279,8 @@ def _streamed(horizon: str | None, land_copies: bool) -> Query:
         first, second = _halves(spark, sf_dir)
         arrivals = [{"a": first}, {"b": second, "c": first} if land_copies else {"b": second}]
         for arrival in arrivals:
-            for name, lines in arrival.items():
-                _land(lines, f"{home}/logs/{name}", FILES // 2)
+            for name, records in arrival.items():
+                _land(records, f"{home}/logs/{name}", FILES // 2)
             start_ingest(
                 spark,
                 f"{home}/logs",

@@ -1,0 +1,183 @@
+from datetime import date
+
+import pytest
+from conftest import AUG, DAY, at
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from turnledger.fixed_values import WHITE_SPACE
+from turnledger.functions import clock, ids, rounding, text
+from turnledger.sources.transcripts import project_of
+
+
+def values(spark, inputs, build, sql_type="string"):
+    """Apply a column function to a list of inputs, in order."""
+    rows = spark.createDataFrame(
+        [(number, value) for number, value in enumerate(inputs)], f"n int, x {sql_type}"
+    )
+    return [row["y"] for row in rows.select("n", build(F.col("x")).alias("y")).orderBy("n").collect()]
+
+
+def test_event_id_is_the_published_one(spark):
+    lit = F.lit
+    made = ids.event_id(
+        lit("claude-code"), lit("sess-1"), lit("uuid-1"), lit(1754300000000), lit("assistant")
+    )
+    assert spark.range(1).select(made).first()[0] == "6cbc1e2d028a0bc4fee7ae15c0405df6"
+
+
+def test_event_id_keeps_field_boundaries_apart(spark):
+    def made(session, source):
+        return ids.event_id(F.lit("a"), F.lit(session), F.lit(source), F.lit(1), F.lit("user"))
+
+    row = spark.range(1).select(made("ab", "c"), made("a", "bc"), made(None, ""), made("", None))
+    one, other, missing, empty = row.first()
+    assert one != other and missing == empty
+
+
+def test_timestamps_need_an_offset(spark):
+    given_and_expected = {
+        "2026-08-01T10:00:00.000Z": 1785578400000,
+        "2026-08-01T12:00:00+02:00": 1785578400000,
+        "2026-08-01t10:00:00z": 1785578400000,
+        "2026-08-01 10:00:00Z": 1785578400000,
+        "2026-08-01T10:00:00.123456789Z": 1785578400123,
+        "2026-08-02T09:30:00+23:30": 1785578400000,
+        "2016-12-31T23:59:60Z": 1483228800000,
+        "2026-08-01T10:00:00": None,
+        "2026-08-01": None,
+        "2026-13-01T10:00:00Z": None,
+        "2026-08-01T10:00:00+99:00": None,
+        "now": None,
+    }
+    parsed = values(spark, given_and_expected, clock.rfc3339_millis)
+    assert parsed == list(given_and_expected.values())
+
+
+def test_days_months_and_hours_are_utc_whatever_the_session_says(spark):
+    times = [AUG - 1, AUG, at(4, 23, 59), -1, 0]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Pacific/Auckland")
+    try:
+        assert values(spark, times, clock.day_of, "long") == [
+            "2026-07-31", "2026-08-01", "2026-08-04", "1969-12-31", "1970-01-01",
+        ]
+        assert values(spark, times, clock.month_of, "long")[:2] == ["2026-07", "2026-08"]
+        assert values(spark, times, clock.hour_of, "long") == ["23", "00", "23", "23", "00"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_windows():
+    now = at(20, 12)
+    assert clock.Window.last(7, "d", now) == clock.Window(now - 7 * DAY, now)
+    assert clock.Window.last(90, "m", now).from_ms == now - 90 * 60_000
+    assert clock.Window.last(2, "w", now).from_ms == now - 14 * DAY
+    assert clock.Window.since_day(date(2026, 8, 3), now) == clock.Window(at(3), now)
+    assert clock.Window.month_to(now) == clock.Window(AUG, now + 1)
+    assert clock.Window().length_ms is None and clock.Window(5, 5).length_ms is None
+    for wrong in [(-1, "d"), (1, "y")]:
+        with pytest.raises(ValueError):
+            clock.Window.last(*wrong, now)
+
+
+def test_window_is_half_open(spark):
+    inside = clock.Window(10, 20).holds
+    assert values(spark, [9, 10, 19, 20], inside, "long") == [False, True, True, False]
+    assert values(spark, [9], clock.Window().holds, "long") == [True]
+
+
+def test_rounding_goes_away_from_zero_on_the_binary_value(spark):
+    assert values(spark, [0.125, -0.125, 1.005, 2.675], rounding.cents, "double") == [
+        0.13, -0.13, 1.0, 2.68,
+    ]
+    assert values(spark, [66.66666], rounding.tenths, "double") == [66.7]
+
+
+def test_trim_takes_all_unicode_white_space(spark):
+    texts = [f"{WHITE_SPACE}a {WHITE_SPACE}b{WHITE_SPACE}", WHITE_SPACE, "", "​x"]
+    assert values(spark, texts, text.trim) == [f"a {WHITE_SPACE}b", "", "", "​x"]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text(alphabet=WHITE_SPACE + "ab/<​", max_size=12), min_size=1, max_size=20))
+def test_trim_and_white_space_agree_with_python(spark, texts):
+    # Python's isspace also takes the four information separators, left out here.
+    stripped = values(spark, texts, text.trim)
+    assert stripped == [given.strip(WHITE_SPACE) for given in texts]
+    spaced = values(spark, texts, text.has_white_space)
+    assert spaced == [any(char in WHITE_SPACE for char in given) for given in texts]
+
+
+def test_slug(spark):
+    names = {
+        "check the migration files": "check-migration-files",
+        "run  it!!": "run-it",
+        "...???": "repeated-prompt",
+        "": "repeated-prompt",
+        "The quick brown fox jumps over": "quick-brown-fox-jumps",
+        "Kelvin scale": "elvin-scale",
+        "THE TO a": "repeated-prompt",
+    }
+    assert values(spark, names, text.slug) == list(names.values())
+
+
+def test_furniture(spark):
+    judged = {
+        "/compact": True,
+        "  /compact\n": True,
+        "/review this": False,
+        "<command-name>x": True,
+        "　[Request interrupted by user]": True,
+        "say <command-name>": False,
+        "": False,
+    }
+    assert values(spark, judged, text.is_furniture) == list(judged.values())
+    assert values(spark, [None], text.is_furniture) == [False]
+
+
+def test_actions(spark):
+    short, long, lines = "x" * 60, "y" * 61, "two\nlines"
+    kinds = values(spark, [short, f" {short} ", long, lines, None], text.action_kind)
+    assert kinds == ["slash-command", "slash-command", "skill", "skill", "skill"]
+    assert values(spark, [short, lines, None], text.skill_name) == [
+        None, "two-lines", "repeated-prompt",
+    ]
+
+
+def test_age(spark):
+    now = at(20)
+    then = [now, now - 90_000, now - 3_600_000, now - 2 * DAY, now + 5]
+    assert values(spark, then, lambda t: text.age(now, t), "long") == [
+        "just now", "1m ago", "1h ago", "2d ago", "just now",
+    ]
+
+
+def test_projects_label(spark):
+    lists = [[], ["a"], ["a", "b", "c"], ["a", "b", "c", "d", "e"]]
+    assert values(spark, lists, text.projects_label, "array<string>") == [
+        "(no project)", "a", "a, b, c", "a, b, c, +2 more",
+    ]
+
+
+def test_file_targets(spark):
+    targets = [" src/a.rs ", "https://x/y", "http://x", "  ", None, "httpx/a"]
+    assert values(spark, targets, text.file_target) == ["src/a.rs", None, None, None, None, "httpx/a"]
+
+
+def test_project_is_the_last_directory(spark):
+    directories = {
+        "/home/me/code/acme-api": "acme-api",
+        "/home/me/acme.wt-2/": "acme.wt-2",
+        "/a/b/.": "b",
+        "/a/./b//": "b",
+        "/": None,
+        "": None,
+        "..": None,
+        "/a/..": None,
+        ".": None,
+        "/a/.b": ".b",
+        "/" * 400 + "x" + "/" * 400 + "y/..": None,
+    }
+    assert values(spark, directories, project_of) == list(directories.values())

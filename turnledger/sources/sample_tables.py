@@ -134,8 +134,11 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same records as JSON lines, in order of ``event_id``."""
+def transcript_lines(records: DataFrame) -> DataFrame:
+    """Rows of :func:`raw_events`, with tool calls, as transcript lines.
+
+    A few are replaced by lines that are no JSON or of a type without usage.
+    """
     number = F.col("seq")
     stamp = F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     assistant = F.col("role") == "assistant"
@@ -173,7 +176,7 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("model").alias("model"), usage.alias("usage"), blocks.alias("content"))
     )
     by_user = line(F.struct(F.col("model").alias("model"), said.alias("content")))
-    return raw_events(spark, sf_dir, tool_calls=True).select(
+    return records.select(
         number,
         F.when(number % 101 == 0, "{not json")
         .when(number % 103 == 0, '{"type":"mode"}')

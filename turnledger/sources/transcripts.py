@@ -210,10 +210,12 @@ def parse_lines(
     usage) or ``unparseable``; the other columns are filled for records.
     """
     kept = [name for name in lines.columns if name != "value"]
-    line, message, blocks = F.col("_json.line"), F.col("_json.line.message"), F.col("_blocks")
-    well_formed = F.col("_json.malformed").isNull() & F.col("_json.complete")
+    line, message, blocks = F.col("line"), F.col("line.message"), F.col("_blocks")
+    well_formed = F.col("malformed").isNull() & F.col("complete")
+    # inline() of one struct, so that a filter on the result is evaluated after
+    # decoding instead of decoding the line again for itself.
     typed = (
-        lines.withColumn("_json", _decoded(F.col("value")))
+        lines.select("*", F.inline(F.array(_decoded(F.col("value")))))
         .withColumns(
             {
                 "_type": F.when(well_formed, _string(line["type"])),
