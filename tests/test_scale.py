@@ -1,0 +1,208 @@
+"""Plans that must hold at any size, and results under heavy skew."""
+
+import random
+from collections import defaultdict
+
+import pytest
+from conftest import at, call, event, events_frame, rows_of, used
+from pyspark.sql import functions as F
+
+from registered_queries import registered
+from turnledger.functions.clock import Window, month_of
+from turnledger.operators.claims import claim_usage
+from turnledger.operators.pricing import price_table
+from turnledger.operators.scope import Scope
+from turnledger.plans import burn, health, notes, repeats, reports
+from turnledger.sources import sample_tables as sample
+from turnledger.sources import store as stores
+
+SMALL = "/root/testdata/sf0.001"
+PRICES = [("anthropic", "m0", 3.0, 15.0, 0.3, None)]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def skewed(spark, count=900):
+    """A third of all rows share one session, project, model, request and file."""
+    rng = random.Random(7)
+    rows = []
+    for n in range(count):
+        hot = n % 3 == 0
+        calls = [call("Read", f"f{0 if hot else rng.randrange(9)}.rs") for _ in range(rng.randrange(4))]
+        rows.append(
+            event(
+                f"e{n}",
+                at(1 + n % 25, n % 24),
+                project="hot" if hot else rng.choice(["a", "b", None]),
+                session_id="hot" if hot else rng.choice([f"s{n % 40}", None]),
+                turn_id="hot" if hot else rng.choice([f"t{n % 90}", None]),
+                model="m0" if hot else rng.choice(["m1", "<synthetic>", None]),
+                input_tok=rng.choice([None, rng.randrange(1000)]),
+                output_tok=rng.choice([None, rng.randrange(1000)]),
+                cost_est=rng.choice([None, rng.randrange(100) / 100]),
+                tool_calls=calls,
+                seq=n,
+            )
+        )
+    return rows
+
+
+def has_usage(row):
+    return row.get("input_tok") is not None or row.get("output_tok") is not None
+
+
+def claimed(rows):
+    seen, out = set(), []
+    for row in sorted(rows, key=lambda row: row["seq"]):
+        row = dict(row)
+        if has_usage(row) and row["turn_id"] is not None:
+            key = (row["agent"], row["session_id"] or "", row["turn_id"])
+            if key in seen:
+                row["input_tok"] = row["output_tok"] = None
+            seen.add(key)
+        out.append(row)
+    return out
+
+
+def cost_of(row):
+    if row["model"] is None:
+        return None
+    if row["model"] == "m0":
+        return (row["input_tok"] or 0) * 3 / 1e6 + (row["output_tok"] or 0) * 15 / 1e6
+    return row["cost_est"]
+
+
+def test_usage_claims_under_skew(spark):
+    rows = skewed(spark)
+    found = claim_usage(events_frame(spark, rows), ["seq"], "id")
+    got = {row["id"]: (row["input_tok"], row["output_tok"]) for row in found.collect()}
+    assert got == {row["id"]: (row["input_tok"], row["output_tok"]) for row in claimed(rows)}
+
+
+def test_projects_under_skew_equal_a_plain_count(spark):
+    rows = claimed(skewed(spark))
+    found = rows_of(reports.projects(events_frame(spark, rows), price_table(spark, PRICES)))
+    groups = defaultdict(list)
+    for row in rows:
+        groups[row["project"]].append(row)
+    assert len(found) == len(groups)
+    for got in found:
+        group = groups[got["project"]]
+        billable = [r for r in group if has_usage(r) and r["model"] != "<synthetic>"]
+        costs = [cost_of(r) for r in billable if cost_of(r) is not None]
+        assert got["sessions"] == len({r["session_id"] for r in group} - {None})
+        assert got["requests"] == sum(map(has_usage, group))
+        assert got["input_tok"] == sum(r["input_tok"] or 0 for r in group)
+        assert got["cost_est"] == (pytest.approx(sum(costs), abs=0.006) if costs else None)
+        assert got["cost_priced_requests"] == len(costs)
+        assert got["cost_unpriced_requests"] == len(billable) - len(costs)
+
+
+def test_files_under_skew_equal_a_plain_count(spark):
+    rows = claimed(skewed(spark))
+    found = rows_of(reports.files(events_frame(spark, rows), price_table(spark, PRICES), limit=None))
+    expected = defaultdict(lambda: [0, 0, 0.0])
+    for row in rows:
+        names = [made["tool_target"] for made in row["tool_calls"]]
+        for name in set(names):
+            group = expected[name]
+            group[0] += 1
+            group[1] += names.count(name)
+            group[2] += (row["input_tok"] or 0) / len(set(names))
+    assert {row["file"]: [row["turns"], row["tool_calls"]] for row in found} == {
+        name: group[:2] for name, group in expected.items()
+    }
+    for row in found:
+        assert row["attributed_input_tok"] == pytest.approx(expected[row["file"]][2], abs=0.006)
+    weights = [row["attributed_input_tok"] + row["attributed_output_tok"] for row in found]
+    assert weights == sorted(weights, reverse=True)
+
+
+def all_plans(spark):
+    events, prices = sample.raw_events(spark, SMALL, tool_calls=True), sample.prices(spark)
+    prompts = sample.prompts(spark, SMALL)
+    week = Scope(Window.last(7, "d", sample.NOW_MS))
+    return {
+        "summary": reports.summary(events, prices),
+        "projects": reports.projects(events, prices),
+        "models": reports.models(events, prices),
+        "sessions": reports.sessions(events, prices),
+        "tools": reports.tools(events),
+        "files": reports.files(events, prices),
+        "shortfall": reports.files_shortfall(events),
+        "compare": reports.compare(events, prices, week),
+        "query": reports.query(events, prices, ["project", "day"]),
+        "hourly": reports.hourly_cost(events),
+        "notes": notes.scan_notes(events, prices),
+        "burn": burn.burn_rate(events, sample.NOW_MS),
+        "suggestions": repeats.suggestions(prompts, events),
+        "health": health.store_health(events, prices),
+        "coverage": health.kpi_coverage(events, prompts, prices),
+        "claims": claim_usage(events, ["seq"], "id"),
+    }
+
+
+def test_no_plan_pairs_all_rows_or_runs_python(spark):
+    for name, df in all_plans(spark).items():
+        plan = plan_of(df)
+        for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "InPandas"):
+            assert node not in plan, f"{name}: {node}"
+
+
+def test_no_window_gathers_all_rows(spark):
+    for name, df in all_plans(spark).items():
+        plan = plan_of(df)
+        if "Window [" in plan:
+            assert name == "claims"
+            assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_events_are_combined_in_each_task_before_a_shuffle(spark):
+    for name in ("summary", "projects", "models", "sessions", "compare", "query", "notes", "files"):
+        plan = plan_of(all_plans(spark)[name])
+        # The exchange nearest to the events moves partial sums only.
+        lowest = [line for line in plan.splitlines() if "partial_" in line][-1]
+        assert "HashAggregate" in lowest and "SortAggregate" not in lowest, name
+
+
+def test_only_needed_columns_are_read(spark, folder):
+    rows = [used("a", at(3), "p", "m", 1, 1, tool_calls=[call("Read", "x")])]
+    stores.append_events(
+        events_frame(spark, rows).withColumn("month", month_of(F.col("ts"))), folder
+    )
+    events = stores.read_events(spark, folder)
+    scope = Scope(Window(at(1), at(5)), project="p")
+    plan = plan_of(reports.projects(events, sample.prices(spark), scope))
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    schema = scan[scan.index("ReadSchema"):]
+    for column in ("tool_calls", "stop_reason", "turn_id", "duration_ms"):
+        assert column not in schema
+    assert "EqualTo(project,p)" in scan and "LessThan(ts" in scan and "month" in scan
+
+
+def test_a_price_list_joins_sums_not_events(spark):
+    plan = plan_of(reports.projects(sample.raw_events(spark, SMALL), sample.prices(spark)))
+    lines = plan.splitlines()
+    (join,) = [number for number, line in enumerate(lines) if "Join" in line]
+    below = lines[join + 1 :]
+    assert "HashAggregate" in below[0] and any("partial_sum(input_tok" in line for line in below)
+
+
+def test_a_large_price_list_is_not_broadcast(spark):
+    events = sample.raw_events(spark, SMALL)
+    many = [("prov-a", f"model-{n}", 1.0, 1.0, 1.0, None) for n in range(3000)]
+    expected = rows_of(reports.projects(events, price_table(spark, many)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+    try:
+        df = reports.projects(events, price_table(spark, many))
+        assert "SortMergeJoin" in plan_of(df)
+        assert rows_of(df) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_every_query_is_registered_once():
+    assert len(registered()) == 43

@@ -1,5 +1,6 @@
 """Why is this number empty? What the store holds and what sources record."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +13,15 @@ from turnledger.operators.scope import Scope, located
 
 def with_file(rows: DataFrame) -> DataFrame:
     """Rows of a stored table with the file they are in and its size."""
-    return rows.withColumns(
-        {"file": F.col("_metadata.file_path"), "file_size": F.col("_metadata.file_size")}
-    )
+    try:
+        return rows.withColumns(
+            {"file": F.col("_metadata.file_path"), "file_size": F.col("_metadata.file_size")}
+        )
+    except AnalysisException:
+        if not rows.isEmpty():
+            raise
+        # A store not written yet has no files to tell about.
+        return rows.withColumns({"file": F.lit(""), "file_size": F.lit(0)})
 
 
 def _file_totals(rows: DataFrame) -> DataFrame:

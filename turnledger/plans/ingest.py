@@ -161,11 +161,11 @@ def _lines_to_read(
     modification time among the picked ones before opening any, and drop the
     few others by path.
     """
-    if everything:
-        return read_lines(spark, root, source.pattern)
     oldest = picked.agg(F.min("mtime")).first()[0]
     if oldest is None:
         return spark.createDataFrame([], "value string, path string, block long, line_id long")
+    if everything:
+        return read_lines(spark, root, source.pattern)
     lines = read_lines(spark, root, source.pattern, modified_from=oldest)
     return lines.join(picked.select("path"), "path", "left_semi")
 
