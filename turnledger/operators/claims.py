@@ -31,25 +31,33 @@ def claimable(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("turn_id").isNotNull() & has_usage())
 
 
-def claimed_keys(stored: DataFrame) -> DataFrame:
-    """Requests whose usage the store has counted."""
-    return claimable(stored).select(*usage_key()).distinct()
+def found_in(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored keys that also occur in ``rows``.
+
+    A batch is small next to the store. Its distinct keys go to the store, where
+    the planner broadcasts them if they are small enough, so the store is
+    scanned in place; only what matched is left for the anti join that follows.
+    """
+    return stored.select(*keys).join(rows.select(*keys).distinct(), keys, "left_semi")
 
 
 def usage_owners(
-    events: DataFrame, order: list[str], row_key: str, claimed: DataFrame | None = None
+    events: DataFrame, order: list[str], row_key: str, stored: DataFrame | None = None
 ) -> DataFrame:
     """``row_key`` of each record that keeps its request's usage.
 
     Works on the key columns only. Records without usage or turn take no part,
-    so they cannot pile up under a NULL key.
+    so they cannot pile up under a NULL key. A request that ``stored`` events
+    have counted keeps nothing.
     """
+    keys = ["agent", "usage_session", "turn_id"]
     candidates = claimable(events).select(
         *usage_key(), *dict.fromkeys([row_key, *order])
     )
-    owners = first_by(candidates, ["agent", "usage_session", "turn_id"], order)
-    if claimed is not None:
-        owners = owners.join(claimed, ["agent", "usage_session", "turn_id"], "left_anti")
+    owners = first_by(candidates, keys, order)
+    if stored is not None:
+        counted = claimable(stored).select(*usage_key())
+        owners = owners.join(found_in(counted, candidates, keys), keys, "left_anti")
     return owners.select(row_key)
 
 
@@ -63,8 +71,13 @@ def keep_owned_usage(events: DataFrame, owns: Column) -> DataFrame:
     return events.withColumns({name: F.when(keeps, F.col(name)) for name in TOKEN_COLUMNS})
 
 
-def claim_usage(events: DataFrame, order: list[str], row_key: str) -> DataFrame:
-    """Attribute each request's usage to its first record, others get NULL."""
-    owners = usage_owners(events, order, row_key).withColumn("_owns", F.lit(True))
-    joined = events.join(owners, row_key, "left")
+def claim_usage(
+    events: DataFrame, order: list[str], row_key: str, keys_of: DataFrame | None = None
+) -> DataFrame:
+    """Attribute each request's usage to its first record, others get NULL.
+
+    ``keys_of`` may give the same events without what is costly to make.
+    """
+    owners = usage_owners(events if keys_of is None else keys_of, order, row_key)
+    joined = events.join(owners.withColumn("_owns", F.lit(True)), row_key, "left")
     return keep_owned_usage(joined, F.col("_owns")).drop("_owns")

@@ -102,6 +102,15 @@ def group_measures() -> list[Column]:
     ]
 
 
+def priced_requests() -> Column:
+    """How many requests of a group have a cost, by price list or as stored."""
+    return (
+        F.when(F.col("model").isNull(), 0)
+        .when(F.col("rates").isNotNull(), F.col("requests"))
+        .otherwise(F.col("stored_priced"))
+    )
+
+
 def with_group_costs(groups: DataFrame, prices: DataFrame) -> DataFrame:
     """Price groups of one provider and model each.
 
@@ -109,20 +118,11 @@ def with_group_costs(groups: DataFrame, prices: DataFrame) -> DataFrame:
     Synthetic records are neither: their tokens count, nobody is billed.
     """
     billable = ~is_synthetic()
-    known = F.col("rates").isNotNull()
-    named = F.col("model").isNotNull()
-    priced = (
-        F.when(~billable, 0)
-        .when(known, F.col("requests"))
-        .when(named, F.col("stored_priced"))
-        .otherwise(0)
-    )
-    cost = F.when(
-        priced > 0, F.when(known, estimate_event()).otherwise(F.col("stored_cost"))
-    ).otherwise(0.0)
+    priced = F.when(billable, priced_requests()).otherwise(0)
+    by_list = F.when(F.col("rates").isNotNull(), estimate_event())
     return (
         with_rates(groups, prices)
-        .withColumn("cost", cost)
+        .withColumn("cost", F.when(priced > 0, F.coalesce(by_list, "stored_cost")).otherwise(0.0))
         .withColumn("priced", priced)
         .withColumn("unpriced", F.when(billable, F.col("requests") - priced).otherwise(0))
         .drop("rates", "stored_cost", "stored_priced")

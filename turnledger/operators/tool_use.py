@@ -13,7 +13,7 @@ from turnledger.functions.text import file_target
 
 def _marked(values: Column, key) -> Column:
     """Sorted values, each with whether it starts a new run of equal keys."""
-    ordered = F.array_sort(values)
+    ordered = F.sort_array(values)
     return F.transform(
         ordered,
         lambda item, at: F.struct(

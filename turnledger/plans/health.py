@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from turnledger.fixed_values import KPIS, UNKNOWN_MODEL
 from turnledger.functions.clock import month_of
-from turnledger.functions.usage import has_usage
-from turnledger.operators.pricing import event_cost, with_rates
+from turnledger.operators.pricing import group_measures, priced_requests, with_rates
 from turnledger.operators.scope import Scope, located
 
 
@@ -48,20 +47,16 @@ def store_health(events: DataFrame, prices: DataFrame, scope: Scope = Scope()) -
     """
     rows = located(events, scope)
     month = F.col("month") if "month" in events.columns else month_of(F.col("ts"))
-    lacking = has_usage() & event_cost().isNull()
-    per_model = (
-        with_rates(rows.withColumn("in_month", month), prices)
-        .groupBy("in_month", "provider", "model")
-        .agg(F.count("*").alias("events"), F.count_if(lacking).alias("unpriced"))
+    groups = rows.groupBy(month.alias("in_month"), "provider", "model").agg(
+        F.count("*").alias("events"), *group_measures()
     )
+    lacking = F.col("requests") > priced_requests()
     name = F.coalesce("model", F.lit(UNKNOWN_MODEL))
-    return per_model.agg(
+    return with_rates(groups, prices).agg(
         F.count_distinct("in_month").alias("partitions"),
         F.min("in_month").alias("oldest"),
         F.coalesce(F.sum("events"), F.lit(0)).alias("events"),
-        F.array_sort(F.collect_set(F.when(F.col("unpriced") > 0, name))).alias(
-            "unpriced_models"
-        ),
+        F.sort_array(F.collect_set(F.when(lacking, name))).alias("unpriced_models"),
     )
 
 
@@ -74,16 +69,19 @@ def kpi_coverage(events: DataFrame, prompts: DataFrame, prices: DataFrame) -> Da
     measured = {
         "tokens": F.coalesce("input_tok", "output_tok").isNotNull(),
         "cache": F.coalesce("cache_read_tok", "cache_write_tok").isNotNull(),
-        "cost": has_usage() & event_cost().isNotNull(),
         "tools": F.coalesce(F.size("tool_calls") > 0, F.lit(False)),
         "stop_reason": F.col("stop_reason").isNotNull(),
         "duration_ms": F.col("duration_ms").isNotNull(),
         "sidechain": F.col("is_sidechain").isNotNull(),
     }
+    per_model = events.groupBy("agent", "provider", "model").agg(
+        *[F.count_if(measured[kpi]).alias(kpi) for kpi in measured], *group_measures()
+    )
     counted = (
-        with_rates(events, prices)
+        with_rates(per_model, prices)
+        .withColumn("cost", priced_requests())
         .groupBy("agent")
-        .agg(*[F.count_if(measured[kpi]).alias(kpi) for kpi in measured])
+        .agg(*[F.sum(kpi).alias(kpi) for kpi in [*measured, "cost"]])
     )
     texts = (
         prompts.select(F.col("event_id").alias("id"))

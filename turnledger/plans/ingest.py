@@ -15,8 +15,8 @@ from turnledger.functions.clock import Window
 from turnledger.functions.ids import text_hash
 from turnledger.functions.usage import has_usage
 from turnledger.operators.claims import (
-    claimed_keys,
     first_by,
+    found_in,
     keep_owned_usage,
     usage_owners,
 )
@@ -77,8 +77,9 @@ def unseen(records: DataFrame, stored: DataFrame) -> DataFrame:
     An id covers the time of its record, so equal ids share a month and the
     stored side is read for the months at hand only.
     """
+    keys = ["month", "id"]
     firsts = first_by(records, ["id"], LINE_ORDER)
-    return firsts.join(stored.select("month", "id"), ["month", "id"], "left_anti")
+    return firsts.join(found_in(stored, records, keys), keys, "left_anti")
 
 
 def priced_at_ingest(events: DataFrame, prices: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def ingest_records(
         unseen(parsed.select(*_CLAIM_COLUMNS), stored.where(in_months)), f"{work}/fresh"
     )
     kept = of_project(fresh, project)
-    owners = usage_owners(kept, LINE_ORDER, "line_id", claimed_keys(stored))
+    owners = usage_owners(kept, LINE_ORDER, "line_id", stored)
     last = stored.where(in_months).agg(F.max("seq")).first()[0]
     chosen = staged(
         in_append_order(
@@ -123,20 +124,16 @@ def ingest_records(
         f"{work}/chosen",
     )
     new = parsed.join(chosen, "line_id")
-    prompts = new.where(F.col("prompt_text").isNotNull())
-
-    known = read_prompts(spark, store).where(in_months).select("month", "event_id")
-    append_prompts(
-        prompts.select(
-            F.col("id").alias("event_id"),
-            F.col("prompt_text").alias("text"),
-            text_hash(F.col("prompt_text")).alias("text_hash"),
-            "seq",
-            "month",
-        ).join(known, ["month", "event_id"], "left_anti"),
-        store,
-        index_text,
+    prompts = new.where(F.col("prompt_text").isNotNull()).select(
+        F.col("id").alias("event_id"),
+        F.col("prompt_text").alias("text"),
+        text_hash(F.col("prompt_text")).alias("text_hash"),
+        "seq",
+        "month",
     )
+    keys = ["month", "event_id"]
+    known = found_in(read_prompts(spark, store).where(in_months), prompts, keys)
+    append_prompts(prompts.join(known, keys, "left_anti"), store, index_text)
     events = keep_owned_usage(new, F.col("owns_usage")).select(*EVENT_COLUMNS, "seq", "month")
     append_events(priced_at_ingest(events, prices), store)
 

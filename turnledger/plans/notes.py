@@ -63,5 +63,5 @@ def scan_notes(
         total("requests", included).alias("requests"),
         total("events", F.col("sidechain")).alias("sidechain_events"),
         total("requests", included & is_synthetic()).alias("synthetic_events"),
-        F.array_sort(F.collect_set(unpriced)).alias("unpriced_models"),
+        F.sort_array(F.collect_set(unpriced)).alias("unpriced_models"),
     ).withColumn("lines_skipped", skipped)

@@ -44,7 +44,7 @@ def repeated(prompts: DataFrame, events: DataFrame, scope: Scope = Scope()) -> D
             F.sum("count").alias("count"),
             F.max("last_ts").alias("last_ts"),
             F.min("text_seq").alias("text_seq"),
-            F.array_sort(F.collect_list("project")).alias("projects"),
+            F.sort_array(F.collect_list("project")).alias("projects"),
         )
         .where(F.col("count") >= MIN_OCCURRENCES)
     )

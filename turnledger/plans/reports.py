@@ -139,26 +139,27 @@ def tools(events: DataFrame, scope: Scope = Scope()) -> DataFrame:
 
     Results of calls are not recorded, so failures are NULL, not 0.
     """
-    rows = scanned(events, scope)
-    all_calls = rows.agg(F.sum(F.size("tool_calls"))).scalar()
-    return (
-        calls(rows)
+    counted = ["calls", "turns", "distinct_targets"]
+    per_tool = (
+        calls(scanned(events, scope))
         .groupBy("tool")
         .agg(
             F.count("*").alias("calls"),
             F.count_if("starts_run").alias("turns"),
             F.count_distinct("target").alias("distinct_targets"),
         )
-        .orderBy(F.col("calls").desc(), F.col("tool").asc())
-        .select(
-            "tool",
-            "calls",
-            tenths(F.col("calls") * F.lit(100.0) / all_calls).alias("share_pct"),
-            "turns",
-            "distinct_targets",
-            F.lit(None).cast("long").alias("failures"),
-            F.lit(None).cast("double").alias("fail_rate"),
-        )
+    )
+    # Asks for all columns so that both uses of the counts share one execution.
+    totals = per_tool.agg(F.struct(*[F.sum(name).alias(name) for name in counted])).scalar()
+    share = F.col("calls") * F.lit(100.0) / totals["calls"]
+    return per_tool.orderBy(F.col("calls").desc(), F.col("tool").asc()).select(
+        "tool",
+        "calls",
+        tenths(share).alias("share_pct"),
+        "turns",
+        "distinct_targets",
+        F.lit(None).cast("long").alias("failures"),
+        F.lit(None).cast("double").alias("fail_rate"),
     )
 
 

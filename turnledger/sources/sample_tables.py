@@ -121,7 +121,8 @@ def raw_events(spark: SparkSession, sf_dir: str, tool_calls: bool = False) -> Da
 
 def usage_events(spark: SparkSession, sf_dir: str, tool_calls: bool = False) -> DataFrame:
     """Events as stored: each request's usage counted once."""
-    return claim_usage(raw_events(spark, sf_dir, tool_calls), order=["seq"], row_key="id")
+    records = raw_events(spark, sf_dir, tool_calls)
+    return claim_usage(records, ["seq"], "id", keys_of=raw_events(spark, sf_dir))
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
