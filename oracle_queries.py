@@ -498,6 +498,12 @@ def statements() -> dict[str, str]:
         ),
         "suggest_text_off": _with(_TEXT_OFF, _REPEATS),
         "suggest_drafts": _with(_DRAFTS, _REPEATS),
+        "prompts_redacted": _with(
+            """SELECT CAST(doc_id AS VARCHAR) AS event_id, CAST(NULL AS VARCHAR) AS text,
+                substring(sha256(text), 1, 32) AS text_hash, false AS text_indexed,
+                substring(day, 1, 7) AS month
+            FROM documents JOIN raw ON doc_id = seq"""
+        ),
         "suggest_lookup": _with(_LOOKUP, _REPEATS),
         "transcript_lines": _with(
             """SELECT CASE WHEN seq % 101 = 0 THEN 'unparseable' WHEN seq % 103 = 0 THEN 'skipped'

@@ -133,7 +133,8 @@ def _suggestions(spark: SparkSession, sf_dir: str, redact: bool = False) -> Data
     prompts = sample.prompts(spark, sf_dir)
     if redact:
         prompts = repeats.redacted(prompts)
-    return repeats.suggestions(prompts, sample.raw_events(spark, sf_dir))
+    work = new_work_folder(spark, "repeats")
+    return repeats.suggestions(prompts, sample.raw_events(spark, sf_dir), work=work)
 
 
 def _shown(groups: DataFrame) -> DataFrame:
@@ -149,13 +150,28 @@ def suggest_text_off(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suggest_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.furniture(sample.prompts(spark, sf_dir), sample.raw_events(spark, sf_dir))
+    work = new_work_folder(spark, "repeats")
+    events = sample.raw_events(spark, sf_dir)
+    return repeats.furniture(sample.prompts(spark, sf_dir), events, work=work)
 
 
 def suggest_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.with_drafts(_suggestions(spark, sf_dir), NOW_MS).select("id", "draft")
 
 
+def prompts_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt store copied without its texts."""
+    home = new_work_folder(spark, "redacted")
+    months = sample.raw_events(spark, sf_dir).select(
+        F.col("id").alias("event_id"), month_of(F.col("ts")).alias("month")
+    )
+    prompts = sample.prompts(spark, sf_dir).join(months, "event_id")
+    stores.append_prompts(prompts, f"{home}/full")
+    stores.copy_without_texts(spark, f"{home}/full", f"{home}/bare")
+    bare = stores.read_prompts(spark, f"{home}/bare")
+    return bare.select("event_id", "text", "text_hash", "text_indexed", "month")
+
+
 def suggest_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = _suggestions(spark, sf_dir)
     wanted = groups.select("id").limit(1).scalar()
@@ -401,6 +417,7 @@ def registered() -> dict[str, Query]:
         "suggest_furniture": suggest_furniture,
         "suggest_text_off": suggest_text_off,
         "suggest_drafts": suggest_drafts,
+        "prompts_redacted": prompts_redacted,
         "suggest_lookup": suggest_lookup,
         "transcript_lines": transcript_lines,
         "transcript_events": transcript_events,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from registered_queries import registered
 from turnledger.functions.clock import Window, month_of
-from turnledger.operators.claims import claim_usage
+from turnledger.operators.claims import claim_usage, usage_owners
 from turnledger.operators.pricing import price_table
 from turnledger.operators.scope import Scope
 from turnledger.plans import burn, health, notes, repeats, reports
@@ -182,6 +182,41 @@ def test_only_needed_columns_are_read(spark, folder):
     assert "EqualTo(project,p)" in scan and "LessThan(ts" in scan and "month" in scan
 
 
+def test_texts_are_read_for_repeats_only_and_in_place(spark, folder):
+    sent = [(f"e{n}", f"text {n % 30}", n) for n in range(60)]
+    prompts = spark.createDataFrame(sent, "event_id string, text string, seq long").select(
+        "*", F.sha2("text", 256).alias("text_hash"), F.lit("2026-08").alias("month")
+    )
+    stores.append_prompts(prompts, folder)
+    events = events_frame(spark, [event(f"e{n}", at(3)) for n in range(60)])
+    stored = stores.read_prompts(spark, folder)
+    found = repeats.suggestions(stored, events, work=f"{folder}/work")
+    assert found.count() == 30
+    plan = plan_of(found)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    bare = folder + "/bare"
+    stores.copy_without_texts(spark, folder, bare)
+    again = stores.read_prompts(spark, bare)
+    assert again.where("text is not null or text_indexed").count() == 0
+    assert repeats.suggestions(again, events).count() == 30
+
+
+def test_a_small_batch_does_not_shuffle_the_store(spark, folder):
+    rows = [used(f"e{n}", at(3), "p", "m", 1, 1, turn_id=f"t{n}") for n in range(50)]
+    month = month_of(F.col("ts"))
+    stores.append_events(events_frame(spark, rows).withColumn("month", month), folder)
+    batch = events_frame(spark, rows[:2]).withColumn("month", month)
+    batch.write.parquet(f"{folder}/batch")
+    owners = usage_owners(
+        spark.read.parquet(f"{folder}/batch"), ["seq"], "id", stores.read_events(spark, folder)
+    )
+    assert owners.count() == 0
+    lines = plan_of(owners).splitlines()
+    (scan,) = [number for number, line in enumerate(lines) if "/events" in line]
+    above = [line for line in lines[:scan] if "Exchange" in line or "Join" in line]
+    assert "BroadcastHashJoin" in above[-1] and "LeftSemi" in above[-1]
+
+
 def test_a_price_list_joins_sums_not_events(spark):
     plan = plan_of(reports.projects(sample.raw_events(spark, SMALL), sample.prices(spark)))
     lines = plan.splitlines()
@@ -205,4 +240,4 @@ def test_a_large_price_list_is_not_broadcast(spark):
 
 
 def test_every_query_is_registered_once():
-    assert len(registered()) == 43
+    assert len(registered()) == 44

@@ -15,31 +15,27 @@ from turnledger.functions.text import (
     trim,
 )
 from turnledger.operators.scope import Scope, located
+from turnledger.session import staged
 
 
-def repeated(prompts: DataFrame, events: DataFrame, scope: Scope = Scope()) -> DataFrame:
-    """Every group of equal prompts, furniture marked.
+def _groups(prompts: DataFrame, events: DataFrame, scope: Scope) -> DataFrame:
+    """Hashes sent more than once: how often, when last, from which projects.
 
     Prompts carry no time or project; their events do, and joining them is also
-    what applies the period and the project. Texts stay out of that join and of
-    the grouping: groups are formed on hashes, first per project inside each
-    task, and only then one text per repeated group is fetched by its row
-    number. A prompt that makes up a third of all rows is one row per task.
+    what applies the period and the project. ``text_seq`` is the row that holds
+    the group's text, NULL if none was stored.
     """
-    if "month" in prompts.columns:
-        prompts = prompts.where(scope.window.months(F.col("month")))
     placed = located(events, scope).select(F.col("id").alias("event_id"), "ts", "project")
     hits = prompts.select(
         "event_id", "text_hash", F.when(F.col("text_indexed"), F.col("seq")).alias("text_seq")
     ).join(placed, "event_id")
-    groups = (
-        hits.groupBy("text_hash", "project")
-        .agg(
-            F.count("*").alias("count"),
-            F.max("ts").alias("last_ts"),
-            F.min("text_seq").alias("text_seq"),
-        )
-        .groupBy("text_hash")
+    per_project = hits.groupBy("text_hash", "project").agg(
+        F.count("*").alias("count"),
+        F.max("ts").alias("last_ts"),
+        F.min("text_seq").alias("text_seq"),
+    )
+    return (
+        per_project.groupBy("text_hash")
         .agg(
             F.sum("count").alias("count"),
             F.max("last_ts").alias("last_ts"),
@@ -48,40 +44,65 @@ def repeated(prompts: DataFrame, events: DataFrame, scope: Scope = Scope()) -> D
         )
         .where(F.col("count") >= MIN_OCCURRENCES)
     )
+
+
+def repeated(
+    prompts: DataFrame, events: DataFrame, scope: Scope = Scope(), work: str | None = None
+) -> DataFrame:
+    """Every group of equal prompts, furniture marked.
+
+    Texts stay out of the grouping: groups are formed on hashes, first per
+    project inside each task, so a prompt that makes up a third of all rows is
+    one row per task. Then one text per group is fetched by its row number.
+
+    With a ``work`` folder the groups are written there first. Their size is
+    then known when the texts are joined: few groups travel to the texts, which
+    are scanned in place, and only many groups cost a shuffle of texts.
+    """
+    if "month" in prompts.columns:
+        prompts = prompts.where(scope.window.months(F.col("month")))
+    groups = _groups(prompts, events, scope)
+    if work is not None:
+        groups = staged(groups, f"{work}/groups")
     texts = prompts.where(F.col("text_indexed")).select(
         "text_hash", F.col("seq").alias("text_seq"), "text"
     )
+    # Two inner parts instead of an outer join, which could not send the groups.
+    has_text = F.col("text_seq").isNotNull()
+    with_text = texts.join(groups.where(has_text), ["text_hash", "text_seq"])
+    without = groups.where(~has_text).withColumn("text", F.lit(None).cast("string"))
     text = F.col("text")
-    return (
-        groups.join(texts, ["text_hash", "text_seq"], "left")
-        .select(
-            group_id(F.col("text_hash")).alias("id"),
-            "text_hash",
-            "count",
-            "text",
-            text.isNotNull().alias("text_indexed"),
-            "last_ts",
-            "projects",
-            action_kind(text).alias("suggestion"),
-            skill_name(text).alias("skill_name"),
-            is_furniture(text).alias("is_furniture"),
-        )
+    return with_text.unionByName(without).select(
+        group_id(F.col("text_hash")).alias("id"),
+        "text_hash",
+        "count",
+        "text",
+        text.isNotNull().alias("text_indexed"),
+        "last_ts",
+        "projects",
+        action_kind(text).alias("suggestion"),
+        skill_name(text).alias("skill_name"),
+        is_furniture(text).alias("is_furniture"),
     )
 
 
-def suggestions(prompts: DataFrame, events: DataFrame, scope: Scope = Scope()) -> DataFrame:
+def suggestions(
+    prompts: DataFrame, events: DataFrame, scope: Scope = Scope(), work: str | None = None
+) -> DataFrame:
     """Repeated prompts worth a command, most repeated first."""
     return (
-        repeated(prompts, events, scope)
+        repeated(prompts, events, scope, work)
         .where(~F.col("is_furniture"))
         .drop("is_furniture")
         .orderBy(F.col("count").desc(), F.col("last_ts").desc(), F.col("id").asc())
     )
 
 
-def furniture(prompts: DataFrame, events: DataFrame, scope: Scope = Scope()) -> DataFrame:
+def furniture(
+    prompts: DataFrame, events: DataFrame, scope: Scope = Scope(), work: str | None = None
+) -> DataFrame:
     """How many repeated groups are kept and how many set aside."""
-    return repeated(prompts, events, scope).agg(
+    return repeated(prompts, events, scope, work).agg(
         F.count_if(~F.col("is_furniture")).alias("groups"),
         F.count_if(F.col("is_furniture")).alias("furniture"),
     )
@@ -127,7 +148,7 @@ def with_drafts(groups: DataFrame, now_ms: int) -> DataFrame:
 
 def lookup(groups: DataFrame, wanted: str | Column) -> DataFrame:
     """Groups with this id, or whose full hash starts with it."""
-    key = F.trim(F.lit(wanted) if isinstance(wanted, str) else wanted)
+    key = trim(F.lit(wanted) if isinstance(wanted, str) else wanted)
     return groups.where((F.col("id") == key) | F.col("text_hash").startswith(key))
 
 

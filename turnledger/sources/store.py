@@ -203,6 +203,14 @@ def append_prompts(
     _append(laid_out(rows.select(*columns)), prompts_path(store), fmt)
 
 
+def copy_without_texts(spark: SparkSession, store: str, target: str) -> None:
+    """Write the prompts to another store with hashes only; texts are not read.
+
+    Repeats are still found there. Removing the first store is up to the user.
+    """
+    append_prompts(read_prompts(spark, store), target, index_text=False)
+
+
 def append_cursors(files: DataFrame, store: str, adapter: str, now_ms: int) -> None:
     """Record files as read to their present size."""
     rows = files.select(
