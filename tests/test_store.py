@@ -7,7 +7,7 @@ from turnledger.functions.clock import Window, month_of
 from turnledger.functions.ids import text_hash
 from turnledger.operators.pricing import price_table
 from turnledger.operators.scope import Scope, in_window
-from turnledger.plans import health
+from turnledger.plans import health, notes
 from turnledger.sources import store as stores
 
 JUN, JUL, AUGUST = AUG - 45 * DAY, AUG - 15 * DAY, AUG + 5 * DAY
@@ -101,6 +101,15 @@ def test_a_store_of_month_files(spark, folder):
     assert files_read(stores.read_events(spark, folder).limit(0)) == 0
 
 
+def test_notes_tell_of_skipped_lines(spark, folder, no_prices):
+    month_store(folder)
+    lines = stores.read_event_lines(spark, folder, month_files=True)
+    stats = stores.scan_stats(lines)
+    events = lines.where("usable")
+    noted = one(notes.scan_notes(events, no_prices, scan_stats=stats))
+    assert (noted["events"], noted["lines_skipped"]) == (4, 1)
+
+
 def test_lines_that_break_the_contract_are_skipped(spark, folder):
     bad = [
         stored_line("no-agent", AUGUST, agent=None),

@@ -18,8 +18,8 @@ _RFC3339 = (
 
 
 def day_of(ts: Column) -> Column:
-    """UTC day, ``yyyy-MM-dd``."""
-    return F.date_from_unix_date(F.floor(ts / DAY_MS).cast("int")).cast("string")
+    """UTC day, ``yyyy-MM-dd``; NULL for a number no calendar reaches."""
+    return F.date_from_unix_date(F.floor(ts / DAY_MS).try_cast("int")).cast("string")
 
 
 def month_of(ts: Column) -> Column:

@@ -11,16 +11,18 @@ from turnledger.functions.rounding import cents
 from turnledger.functions.usage import has_usage, is_synthetic
 from turnledger.schemas import PRICE
 
-_RATES = ["input", "output", "cache_read", "cache_write"]
+_FREE_IF_MISSING = ["input", "output", "cache_read"]
 
 
 def price_table(spark: SparkSession, rates: Iterable[tuple]) -> DataFrame:
     """Rates given in code: ``(provider, model, input, output, cache_read, cache_write)``.
 
-    Built from Arrow, so that Spark knows the size of the table when it plans
-    the join. For a price list kept as a table, read that table instead.
+    The last rate given for a model counts. Built from Arrow, so that Spark
+    knows the size of the table when it plans the join. For a price list kept
+    as a table, read that table instead.
     """
-    columns = list(zip(*rates)) or [[] for _ in PRICE.fields]
+    latest = {row[:2]: row for row in rates}.values()
+    columns = list(zip(*latest)) or [[] for _ in PRICE.fields]
     arrow = pa.table(
         {
             name: pa.array(values, pa.string() if name in ("provider", "model") else pa.float64())
@@ -36,8 +38,9 @@ def with_rates(rows: DataFrame, prices: DataFrame) -> DataFrame:
     No broadcast hint: the planner broadcasts the price list when its size is
     under the configured threshold and shuffles otherwise.
     """
+    rates = [F.coalesce(name, F.lit(0.0)).alias(name) for name in _FREE_IF_MISSING]
     table = prices.select(
-        F.col("provider"), F.col("model"), F.struct(*_RATES).alias("rates")
+        "provider", "model", F.struct(*rates, F.col("cache_write")).alias("rates")
     )
     return rows.join(table, ["provider", "model"], "left")
 

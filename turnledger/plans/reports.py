@@ -46,7 +46,8 @@ def summary(events: DataFrame, prices: DataFrame, scope: Scope = Scope()) -> Dat
 
     A session that spans midnight is in two days and once in the period.
     """
-    daily = per_session(scanned(events, scope), prices, {"day": day_of(F.col("ts"))})
+    on_day = day_of(F.col("ts"))
+    daily = per_session(scanned(events, scope).where(on_day.isNotNull()), prices, {"day": on_day})
     day = F.col("key_day")
     return (
         daily.groupingSets([[day], []], day)
