@@ -51,7 +51,8 @@ def slug(text: Column) -> Column:
     words = F.transform(F.split(text, "[^A-Za-z0-9]+"), F.lower)
     kept = F.filter(words, lambda word: (word != "") & ~word.isin(STOPWORDS))
     name = F.array_join(F.slice(kept, 1, SLUG_WORDS), "-")
-    return F.when(name == "", DEFAULT_SKILL).otherwise(name)
+    # Fills in the empty name without naming, and so computing, it twice.
+    return F.regexp_replace(name, "^$", DEFAULT_SKILL)
 
 
 def action_kind(text: Column) -> Column:

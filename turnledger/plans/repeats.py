@@ -49,7 +49,7 @@ def _groups(prompts: DataFrame, events: DataFrame, scope: Scope) -> DataFrame:
 def repeated(
     prompts: DataFrame, events: DataFrame, scope: Scope = Scope(), work: str | None = None
 ) -> DataFrame:
-    """Every group of equal prompts, furniture marked.
+    """Every group of equal prompts with its text, furniture included.
 
     Texts stay out of the grouping: groups are formed on hashes, first per
     project inside each task, so a prompt that makes up a third of all rows is
@@ -71,30 +71,33 @@ def repeated(
     has_text = F.col("text_seq").isNotNull()
     with_text = texts.join(groups.where(has_text), ["text_hash", "text_seq"])
     without = groups.where(~has_text).withColumn("text", F.lit(None).cast("string"))
-    text = F.col("text")
     return with_text.unionByName(without).select(
         group_id(F.col("text_hash")).alias("id"),
         "text_hash",
         "count",
         "text",
-        text.isNotNull().alias("text_indexed"),
+        F.col("text").isNotNull().alias("text_indexed"),
         "last_ts",
         "projects",
-        action_kind(text).alias("suggestion"),
-        skill_name(text).alias("skill_name"),
-        is_furniture(text).alias("is_furniture"),
     )
 
 
 def suggestions(
     prompts: DataFrame, events: DataFrame, scope: Scope = Scope(), work: str | None = None
 ) -> DataFrame:
-    """Repeated prompts worth a command, most repeated first."""
+    """Repeated prompts worth a command, most repeated first.
+
+    What to do about them is worked out after sorting: sorting looks at its
+    input twice, and long texts should be taken apart once.
+    """
+    text = F.col("text")
     return (
         repeated(prompts, events, scope, work)
-        .where(~F.col("is_furniture"))
-        .drop("is_furniture")
+        .where(~is_furniture(text))
         .orderBy(F.col("count").desc(), F.col("last_ts").desc(), F.col("id").asc())
+        .select(
+            "*", action_kind(text).alias("suggestion"), skill_name(text).alias("skill_name")
+        )
     )
 
 
@@ -102,9 +105,9 @@ def furniture(
     prompts: DataFrame, events: DataFrame, scope: Scope = Scope(), work: str | None = None
 ) -> DataFrame:
     """How many repeated groups are kept and how many set aside."""
+    set_aside = is_furniture(F.col("text"))
     return repeated(prompts, events, scope, work).agg(
-        F.count_if(~F.col("is_furniture")).alias("groups"),
-        F.count_if(F.col("is_furniture")).alias("furniture"),
+        F.count_if(~set_aside).alias("groups"), F.count_if(set_aside).alias("furniture")
     )
 
 
