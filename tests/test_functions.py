@@ -102,12 +102,14 @@ def test_trim_takes_all_unicode_white_space(spark):
 
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.text(alphabet=WHITE_SPACE + "ab/<​", max_size=12), min_size=1, max_size=20))
-def test_trim_and_white_space_agree_with_python(spark, texts):
-    # Python's isspace also takes the four information separators, left out here.
+def test_trim_and_bare_commands_agree_with_python(spark, texts):
     stripped = values(spark, texts, text.trim)
     assert stripped == [given.strip(WHITE_SPACE) for given in texts]
-    spaced = values(spark, texts, text.has_white_space)
-    assert spaced == [any(char in WHITE_SPACE for char in given) for given in texts]
+    judged = values(spark, texts, text.is_furniture)
+    assert judged == [
+        body.startswith("/") and not any(char in WHITE_SPACE for char in body)
+        for body in (given.strip(WHITE_SPACE) for given in texts)
+    ]
 
 
 def test_slug(spark):
@@ -128,6 +130,9 @@ def test_furniture(spark):
         "/compact": True,
         "  /compact\n": True,
         "/review this": False,
+        "/": True,
+        "/a\n\n": True,
+        "/a\nb": False,
         "<command-name>x": True,
         "　[Request interrupted by user]": True,
         "say <command-name>": False,

@@ -1,5 +1,7 @@
 """Text rules for prompts and tool targets."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,10 +22,6 @@ def trim(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
-def has_white_space(text: Column) -> Column:
-    return text.rlike(f"[{WHITE_SPACE}]")
-
-
 def file_target(target: Column) -> Column:
     """The trimmed target when it names a file; a fetched page is not one."""
     path = trim(target)
@@ -31,18 +29,20 @@ def file_target(target: Column) -> Column:
     return F.when((path != "") & ~is_url, path)
 
 
+_FURNITURE = (
+    f"^[{WHITE_SPACE}]*(?:"
+    + "|".join(map(re.escape, FURNITURE_PREFIXES))
+    + rf"|/[^{WHITE_SPACE}]*[{WHITE_SPACE}]*\z)"
+)
+
+
 def is_furniture(text: Column) -> Column:
     """Text the client wrote into the log, not a prompt anyone typed.
 
     A bare slash command counts too: it needs no shortcut. Without a text
     there is nothing to judge and the answer is false.
     """
-    body = trim(text)
-    marked = F.lit(False)
-    for prefix in FURNITURE_PREFIXES:
-        marked = marked | body.startswith(prefix)
-    bare_command = body.startswith("/") & ~has_white_space(body)
-    return F.coalesce(marked | bare_command, F.lit(False))
+    return F.coalesce(text.rlike(_FURNITURE), F.lit(False))
 
 
 def slug(text: Column) -> Column:

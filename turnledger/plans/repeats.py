@@ -91,9 +91,11 @@ def suggestions(
     input twice, and long texts should be taken apart once.
     """
     text = F.col("text")
+    # Naming the count keeps this test above the join, on repeated texts only.
+    set_aside = F.when(F.col("count") >= MIN_OCCURRENCES, is_furniture(text))
     return (
         repeated(prompts, events, scope, work)
-        .where(~is_furniture(text))
+        .where(~set_aside)
         .orderBy(F.col("count").desc(), F.col("last_ts").desc(), F.col("id").asc())
         .select(
             "*", action_kind(text).alias("suggestion"), skill_name(text).alias("skill_name")
