@@ -2,10 +2,14 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import line_dedup, sharding
+from turnledger.llm import bpe, line_dedup, sharding
+
+#: The tokenizer file; it has to be at the same place on every executor.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +51,10 @@ FROM documents d LEFT JOIN whole USING (doc_id)
 """
 
 
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(table(spark, folder, "documents"), TOKENIZER)
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(table(spark, folder, "documents"), n_shards=40)
 
@@ -54,6 +62,7 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_line_dedup": op5_line_dedup,
+        "op6_bpe": op6_bpe,
         "op9_sharding": op9_sharding,
     }
 
