@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import bpe, line_dedup, sharding
+from turnledger.llm import bpe, decontamination, language, line_dedup, sharding
 
 #: The tokenizer file; it has to be at the same place on every executor.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contamination(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
+    )
+    return decontamination.digest(found)
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents")).select(
         "doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
@@ -55,14 +62,30 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), TOKENIZER)
 
 
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.fitted(docs.where(language.in_training()))
+    found = language.identified(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id",
+        (~language.in_training()).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+        F.size("lang_spans").cast("long").alias("n_spans"),
+        "lang_spans",
+    )
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(table(spark, folder, "documents"), n_shards=40)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_decontamination": op4_decontamination,
         "op5_line_dedup": op5_line_dedup,
         "op6_bpe": op6_bpe,
+        "op8_language": op8_language,
         "op9_sharding": op9_sharding,
     }
 
