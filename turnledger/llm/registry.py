@@ -6,16 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import bpe, decontamination, language, line_dedup, sharding
+from turnledger.llm import bpe, decontamination, language, line_dedup, sharding, token_counts
 
 #: The tokenizer file; it has to be at the same place on every executor.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return token_counts.count_tokens(table(spark, folder, "documents"), RANKS, bpe.PATTERN)
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(
         table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
@@ -82,6 +88,7 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_counts": op3_token_counts,
         "op4_decontamination": op4_decontamination,
         "op5_line_dedup": op5_line_dedup,
         "op6_bpe": op6_bpe,
