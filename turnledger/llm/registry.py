@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import bpe, decontamination, language, line_dedup, sharding, token_counts
+from turnledger.llm import bpe, decontamination, language, line_dedup, minhash, sharding, token_counts
 
 #: The tokenizer file; it has to be at the same place on every executor.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -86,6 +86,10 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(table(spark, folder, "documents"), n_shards=40)
 
 
+def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), shingle=4, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": op3_token_counts,
@@ -94,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": op6_bpe,
         "op8_language": op8_language,
         "op9_sharding": op9_sharding,
+        "op10_minhash": op10_minhash,
     }
 
 
