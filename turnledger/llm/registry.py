@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import bpe, decontamination, language, line_dedup, minhash, sharding, token_counts
+from turnledger.llm import bpe, class_lm, decontamination, language, line_dedup, minhash, sharding, token_counts
 
 #: The tokenizer file; it has to be at the same place on every executor.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -68,6 +68,10 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), TOKENIZER)
 
 
+def op7_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return class_lm.scored(table(spark, folder, "documents"))
+
+
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = language.fitted(docs.where(language.in_training()))
@@ -96,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": op4_decontamination,
         "op5_line_dedup": op5_line_dedup,
         "op6_bpe": op6_bpe,
+        "op7_class_lm": op7_class_lm,
         "op8_language": op8_language,
         "op9_sharding": op9_sharding,
         "op10_minhash": op10_minhash,
