@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import bpe, class_lm, decontamination, language, line_dedup, minhash, multi_index, sharding, token_counts
+from turnledger.llm import bpe, class_lm, decontamination, language, line_dedup, minhash, multi_index, sharding, suffix_dedup, token_counts
 
 #: The tokenizer file; it has to be at the same place on every executor.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,10 @@ def op1_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.near_vectors(table(spark, folder, "embeddings"))
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, folder, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every line of every document."""
     return token_counts.count_tokens(table(spark, folder, "documents"), RANKS, bpe.PATTERN)
@@ -101,6 +105,7 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_multi_index": op1_multi_index,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_decontamination": op4_decontamination,
         "op5_line_dedup": op5_line_dedup,
