@@ -78,12 +78,12 @@ pe AS (
 
 _CALLS = """
 calls AS (
-    SELECT r.id, r.seq, l_linenumber AS place,
+    SELECT r.id, r.seq, l_orderkey * 100 + l_linenumber AS place,
         CASE l_returnflag WHEN 'A' THEN 'Read' WHEN 'N' THEN 'Edit' ELSE 'Bash' END AS tool,
         CASE WHEN l_returnflag = 'R' THEN NULL
             WHEN l_suppkey % 10 = 0 THEN 'https://example.com/' || l_partkey
             ELSE 'src/f' || (l_partkey % 300) || '.rs' END AS target
-    FROM lineitem JOIN raw r ON l_orderkey = r.seq WHERE r.role = 'assistant'),
+    FROM lineitem JOIN raw r ON l_orderkey % (SELECT max(event_id) + 1 FROM events) = r.seq),
 """
 
 
@@ -228,6 +228,7 @@ SELECT count(*) AS events, count(*) FILTER (used) AS requests,
 FROM pe
 """
 
+# The prefixes, words and spaces below are what the results rely on.
 # The Unicode white space set, as DuckDB character codes.
 _SPACE = " || ".join(
     f"chr({code})"
@@ -376,6 +377,7 @@ _SUMMARY_ROW = """
 SELECT 'agent-a' AS adapter, {files}::BIGINT AS files_read, count(*) AS new_events,
     count(*) FILTER (role = 'user') AS new_prompts,
     (SELECT count(*) FROM raw WHERE seq % 101 = 0) AS skipped_unparseable,
+    0::BIGINT AS skipped_oversized,
     {duplicates}::BIGINT AS duplicates, {cursors} AS cursors_written
 FROM records WHERE {where}
 """
@@ -478,8 +480,18 @@ def statements() -> dict[str, str]:
             f" AND ts >= {NOW_MS - 16 * DAY_MS} AND ts < {NOW_MS} GROUP BY day",
             _PRICED,
         ),
+        "window_months": _projects(
+            f"ts - seq % 3 * {31 * DAY_MS} >= {NOW_MS - 50 * DAY_MS}"
+            f" AND ts - seq % 3 * {31 * DAY_MS} < {NOW_MS}"
+        ),
         "no_sidechain_projects": _projects("is_sidechain IS DISTINCT FROM true"),
         "report_notes": _with(_NOTES, _PRICED),
+        "compare_notes": _with(
+            _NOTES.replace(
+                "FROM pe", f"FROM (SELECT * FROM pe WHERE ts >= {NOW_MS - 14 * DAY_MS} AND ts < {NOW_MS})"
+            ),
+            _PRICED,
+        ),
         "unpriced_models": _with(
             """SELECT coalesce(model, '(unknown model)') AS model, count(*) AS requests
             FROM pe WHERE billable AND cost IS NULL GROUP BY 1""",
@@ -487,15 +499,20 @@ def statements() -> dict[str, str]:
         ),
         "burn_rate": _with(_BURN, _PRICED),
         "hourly_cost": _with(
-            """SELECT hour, round(sum(cost_est) * 100) / 100 AS cost FROM ue WHERE cost_est > 0
-            GROUP BY hour ORDER BY sum(cost_est) DESC, hour DESC LIMIT 5"""
+            """SELECT hour, round(sum(CAST(cost_est AS DECIMAL(20, 9)))::DOUBLE * 100) / 100 AS cost
+            FROM ue WHERE cost_est > 0
+            GROUP BY hour ORDER BY cost DESC, hour DESC LIMIT 5"""
         ),
         "suggest_groups": _with(_GROUP_ROWS, _REPEATS),
         "suggest_furniture": _with(
             """SELECT count(*) FILTER (NOT is_furniture) AS groups,
                 count(*) FILTER (is_furniture) AS furniture FROM groups""",
-            _REPEATS,
+            _REPEATS.replace("FROM documents", """FROM (SELECT doc_id,
+                CASE WHEN length(text) % 3 = 0 THEN '<command-name>' || text ELSE text END AS text
+                FROM documents)"""),
         ),
+        "suggest_months": _with(_GROUP_ROWS, _REPEATS.replace(
+            "max(ts) AS last_ts", f"max(ts - ue.seq % 3 * {31 * DAY_MS}) AS last_ts")),
         "suggest_text_off": _with(_TEXT_OFF, _REPEATS),
         "suggest_drafts": _with(_DRAFTS, _REPEATS),
         "prompts_redacted": _with(
@@ -538,6 +555,39 @@ def statements() -> dict[str, str]:
             _CALLS,
             _RECORDS,
         ),
+        "ingest_first_record": _with(
+            _STORED_ROWS,
+            _CALLS,
+            _RECORDS,
+            _STORED.replace("turn_id ORDER BY seq)", "turn_id ORDER BY seq % 2, seq)"),
+        ),
+        "ingest_hidden_names": _with(
+            """SELECT 8::BIGINT AS files_seen, 8::BIGINT AS files_read, count(*) AS new_events,
+                0::BIGINT AS unreadable_files FROM records""",
+            _CALLS,
+            _RECORDS,
+        ),
+        "ingest_since": _with(
+            """SELECT 0 AS run, 8::BIGINT AS files_seen, 0::BIGINT AS files_read,
+                0::BIGINT AS new_events
+            UNION ALL SELECT 1, 8, 8, (SELECT count(*) FROM records)""",
+            _CALLS,
+            _RECORDS,
+        ),
+        "transcript_long_lines": _with(
+            """SELECT CASE WHEN seq % 101 = 0 THEN 'unparseable' WHEN seq % 103 = 0 THEN 'skipped'
+                ELSE 'record' END AS status, count(*) AS lines,
+                CAST(sum(CASE WHEN seq % 101 <> 0 AND seq % 103 <> 0 THEN input_tok END) AS BIGINT)
+                    AS input_tok FROM raw GROUP BY 1"""
+        ),
+        "stream_counts": _with(
+            """SELECT count(*) AS new_events, count(*) FILTER (role = 'user') AS new_prompts,
+                (SELECT count(*) FROM raw WHERE seq % 101 = 0) AS skipped_unparseable,
+                0::BIGINT AS skipped_oversized, 0::BIGINT AS duplicates FROM records""",
+            _CALLS,
+            _RECORDS,
+        ),
+        "event_footprint": "SELECT count(*) AS records, true AS all_files, true AS all_bytes FROM events",
         "changed_files": """
             SELECT 'second' AS folder, count(*) AS lines FROM events
             WHERE event_id >= (SELECT avg(event_id) FROM events)""",
@@ -564,5 +614,5 @@ def statements() -> dict[str, str]:
         "kpi_coverage": _with(_KPI, _PRICED, _CALLS),
         "source_sessions": _with("SELECT count(DISTINCT session_id) AS sessions FROM raw"),
         "prompt_footprint": """
-            SELECT count(*) AS records, true AS has_files, true AS has_bytes FROM documents""",
+            SELECT count(*) AS records, true AS all_files, true AS all_bytes FROM documents""",
     }

@@ -150,9 +150,50 @@ def suggest_text_off(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suggest_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the texts are made furniture, by their length."""
     work = new_work_folder(spark, "repeats")
     events = sample.raw_events(spark, sf_dir)
-    return repeats.furniture(sample.prompts(spark, sf_dir), events, work=work)
+    marked = F.when(F.length("text") % 3 == 0, F.concat(F.lit("<command-name>"), "text"))
+    prompts = sample.prompts(spark, sf_dir).withColumn("text", F.coalesce(marked, "text"))
+    prompts = prompts.withColumn("text_hash", text_hash(F.col("text")))
+    return repeats.furniture(prompts, events, work=work)
+
+
+def _months_store(spark: SparkSession, sf_dir: str, label: str) -> str:
+    """A store over three months, written in two runs; row numbers start anew in
+    every month, as they do when months are ingested apart."""
+    home = new_work_folder(spark, label)
+    events = sample.over_months(sample.usage_events(spark, sf_dir))
+    events = events.withColumn("month", month_of(F.col("ts")))
+    months = events.select(F.col("id").alias("event_id"), "month")
+    prompts = sample.prompts(spark, sf_dir).join(months, "event_id")
+    for rest in (0, 1):
+        run = F.pmod(F.floor(F.col("seq") / 3), F.lit(2)) == rest
+        renumbered = F.floor(F.col("seq") / 3).cast("long")
+        stores.append_events(events.where(run).withColumn("seq", renumbered), home)
+        stores.append_prompts(prompts.where(run).withColumn("seq", renumbered), home)
+    return home
+
+
+def suggest_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated prompts of a stored table of several months."""
+    home = _months_store(spark, sf_dir, "months")
+    prompts, events = stores.read_prompts(spark, home), stores.read_events(spark, home)
+    return _shown(repeats.suggestions(prompts, events, work=f"{home}/work"))
+
+
+def window_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A period that leaves out whole months of a stored table."""
+    home = _months_store(spark, sf_dir, "window")
+    window = Window.last(50, "d", NOW_MS)
+    events = stores.read_events(spark, home, window)
+    return reports.projects(events, sample.prices(spark), Scope(window))
+
+
+def compare_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = sample.usage_events(spark, sf_dir)
+    found = reports.compare_notes(events, sample.prices(spark), Scope(LAST_WEEK))
+    return found.withColumn("unpriced_models", _joined("unpriced_models"))
 
 
 def suggest_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,6 +312,56 @@ def _summary(project: str | None) -> Query:
     return run
 
 
+def ingest_first_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two folders, one named like the other and more, with records of the same
+    requests. The shorter name's come first, whatever their files are called."""
+    home = new_work_folder(spark, "first")
+    records = _records(spark, sf_dir)
+    for rest, folder in enumerate(("acme/z", "acme-2/a")):
+        _land(records.where(F.col("seq") % 2 == rest), f"{home}/logs/{folder}", FILES // 2)
+    ingest(spark, f"{home}/logs", f"{home}/store", sample.prices(spark), NOW_MS, SOURCE)
+    return _stored(spark, f"{home}/store")
+
+
+def ingest_hidden_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts in folders that a scan passes over unless they are named."""
+    home = new_work_folder(spark, "hidden")
+    records = _records(spark, sf_dir)
+    for rest, folder in enumerate(("plain", "_work/deep", ".dot", "plain/.inner/_more")):
+        _land(records.where(F.col("seq") % 4 == rest), f"{home}/logs/{folder}", 2)
+    done = ingest(spark, f"{home}/logs", f"{home}/store", sample.prices(spark), NOW_MS, SOURCE)
+    return done.select("files_seen", "files_read", "new_events", "unreadable_files")
+
+
+def ingest_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By modification time: first a period before the files, then all time."""
+    home = new_work_folder(spark, "since")
+    _land(_records(spark, sf_dir), f"{home}/logs")
+    runs = []
+    for run, window in enumerate((Window(None, NOW_MS), Window())):
+        done = ingest(
+            spark, f"{home}/logs", f"{home}/store", sample.prices(spark), NOW_MS, SOURCE, window
+        )
+        runs.append(done.select(F.lit(run).alias("run"), "files_seen", "files_read", "new_events"))
+    return runs[0].union(runs[1])
+
+
+def transcript_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Carriage returns between tokens, and now and then a string of 25 MiB."""
+    home = new_work_folder(spark, "long")
+    number = F.col("seq")
+    lines = sample.transcript_lines(_ordered(_records(spark, sf_dir), FILES))
+    broken = F.when(number % 7 == 0, F.replace("value", F.lit('{"type"'), F.lit('{\r"type"')))
+    pad = F.concat(F.lit('{"pad":"'), F.repeat(F.lit("x"), 25 << 20), F.lit('",'))
+    long = F.when(number % 5000 == 1, F.concat(pad, F.substring("value", 2, 2**31 - 1)))
+    lines.select(F.coalesce(long, broken, "value").alias("value")).write.text(f"{home}/logs")
+    read = transcripts.read_lines(spark, f"{home}/logs", SOURCE.pattern)
+    parsed = transcripts.parse_lines(read, SOURCE.agent, SOURCE.provider)
+    return parsed.groupBy("status").agg(
+        F.count("*").alias("lines"), F.sum("input_tok").alias("input_tok")
+    )
+
+
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines waiting in the files that no cursor covers."""
     home = new_work_folder(spark, "changed")
@@ -311,6 +402,23 @@ def _streamed(horizon: str | None, land_copies: bool) -> Query:
     return run
 
 
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the batches of a stream counted, in all."""
+    home = new_work_folder(spark, "counted")
+    for name, records in zip("ab", _halves(spark, sf_dir), strict=True):
+        _land(records, f"{home}/logs/{name}", FILES // 2)
+        start_ingest(
+            spark,
+            f"{home}/logs",
+            f"{home}/store",
+            sample.prices(spark),
+            f"{home}/checkpoint",
+            SOURCE,
+        ).awaitTermination()
+    counted = stores.read_runs(spark, f"{home}/store")
+    return counted.agg(*[F.sum(name).alias(name) for name in counted.columns if name != "run"])
+
+
 def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written by month and read back, as Parquet and as JSON lines."""
     home = new_work_folder(spark, "roundtrip")
@@ -372,11 +480,28 @@ def prompt_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = sample.prompts(spark, sf_dir).join(months, "event_id")
     stores.append_prompts(prompts, home)
     found = health.store_footprint(stores.read_prompts(spark, home))
-    return found.select(
-        "records", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes")
+    return _against_listing(spark, found, stores.prompts_path(home))
+
+
+def _against_listing(spark: SparkSession, footprint: DataFrame, folder: str) -> DataFrame:
+    """A footprint with its files and bytes held against the folder's listing."""
+    listed = transcripts.list_files(spark, folder, "*.parquet").agg(
+        F.struct(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    )
+    there = listed.scalar()
+    return footprint.select(
+        "records",
+        (F.col("files") == there["files"]).alias("all_files"),
+        (F.col("bytes") == there["bytes"]).alias("all_bytes"),
     )
 
 
+def event_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    home = _months_store(spark, sf_dir, "bytes")
+    found = health.store_footprint(stores.read_events(spark, home))
+    return _against_listing(spark, found, stores.events_path(home))
+
+
 def _with_settings(run: Query) -> Query:
     def configured(spark: SparkSession, sf_dir: str) -> DataFrame:
         return run(configure(spark), sf_dir)
@@ -406,15 +531,18 @@ def registered() -> dict[str, Query]:
         ),
         "window_7d_projects": _report(reports.projects, scope=Scope(LAST_WEEK)),
         "window_project_filter": window_project_filter,
+        "window_months": window_months,
         "no_sidechain_projects": _report(
             reports.projects, scope=Scope(include_sidechain=False)
         ),
         "report_notes": report_notes,
+        "compare_notes": compare_notes,
         "unpriced_models": unpriced_models,
         "burn_rate": burn_rate,
         "hourly_cost": hourly_cost,
         "suggest_groups": suggest_groups,
         "suggest_furniture": suggest_furniture,
+        "suggest_months": suggest_months,
         "suggest_text_off": suggest_text_off,
         "suggest_drafts": suggest_drafts,
         "prompts_redacted": prompts_redacted,
@@ -426,14 +554,20 @@ def registered() -> dict[str, Query]:
         "ingest_incremental": ingest_incremental,
         "ingest_summary": _summary(None),
         "ingest_project": _summary("proj-3"),
+        "ingest_first_record": ingest_first_record,
+        "ingest_hidden_names": ingest_hidden_names,
+        "ingest_since": ingest_since,
+        "transcript_long_lines": transcript_long_lines,
         "changed_files": changed_files,
         "stream_ingest": _streamed(None, land_copies=False),
         "stream_dedup": _streamed("1 hour", land_copies=True),
+        "stream_counts": stream_counts,
         "store_roundtrip": store_roundtrip,
         "scan_stats": scan_stats,
         "store_health": store_health,
         "kpi_coverage": kpi_coverage,
         "source_sessions": source_sessions,
         "prompt_footprint": prompt_footprint,
+        "event_footprint": event_footprint,
     }
     return {name: _with_settings(run) for name, run in everything.items()}

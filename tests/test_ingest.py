@@ -10,48 +10,53 @@ from turnledger.operators.pricing import price_table
 from turnledger.plans import ingest as plan
 from turnledger.plans.ingest import Source, ingest
 from turnledger.sources import store as stores
-from turnledger.sources.transcripts import changed_files, list_files, read_lines, source_sessions
+from turnledger.sources.transcripts import (
+    changed_files,
+    list_files,
+    parse_lines,
+    read_lines,
+    source_sessions,
+)
 
-SESSION = "sess-1"
+MODEL = "lantern-large"
 
 
-def line(kind, uuid, second, **fields):
-    base = {
-        "type": kind,
-        "timestamp": f"2026-08-01T10:00:{second:02}.000Z",
-        "uuid": uuid,
-        "sessionId": SESSION,
-        "cwd": "/home/me/acme",
-    }
-    return json.dumps({**base, **fields})
+def entry(kind, uuid, when, **fields):
+    """A transcript line of one session; ``when`` is a full time or a second."""
+    stamp = when if isinstance(when, str) else f"2026-03-30T22:15:{when:02}.250Z"
+    own = {"type": kind, "uuid": uuid, "timestamp": stamp, "sessionId": "evening", "cwd": "/srv/blue"}
+    return json.dumps(own | fields)
 
 
-def said(uuid, second, text="run the tests", **fields):
-    return line("user", uuid, second, message={"content": text}, **fields)
+def said(uuid, when, text="rename the flag", **fields):
+    return entry("user", uuid, when, message={"content": text}, **fields)
 
 
-def answered(uuid, second, request, tokens=100, **fields):
+def answered(uuid, when, request, tokens=40, **fields):
+    used = {"type": "tool_use", "name": "Grep", "input": {"pattern": f"flag_{uuid}"}}
     message = {
-        "model": "claude-opus",
-        "usage": {"input_tokens": tokens, "output_tokens": 10},
-        "content": [{"type": "tool_use", "name": "Read", "input": {"file_path": f"{uuid}.rs"}}],
+        "model": MODEL,
+        "usage": {"input_tokens": tokens, "output_tokens": 3, "cache_read_input_tokens": 7},
+        "content": [used, {"type": "tool_use", "name": "Bash", "input": {}}],
     }
-    return line("assistant", uuid, second, requestId=request, message=message, **fields)
-
-
-SIX = [
-    json.dumps({"type": "mode"}),
-    said("u1", 1),
-    answered("u2", 2, "req_1"),
-    answered("u3", 3, "req_1"),
-    "{malformed",
-    answered("u4", 4, "req_2", isSidechain=True),
+    return entry("assistant", uuid, when, requestId=request, message=message, **fields)
+
+
+# An evening that runs into another month, with one request on both sides of it.
+EVENING = [
+    said("p-10", "2026-03-30T22:15:04Z"),
+    answered("r-11", "2026-03-30T22:15:40Z", "ask-1", tokens=25),
+    answered("r-12", "2026-03-31T23:59:58Z", "ask-2"),
+    "[1, 2",
+    answered("r-13", "2026-04-01T00:00:03Z", "ask-2", tokens=90),
+    json.dumps({"type": "summary", "leafUuid": "r-13"}),
+    said("p-14", "2026-04-01T08:00:00Z", isSidechain=True),
 ]
 
 
 @pytest.fixture
 def prices(spark):
-    return price_table(spark, [("anthropic", "claude-opus", 10.0, 100.0, 1.0, None)])
+    return price_table(spark, [("anthropic", MODEL, 4.0, 20.0, 1.0, None)])
 
 
 def stored(spark, store):
@@ -64,32 +69,115 @@ def run(spark, folder, prices, now=1, **options):
     return one(ingest(spark, f"{folder}/logs", f"{folder}/store", prices, now, **options))
 
 
-def test_six_lines(spark, folder, prices):
-    write_lines(folder, "logs/p/a.jsonl", SIX)
-    write_lines(folder, "logs/p/notes.txt", ["not a transcript"])
+def test_an_evening(spark, folder, prices):
+    write_lines(folder, "logs/blue/1.jsonl", EVENING)
+    write_lines(folder, "logs/blue/1.jsonl.bak", ["of no concern"])
     assert run(spark, folder, prices) == {
         "adapter": "claude-code",
         "files_seen": 1,
         "files_read": 1,
-        "new_events": 4,
-        "new_prompts": 1,
+        "new_events": 5,
+        "new_prompts": 2,
         "skipped_unparseable": 1,
+        "skipped_oversized": 0,
         "duplicates": 0,
         "unreadable_files": 0,
         "cursors_written": True,
     }
     rows = rows_of(stores.read_events(spark, f"{folder}/store").orderBy("ts"))
-    assert [row["input_tok"] for row in rows] == [None, 100, None, 100]
-    # Siblings lose usage and cost, not their tool calls.
-    assert [row["cost_est"] for row in rows] == [None, 0.002, None, 0.002]
-    assert [len(row["tool_calls"]) for row in rows] == [0, 1, 1, 1]
-    assert [row["seq"] for row in rows] == sorted(row["seq"] for row in rows)
-    prompt = one(stores.read_prompts(spark, f"{folder}/store"))
-    assert (prompt["text"], prompt["event_id"]) == ("run the tests", rows[0]["id"])
+    assert [row["month"] for row in rows] == ["2026-03"] * 3 + ["2026-04"] * 2
+    assert [row["input_tok"] for row in rows] == [None, 25, 40, None, None]
+    # 25 or 40 at 4, 3 at 20 and 7 at 1 a million; a sibling keeps its calls only.
+    assert [row["cost_est"] for row in rows] == pytest.approx([None, 167e-6, 227e-6, None, None])
+    assert [len(row["tool_calls"]) for row in rows] == [0, 2, 2, 2, 0]
+    prompts = rows_of(stores.read_prompts(spark, f"{folder}/store").orderBy("month"))
+    assert [row["event_id"] for row in prompts] == [rows[0]["id"], rows[4]["id"]]
+    assert len({row["text_hash"] for row in prompts}) == 1
+
+
+def test_folders_sort_by_name_and_not_by_the_whole_path(spark, folder, prices):
+    write_lines(folder, "logs/blue/z.jsonl", [answered("a", 9, "ask", tokens=5)])
+    write_lines(folder, "logs/blue-2/a.jsonl", [answered("b", 1, "ask", tokens=8)])
+    write_lines(folder, "logs/blue 1+1/a.jsonl", [answered("c", 1, "ask", tokens=13)])
+    assert run(spark, folder, prices)["new_events"] == 3
+    counted = [row["input_tok"] for row in stored(spark, f"{folder}/store") if row["input_tok"]]
+    assert counted == [5]
+
+
+def test_a_request_counted_months_ago_stays_counted(spark, folder, prices):
+    write_lines(folder, "logs/1.jsonl", [answered("a", "2026-01-05T10:00:00Z", "ask", tokens=5)])
+    write_lines(folder, "logs/2.jsonl", [said("b", "2026-02-05T10:00:00Z", sessionId="other")])
+    run(spark, folder, prices)
+    write_lines(folder, "logs/3.jsonl", [answered("c", "2026-06-05T10:00:00Z", "ask", tokens=8)])
+    run(spark, folder, prices, now=2)
+    counted = [row["input_tok"] for row in stored(spark, f"{folder}/store") if row["input_tok"]]
+    assert counted == [5]
+    # The months looked at are those of the session, not all there are.
+    lines = read_lines(spark, f"{folder}/logs")
+    records = parse_lines(lines).where("session_id = 'evening'")
+    assert sorted(plan._claim_months(spark, f"{folder}/store", records)) == ["2026-01", "2026-06"]
+
+
+def test_a_run_that_died_between_its_notes_and_its_events(spark, folder, prices, monkeypatch):
+    write_lines(folder, "logs/1.jsonl", EVENING)
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(plan, "append_prompts", fail)
+        with pytest.raises(RuntimeError):
+            run(spark, folder, prices)
+    assert stores.read_sessions(spark, f"{folder}/store").count() == 2
+    assert run(spark, folder, prices, now=2)["new_events"] == 5
+    counted = [row["input_tok"] for row in stored(spark, f"{folder}/store") if row["input_tok"]]
+    assert sorted(counted) == [25, 40]
+
+
+def test_a_store_without_notes_on_sessions_gets_them(spark, folder, prices):
+    write_lines(folder, "logs/1.jsonl", [answered("a", "2026-01-05T10:00:00Z", "ask", tokens=5)])
+    run(spark, folder, prices)
+    os.rename(stores.sessions_path(f"{folder}/store"), f"{folder}/elsewhere")
+    write_lines(folder, "logs/2.jsonl", [answered("c", "2026-06-05T10:00:00Z", "ask", tokens=8)])
+    run(spark, folder, prices, now=2)
+    counted = [row["input_tok"] for row in stored(spark, f"{folder}/store") if row["input_tok"]]
+    assert counted == [5]
+
+
+def test_hidden_names_and_carriage_returns(spark, folder, prices):
+    for number, name in enumerate(("_work/a", ".dot/a", "ok/_x", "ok/a", ".dot/_in/.b")):
+        line = answered(f"u{number}", number, f"ask-{number}")
+        write_lines(folder, f"logs/{name}.jsonl", [line.replace(', "', ', \r"')])
+    summary = run(spark, folder, prices)
+    assert (summary["files_seen"], summary["new_events"], summary["skipped_unparseable"]) == (5, 3, 0)
+    # No reader of Spark opens a file of such a name, so these two are told of.
+    assert (summary["files_read"], summary["unreadable_files"]) == (3, 2)
+
+
+def test_one_old_file_does_not_open_the_newer_ones(spark, folder, prices):
+    for number in range(1, 4):
+        path = write_lines(folder, f"logs/{number}.jsonl", [said(f"u{number}", number)])
+        os.utime(path, (number * 10**6, number * 10**6))
+    run(spark, folder, prices)
+    path = write_lines(folder, "logs/0.jsonl", [said("u0", 0)])
+    os.utime(path, (5 * 10**5, 5 * 10**5))
+    lines = read_lines(spark, f"{folder}/logs", days=["1970-01-06"])
+    assert [row["path"][-7:] for row in lines.select("path").distinct().collect()] == ["0.jsonl"]
+    summary = run(spark, folder, prices, now=2)
+    assert (summary["files_read"], summary["new_events"], summary["duplicates"]) == (1, 1, 0)
+
+
+def test_a_file_from_before_the_epoch_is_left_out_on_every_run(spark, folder, prices):
+    path = write_lines(folder, "logs/a.jsonl", [said("u1", 1)])
+    os.utime(path, (-1000, -1000))
+    write_lines(folder, "logs/b.jsonl", [said("u2", 2)])
+    for now in (1, 2):
+        summary = run(spark, folder, prices, now=now)
+        assert (summary["unreadable_files"], summary["files_read"]) == (1, 2 - now)
 
 
 def test_a_second_run_changes_nothing(spark, folder, prices):
-    path = write_lines(folder, "logs/a.jsonl", SIX)
+    path = write_lines(folder, "logs/a.jsonl", EVENING)
     run(spark, folder, prices)
     before = stored(spark, f"{folder}/store")
     again = run(spark, folder, prices, now=2)
@@ -98,28 +186,28 @@ def test_a_second_run_changes_nothing(spark, folder, prices):
     with open(path, "a") as out:
         out.write(said("u5", 9) + "\n")
     grown = run(spark, folder, prices, now=3)
-    assert (grown["files_read"], grown["new_events"], grown["duplicates"]) == (1, 1, 4)
+    assert (grown["files_read"], grown["new_events"], grown["duplicates"]) == (1, 1, 5)
     assert len(stored(spark, f"{folder}/store")) == len(before) + 1
 
 
 def test_parts_equal_the_whole(spark, folder, prices):
-    path = write_lines(folder, "logs/a.jsonl", SIX[:3])
+    path = write_lines(folder, "logs/a.jsonl", EVENING[:4])
     run(spark, folder, prices)
     with open(path, "a") as out:
-        out.write("\n".join(SIX[3:]) + "\n")
+        out.write("\n".join(EVENING[4:]) + "\n")
     run(spark, folder, prices, now=2)
-    write_lines(folder, "whole/logs/a.jsonl", SIX)
+    write_lines(folder, "whole/logs/a.jsonl", EVENING)
     run(spark, f"{folder}/whole", prices)
     assert stored(spark, f"{folder}/store") == stored(spark, f"{folder}/whole/store")
 
 
 def test_a_project_run_stores_that_project_and_no_cursor(spark, folder, prices):
-    write_lines(folder, "logs/a.jsonl", SIX)
+    write_lines(folder, "logs/a.jsonl", EVENING)
     other = run(spark, folder, prices, project="other")
     assert (other["new_events"], other["cursors_written"]) == (0, False)
     assert stores.read_cursors(spark, f"{folder}/store").count() == 0
-    acme = run(spark, folder, prices, project="acme")
-    assert (acme["new_events"], acme["files_read"]) == (4, 1)
+    blue = run(spark, folder, prices, project="blue")
+    assert (blue["new_events"], blue["files_read"]) == (5, 1)
 
 
 def test_text_can_be_left_out(spark, folder, prices):
@@ -156,8 +244,8 @@ def test_first_means_first_in_path_and_line_order(spark, folder, prices):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert (summary["new_events"], summary["duplicates"]) == (53, 1)
     counted = [row for row in stored(spark, f"{folder}/store") if row["input_tok"] is not None]
-    # "a.jsonl" sorts before "a/z.jsonl" and "b.jsonl".
-    assert [row["input_tok"] for row in counted] == [5]
+    # The folder "a" sorts before "a.jsonl" and "b.jsonl".
+    assert [row["input_tok"] for row in counted] == [9]
 
 
 def test_a_third_of_all_lines_being_copies(spark, folder, prices):
@@ -169,11 +257,11 @@ def test_a_third_of_all_lines_being_copies(spark, folder, prices):
     summary = run(spark, folder, prices)
     assert (summary["new_events"], summary["duplicates"]) == (301, 299)
     counted = [row["input_tok"] for row in stored(spark, f"{folder}/store") if row["input_tok"]]
-    assert sorted(counted) == [1, 100]
+    assert sorted(counted) == [1, 40]
 
 
 def test_a_run_that_died_after_its_prompts_is_completed(spark, folder, prices, monkeypatch):
-    write_lines(folder, "logs/a.jsonl", SIX)
+    write_lines(folder, "logs/a.jsonl", EVENING)
 
     def fail(*_):
         raise RuntimeError("lost")
@@ -182,10 +270,10 @@ def test_a_run_that_died_after_its_prompts_is_completed(spark, folder, prices, m
         patch.setattr(plan, "append_events", fail)
         with pytest.raises(RuntimeError):
             run(spark, folder, prices)
-    assert stores.read_prompts(spark, f"{folder}/store").count() == 1
-    assert run(spark, folder, prices, now=2)["new_events"] == 4
-    assert stores.read_prompts(spark, f"{folder}/store").count() == 1
-    assert stores.read_events(spark, f"{folder}/store").count() == 4
+    assert stores.read_prompts(spark, f"{folder}/store").count() == 2
+    assert run(spark, folder, prices, now=2)["new_events"] == 5
+    assert stores.read_prompts(spark, f"{folder}/store").count() == 2
+    assert stores.read_events(spark, f"{folder}/store").count() == 5
 
 
 def test_torn_last_line(spark, folder, prices):
@@ -225,10 +313,10 @@ def test_sources_that_do_not_exist(spark, folder, prices):
 
 
 def test_old_files_are_pruned_before_reading(spark, folder):
-    for number in range(4):
+    for number in range(1, 4):
         path = write_lines(folder, f"logs/{number}.jsonl", ["x"])
-        os.utime(path, (1000 * number, 1000 * number))
-    lines = read_lines(spark, f"{folder}/logs", modified_from=3_000_000)
+        os.utime(path, (10**6 * number, 10**6 * number))
+    lines = read_lines(spark, f"{folder}/logs", days=["1970-02-04"])
     assert lines.count() == 1
     scan = lines._jdf.queryExecution().executedPlan().toString()
     assert "file_modification_time" in scan

@@ -9,10 +9,10 @@ from turnledger.functions.ids import text_hash
 from turnledger.operators.scope import Scope
 from turnledger.plans import repeats
 
-SHORT = "run the test suite and fix any failures"
+SHORT = "bump the version"
 LONG = (
-    "check every migration file against the schema, then list what is missing and write the "
-    "statements that would bring it in line"
+    "go through the open questions in the notes file one after another, answer each from the "
+    "code and mark those that need a decision"
 )
 NOW = at(20)
 
@@ -36,35 +36,51 @@ def store(spark, sent):
     return prompts, events_frame(spark, rows)
 
 
+# Text, project and day, in no order of either.
 SENT = [
-    (SHORT, "acme-api", 3),
-    (SHORT, "web-shop", 4),
-    (SHORT, "acme-api", 5),
-    (LONG, "acme-api", 4),
-    (LONG, None, 6),
-    ("only once", "acme-api", 4),
+    (LONG, "mill", 9),
+    (SHORT, None, 8),
+    ("thanks", "mill", 8),
+    (SHORT, "quay", 12),
+    (SHORT, "quay", 7),
+    (LONG, "mill", 10),
+    (SHORT, "mill", 11),
 ]
 
 
 def test_repeated_prompts(spark):
     found = rows_of(repeats.suggestions(*store(spark, SENT)))
-    assert [(row["count"], row["suggestion"]) for row in found] == [(3, "slash-command"), (2, "skill")]
-    assert found[0]["projects"] == ["acme-api", "web-shop"]
-    assert (found[0]["skill_name"], found[1]["skill_name"]) == (None, "check-every-migration-file")
-    assert found[0]["text"] == SHORT and found[0]["last_ts"] == at(5)
-    assert found[0]["id"] == found[0]["text_hash"][:8] and len(found[0]["text_hash"]) == 32
+    shown = [(r["text"], r["count"], r["last_ts"], r["projects"], r["suggestion"]) for r in found]
+    assert shown == [
+        (SHORT, 4, at(12), ["mill", "quay"], "slash-command"),
+        (LONG, 2, at(10), ["mill"], "skill"),
+    ]
+    assert [r["skill_name"] for r in found] == [None, "go-through-open-questions"]
+    assert all(r["id"] == r["text_hash"][:8] and len(r["text_hash"]) == 32 for r in found)
 
 
 def test_period_and_project_come_from_the_events(spark):
     prompts, events = store(spark, SENT)
-    in_days = Scope(Window(at(3), at(5)))
-    assert [row["count"] for row in rows_of(repeats.suggestions(prompts, events, in_days))] == [2]
-    acme = Scope(project="acme-api")
-    assert [row["count"] for row in rows_of(repeats.suggestions(prompts, events, acme))] == [2]
+    for scope, counts in (
+        (Scope(Window(at(8), at(12))), [2, 2]),
+        (Scope(Window(at(9), at(10))), []),
+        (Scope(project="quay"), [2]),
+    ):
+        found = repeats.suggestions(prompts, events, scope)
+        assert [row["count"] for row in rows_of(found)] == counts
+
+
+def test_row_numbers_that_start_anew_every_month(spark):
+    prompts, events = store(spark, [(LONG, "mill", day) for day in (3, 4, 5, 6)])
+    month = F.when(F.col("event_id") < "e002", "2026-07").otherwise("2026-08")
+    prompts = prompts.withColumn("month", month).withColumn("seq", F.col("seq") % 2)
+    (row,) = rows_of(repeats.suggestions(prompts, events))
+    assert (row["count"], row["text"]) == (4, LONG)
+    assert repeats.draft_of(repeats.suggestions(prompts, events), row["id"], NOW)
 
 
 def test_sidechain_events_always_take_part(spark):
-    prompts, events = store(spark, SENT[:2])
+    prompts, events = store(spark, [SENT[1], SENT[3]])
     scope = Scope(include_sidechain=False)
     side = events.withColumn("is_sidechain", F.lit(True))
     assert len(rows_of(repeats.suggestions(prompts, side, scope))) == 1
@@ -118,11 +134,11 @@ def test_drafts(spark):
     groups = repeats.suggestions(*store(spark, SENT))
     drafts = rows_of(repeats.with_drafts(groups, NOW))
     long = drafts[1]["draft"]
-    assert long.startswith("---\nname: check-every-migration-file\n")
-    assert "2 times, last 14d ago" in long and f"```\n{LONG}\n```" in long
+    assert long.startswith("---\nname: go-through-open-questions\n")
+    assert "2 times, last 10d ago" in long and f"```\n{LONG}\n```" in long
     assert drafts[1]["id"] in long and drafts[1]["text_hash"] in long
-    assert "name: run-test-suite-fix\n" in drafts[0]["draft"]
-    assert "Projects: acme-api, web-shop." in drafts[0]["draft"]
+    assert "name: bump-version\n" in drafts[0]["draft"]
+    assert "Projects: mill, quay." in drafts[0]["draft"]
 
 
 def test_lookup_needs_exactly_one_group(spark):

@@ -240,4 +240,4 @@ def test_a_large_price_list_is_not_broadcast(spark):
 
 
 def test_every_query_is_registered_once():
-    assert len(registered()) == 44
+    assert len(registered()) == 53

@@ -2,19 +2,19 @@ import os
 
 import pytest
 from conftest import rows_of, write_lines
-from test_ingest import SIX, answered, said
+from test_ingest import EVENING, MODEL, answered, said
 
 from turnledger.operators.pricing import price_table
 from turnledger.plans.ingest import ingest
 from turnledger.sources import store as stores
 from turnledger.streaming.ingest import start_ingest
 
-MORE = [said("u5", 5), answered("u6", 6, "req_2"), answered("u7", 7, "req_3"), "{torn"]
+MORE = [said("m-1", 50), answered("m-2", 51, "ask-2"), answered("m-3", 52, "ask-3"), "{torn"]
 
 
 @pytest.fixture
 def prices(spark):
-    return price_table(spark, [("anthropic", "claude-opus", 10.0, 100.0, 1.0, None)])
+    return price_table(spark, [("anthropic", MODEL, 4.0, 20.0, 1.0, None)])
 
 
 def stored(spark, store):
@@ -33,18 +33,18 @@ def stream(spark, folder, prices, **options):
 
 @pytest.mark.parametrize("horizon", [None, "1 hour"])
 def test_two_runs_of_the_stream_equal_one_batch_run(spark, folder, prices, horizon):
-    write_lines(folder, "landing/1.jsonl", SIX)
+    write_lines(folder, "landing/1.jsonl", EVENING)
     stream(spark, folder, prices, copy_horizon=horizon)
     write_lines(folder, "landing/2.jsonl", MORE)
-    write_lines(folder, "landing/3.jsonl", SIX)
+    write_lines(folder, "landing/3.jsonl", EVENING)
     stream(spark, folder, prices, copy_horizon=horizon)
 
-    write_lines(folder, "whole/1.jsonl", SIX)
+    write_lines(folder, "whole/1.jsonl", EVENING)
     write_lines(folder, "whole/2.jsonl", MORE)
     ingest(spark, f"{folder}/whole", f"{folder}/expected", prices, 1)
     assert stored(spark, f"{folder}/store") == stored(spark, f"{folder}/expected")
     texts = [row["text"] for row in rows_of(stores.read_prompts(spark, f"{folder}/store"))]
-    assert sorted(texts) == ["run the tests", "run the tests"]
+    assert texts == ["rename the flag"] * 3
 
 
 def test_old_records_are_never_too_late(spark, folder, prices):
@@ -63,8 +63,26 @@ def test_the_first_line_of_a_request_counts_in_a_stream_too(spark, folder, price
     assert counted == [1]
 
 
+def test_differing_records_of_one_id_keep_the_first_line(spark, folder, prices):
+    # The id does not cover the counts, so these two are one event.
+    lines = [answered("same", 1, "ask", tokens=n) for n in (11, 4)]
+    write_lines(folder, "landing/1.jsonl", [lines[0], lines[1], lines[1]])
+    stream(spark, folder, prices, copy_horizon="1 hour")
+    assert [row["input_tok"] for row in stored(spark, f"{folder}/store")] == [11]
+
+
+def test_what_batches_count_is_kept(spark, folder, prices):
+    write_lines(folder, "landing/1.jsonl", EVENING)
+    stream(spark, folder, prices)
+    write_lines(folder, "landing/2.jsonl", MORE)
+    stream(spark, folder, prices)
+    runs = rows_of(stores.read_runs(spark, f"{folder}/store").orderBy("run"))
+    counted = [(r["new_events"], r["new_prompts"], r["skipped_unparseable"]) for r in runs]
+    assert counted == [(5, 2, 1), (3, 1, 1)]
+
+
 def test_a_replayed_batch_adds_nothing(spark, folder, prices):
-    write_lines(folder, "landing/1.jsonl", SIX)
+    write_lines(folder, "landing/1.jsonl", EVENING)
     stream(spark, folder, prices)
     before = stored(spark, f"{folder}/store")
     # As after a loss between the write and the commit: the commit log is behind.
@@ -73,7 +91,7 @@ def test_a_replayed_batch_adds_nothing(spark, folder, prices):
         os.remove(os.path.join(commits, name))
     stream(spark, folder, prices)
     assert stored(spark, f"{folder}/store") == before
-    assert stores.read_prompts(spark, f"{folder}/store").count() == 1
+    assert stores.read_prompts(spark, f"{folder}/store").count() == 2
 
 
 def test_files_are_taken_in_batches(spark, folder, prices):

@@ -11,7 +11,7 @@ def _big_endian(number: Column) -> Column:
 
 
 def _with_length(content: Column) -> Column:
-    # A length prefix keeps ("ab", "c") and ("a", "bc") apart.
+    # Fields of other lengths never run into the same bytes.
     return F.concat(_big_endian(F.octet_length(content)), content)
 
 

@@ -101,7 +101,9 @@ def group_measures() -> list[Column]:
             for name in ("input_tok", "output_tok", "cache_read_tok", "cache_write_tok")
         ],
         F.count_if(used & F.col("cost_est").isNotNull()).alias("stored_priced"),
-        F.sum(F.when(used, F.col("cost_est"))).alias("stored_cost"),
+        F.sum(F.when(used, F.col("cost_est")).cast("decimal(20,9)"))
+        .cast("double")
+        .alias("stored_cost"),
     ]
 
 

@@ -12,13 +12,21 @@ from turnledger.functions.text import file_target
 
 
 def _marked(values: Column, key) -> Column:
-    """Sorted values, each with whether it starts a new run of equal keys."""
+    """Sorted values, each with whether it starts a new run of equal keys.
+
+    Neighbours are paired by shifting the array, so that nothing within the
+    lambda looks at more than one pair and the work is that of the sort.
+    """
     ordered = F.sort_array(values)
+    shifted = F.concat(
+        F.slice(ordered, 1, 1), F.slice(ordered, 1, F.greatest(F.size(ordered) - 1, F.lit(0)))
+    )
+    pairs = F.arrays_zip(ordered.alias("item"), shifted.alias("before"))
     return F.transform(
-        ordered,
-        lambda item, at: F.struct(
-            item.alias("item"),
-            (~key(F.get(ordered, at - 1)).eqNullSafe(key(item)) | (at == 0)).alias("starts_run"),
+        pairs,
+        lambda pair, at: F.struct(
+            pair["item"].alias("item"),
+            (~key(pair["before"]).eqNullSafe(key(pair["item"])) | (at == 0)).alias("starts_run"),
         ),
     )
 

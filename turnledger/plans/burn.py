@@ -1,6 +1,6 @@
 """How fast tokens are being used right now."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.fixed_values import RATE_WINDOW_MS
@@ -12,31 +12,32 @@ from turnledger.operators.scope import Scope, located
 def burn_rate(events: DataFrame, now_ms: int, project: str | None = None) -> DataFrame:
     """Tokens of the last hour, and the session of the latest event so far.
 
-    Bounded by construction: only the current UTC month is read. The latest
-    event is found as a top-1 per task and reaches the other scan as a value,
-    so the session's row groups can be pruned by its id.
+    Bounded by construction: only the current UTC month is read, once. Sessions are
+    summed in each task, and the one of the latest event is picked from the sums.
+    Events without a session count for the rate and have no session to report.
     """
     rows = located(events, Scope(Window.month_to(now_ms), project))
-    latest = (
-        rows.orderBy(F.col("ts").desc(), F.col("seq").desc())
-        .limit(1)
-        .select(F.struct("project", "session_id"))
-        .scalar()
-    )
     recent = F.when(F.col("ts") >= now_ms - RATE_WINDOW_MS, total_tokens())
-    session = (
-        rows.where(F.col("session_id") == latest["session_id"])
-        .agg(
-            F.struct(
-                (F.max("ts") - F.min("ts")).alias("span"), F.sum(total_tokens()).alias("tokens")
-            )
-        )
-        .scalar()
+    sessions = rows.groupBy("session_id").agg(
+        F.sum(recent).alias("recent"),
+        (F.max("ts") - F.min("ts")).alias("span"),
+        F.sum(total_tokens()).alias("tokens"),
+        F.max(F.struct("ts", "seq", "project")).alias("last"),
     )
-    return rows.agg(F.coalesce(F.sum(recent), F.lit(0)).alias("tokens_per_hour")).select(
-        latest["project"].alias("project"),
+    return sessions.agg(
+        F.coalesce(F.sum("recent"), F.lit(0)).alias("tokens_per_hour"),
+        F.max(
+            F.struct(F.col("last.ts"), F.col("last.seq"), "last", "session_id", "span", "tokens")
+        ).alias("latest"),
+    ).select(
+        F.col("latest.last.project").alias("project"),
         "tokens_per_hour",
-        latest["session_id"].alias("session_id"),
-        F.coalesce(session["span"], F.lit(0)).alias("session_ms"),
-        F.coalesce(session["tokens"], F.lit(0)).alias("session_tokens"),
+        F.col("latest.session_id").alias("session_id"),
+        _of_session("span").alias("session_ms"),
+        _of_session("tokens").alias("session_tokens"),
     )
+
+
+def _of_session(name: str) -> Column:
+    known = F.col("latest.session_id").isNotNull()
+    return F.coalesce(F.when(known, F.col(f"latest.{name}")), F.lit(0))

@@ -28,10 +28,12 @@ from turnledger.sources.store import (
     append_cursors,
     append_events,
     append_prompts,
+    append_sessions,
     in_append_order,
     read_cursors,
     read_events,
     read_prompts,
+    read_sessions,
 )
 from turnledger.sources.transcripts import (
     LINE_ORDER,
@@ -71,6 +73,20 @@ def _months(records: DataFrame) -> list[str]:
     return [row["month"] for row in rows]
 
 
+def _claim_months(spark: SparkSession, store: str, parsed: DataFrame) -> list[str]:
+    """Months that can hold a claim of a request of these records.
+
+    A request belongs to a session, so only months in which a session of the
+    batch has events can. The notes on sessions are small next to the events and
+    the answer is a calendar's worth of short strings.
+    """
+    sessions = parsed.where(F.col("turn_id").isNotNull()).select(
+        "agent", F.coalesce("session_id", F.lit("")).alias("session")
+    )
+    found = read_sessions(spark, store).join(sessions.distinct(), ["agent", "session"], "left_semi")
+    return [row["month"] for row in found.select("month").distinct().collect()]
+
+
 def unseen(records: DataFrame, stored: DataFrame) -> DataFrame:
     """The first record of every id the store does not hold.
 
@@ -104,14 +120,16 @@ def ingest_records(
     """
     spark = records.sparkSession
     parsed = records.where(F.col("status") == "record")
-    in_months = F.col("month").isin(_months(parsed))
+    months = _months(parsed)
+    in_months = F.col("month").isin(months)
     stored = read_events(spark, store)
+    claims = stored.where(F.col("month").isin(_claim_months(spark, store, parsed)))
 
     fresh = staged(
         unseen(parsed.select(*_CLAIM_COLUMNS), stored.where(in_months)), f"{work}/fresh"
     )
     kept = of_project(fresh, project)
-    owners = usage_owners(kept, LINE_ORDER, "line_id", stored)
+    owners = usage_owners(kept, LINE_ORDER, "line_id", claims)
     last = stored.where(in_months).agg(F.max("seq")).first()[0]
     chosen = staged(
         in_append_order(
@@ -123,6 +141,8 @@ def ingest_records(
         ).select("line_id", "seq", "owns_usage"),
         f"{work}/chosen",
     )
+    # Before any event of theirs: a note too many is harmless, one too few is not.
+    append_sessions(kept, store)
     new = parsed.join(chosen, "line_id")
     prompts = new.where(F.col("prompt_text").isNotNull()).select(
         F.col("id").alias("event_id"),
@@ -140,30 +160,33 @@ def ingest_records(
     counts = records.agg(
         F.count_if(F.col("status") == "record").alias("parsed"),
         F.count_if(F.col("status") == "unparseable").alias("skipped_unparseable"),
+        F.count_if(F.col("status") == "oversized").alias("skipped_oversized"),
     )
     return counts.select(
         chosen.agg(F.count("*")).scalar().alias("new_events"),
         prompts.agg(F.count("*")).scalar().alias("new_prompts"),
         "skipped_unparseable",
+        "skipped_oversized",
         (F.col("parsed") - fresh.agg(F.count("*")).scalar()).alias("duplicates"),
     )
 
 
 def _lines_to_read(
-    spark: SparkSession, root: str, source: Source, picked: DataFrame, everything: bool
+    spark: SparkSession, root: str, source: Source, picked: DataFrame
 ) -> DataFrame:
-    """Lines of the picked files.
+    """Lines of the picked files, on a first run as on any other.
 
-    A first run reads the whole tree. Later runs prune files by the oldest
-    modification time among the picked ones before opening any, and drop the
-    few others by path.
+    Files are pruned by the days on which the picked ones were last modified before
+    any is opened, so one old file among new ones opens its own day only; the few
+    others of those days are dropped by path.
     """
-    oldest = picked.agg(F.min("mtime")).first()[0]
-    if oldest is None:
-        return spark.createDataFrame([], "value string, path string, block long, line_id long")
-    if everything:
-        return read_lines(spark, root, source.pattern)
-    lines = read_lines(spark, root, source.pattern, modified_from=oldest)
+    day = F.date_format(F.timestamp_millis("mtime"), "yyyy-MM-dd")
+    days = [row["day"] for row in picked.select(day.alias("day")).distinct().collect()]
+    if not days:
+        return spark.createDataFrame(
+            [], "value string, path string, place string, block long, line_id long"
+        )
+    lines = read_lines(spark, root, source.pattern, days)
     return lines.join(picked.select("path"), "path", "left_semi")
 
 
@@ -189,8 +212,7 @@ def ingest(
     files = staged(list_files(spark, root, source.pattern), f"{work}/files")
     cursors = read_cursors(spark, store)
     picked = staged(changed_files(files, cursors, source.agent, window), f"{work}/picked")
-    everything = window == Window() and cursors.isEmpty()
-    lines = _lines_to_read(spark, root, source, picked, everything)
+    lines = _lines_to_read(spark, root, source, picked)
     records = staged(parse_lines(lines, source.agent, source.provider), f"{work}/records")
 
     counts = ingest_records(records, store, prices, work, project, source.index_text)

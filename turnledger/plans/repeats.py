@@ -18,28 +18,35 @@ from turnledger.operators.scope import Scope, located
 from turnledger.session import staged
 
 
+def _row(prompts: DataFrame) -> Column:
+    """Where a prompt stands; a table without months has a single one."""
+    month = F.col("month") if "month" in prompts.columns else F.lit("")
+    return F.struct(month.cast("string").alias("month"), F.col("seq"))
+
+
 def _groups(prompts: DataFrame, events: DataFrame, scope: Scope) -> DataFrame:
     """Hashes sent more than once: how often, when last, from which projects.
 
     Prompts carry no time or project; their events do, and joining them is also
-    what applies the period and the project. ``text_seq`` is the row that holds
-    the group's text, NULL if none was stored.
+    what applies the period and the project. ``text_at`` is the row that holds
+    the group's text, NULL if none was stored. Row numbers are unique within a
+    month, so the month belongs to it.
     """
     placed = located(events, scope).select(F.col("id").alias("event_id"), "ts", "project")
     hits = prompts.select(
-        "event_id", "text_hash", F.when(F.col("text_indexed"), F.col("seq")).alias("text_seq")
+        "event_id", "text_hash", F.when(F.col("text_indexed"), _row(prompts)).alias("text_at")
     ).join(placed, "event_id")
     per_project = hits.groupBy("text_hash", "project").agg(
         F.count("*").alias("count"),
         F.max("ts").alias("last_ts"),
-        F.min("text_seq").alias("text_seq"),
+        F.min("text_at").alias("text_at"),
     )
     return (
         per_project.groupBy("text_hash")
         .agg(
             F.sum("count").alias("count"),
             F.max("last_ts").alias("last_ts"),
-            F.min("text_seq").alias("text_seq"),
+            F.min("text_at").alias("text_at"),
             F.sort_array(F.collect_list("project")).alias("projects"),
         )
         .where(F.col("count") >= MIN_OCCURRENCES)
@@ -65,11 +72,15 @@ def repeated(
     if work is not None:
         groups = staged(groups, f"{work}/groups")
     texts = prompts.where(F.col("text_indexed")).select(
-        "text_hash", F.col("seq").alias("text_seq"), "text"
+        "text_hash", _row(prompts).alias("at"), "text"
     )
+    texts = texts.select("text_hash", F.col("at.month").alias("_m"), F.col("at.seq").alias("_s"), "text")
     # Two inner parts instead of an outer join, which could not send the groups.
-    has_text = F.col("text_seq").isNotNull()
-    with_text = texts.join(groups.where(has_text), ["text_hash", "text_seq"])
+    has_text = F.col("text_at").isNotNull()
+    found = groups.where(has_text).withColumns(
+        {"_m": F.col("text_at.month"), "_s": F.col("text_at.seq")}
+    )
+    with_text = texts.join(found, ["text_hash", "_m", "_s"]).drop("_m", "_s")
     without = groups.where(~has_text).withColumn("text", F.lit(None).cast("string"))
     return with_text.unionByName(without).select(
         group_id(F.col("text_hash")).alias("id"),

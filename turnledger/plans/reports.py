@@ -38,6 +38,7 @@ from turnledger.operators.totals import (
     rollup,
     summed,
 )
+from turnledger.plans.notes import scan_notes
 from turnledger.schemas import TOKEN_COLUMNS
 
 
@@ -305,6 +306,13 @@ def compare(events: DataFrame, prices: DataFrame, scope: Scope) -> DataFrame:
     )
 
 
+def compare_notes(events: DataFrame, prices: DataFrame, scope: Scope) -> DataFrame:
+    """What a reader of :func:`compare` must know, over both of its periods."""
+    window = scope.window
+    both = Window(window.from_ms - window.length_ms, window.to_ms)
+    return scan_notes(events, prices, Scope(both, scope.project, scope.include_sidechain))
+
+
 def query(
     events: DataFrame,
     prices: DataFrame,
@@ -330,8 +338,7 @@ def hourly_cost(
         located(events, scope)
         .where(F.col("cost_est") > 0)
         .groupBy(hour_of(F.col("ts")).alias("hour"))
-        .agg(F.sum("cost_est").alias("cost"))
+        .agg(cents(F.sum(F.col("cost_est").cast("decimal(20,9)")).cast("double")).alias("cost"))
         .orderBy(F.col("cost").desc(), F.col("hour").desc())
         .limit(limit)
-        .select("hour", cents(F.col("cost")).alias("cost"))
     )

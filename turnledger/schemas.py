@@ -83,3 +83,27 @@ STORED_EVENT = T.StructType([*EVENT.fields, SEQ])
 STORED_PROMPT = T.StructType(
     [*PROMPT.fields, T.StructField("text_indexed", T.BooleanType()), SEQ]
 )
+
+# Where a session has events, and what one batch of a stream counted.
+SESSION = T.StructType(
+    [
+        T.StructField("agent", T.StringType()),
+        T.StructField("session", T.StringType()),
+        T.StructField("month", T.StringType()),
+    ]
+)
+RUN = T.StructType(
+    [
+        T.StructField("run", T.LongType()),
+        *[
+            T.StructField(name, T.LongType())
+            for name in (
+                "new_events",
+                "new_prompts",
+                "skipped_unparseable",
+                "skipped_oversized",
+                "duplicates",
+            )
+        ],
+    ]
+)

@@ -7,6 +7,7 @@ become log records, ``lineitem`` rows their tool calls, ``documents`` prompts.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnledger.fixed_values import TARGET_KEYS
 from turnledger.functions.clock import day_of
 from turnledger.functions.ids import text_hash
 from turnledger.operators.claims import claim_usage
@@ -14,6 +15,7 @@ from turnledger.operators.pricing import price_table
 from turnledger.schemas import TOOL_CALLS
 
 NOW_MS = 1_706_659_200_000  # 2024-01-31T00:00:00Z, just after the last event
+MONTH_SHIFT_MS = 31 * 86_400_000
 PRICES = [
     ("prov-a", "model-a", 3.0, 15.0, 0.3, None),
     ("prov-a", "model-b", 15.0, 75.0, 1.5, 18.75),
@@ -41,11 +43,15 @@ def _calls_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .otherwise(F.concat(F.lit("src/f"), (part % 300).cast("string"), F.lit(".rs")))
     )
-    call = F.struct("l_linenumber", name.alias("tool_name"), target.alias("tool_target"))
+    call = F.struct(
+        "l_orderkey", "l_linenumber", name.alias("tool_name"), target.alias("tool_target")
+    )
     ordered = F.sort_array(F.collect_list(call))
+    # There are more orders than events; every order goes to one of them.
+    events = table(spark, sf_dir, "events").agg(F.max("event_id") + 1).scalar()
     return (
         table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("event_id"))
+        .groupBy(F.pmod("l_orderkey", events).alias("event_id"))
         .agg(
             F.transform(
                 ordered, lambda made: F.struct(made["tool_name"], made["tool_target"])
@@ -112,9 +118,7 @@ def raw_events(spark: SparkSession, sf_dir: str, tool_calls: bool = False) -> Da
         F.when(is_b, F.floor(value * 100)).alias("duration_ms"),
         F.lit(None).cast("string").alias("stop_reason"),
         F.when((kind == "purchase") & (number % 2 == 0), k * 0.01).alias("cost_est"),
-        F.when(assistant, F.coalesce("tool_calls", no_calls)).otherwise(no_calls).alias(
-            "tool_calls"
-        ),
+        F.coalesce("tool_calls", no_calls).alias("tool_calls"),
         F.when(number % 5 == 0, True).when(number % 5 != 1, False).alias("is_sidechain"),
     )
 
@@ -135,6 +139,11 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def over_months(records: DataFrame) -> DataFrame:
+    """Events spread over three months: two of three go one or two periods back."""
+    return records.withColumn("ts", F.col("ts") - F.col("seq") % 3 * MONTH_SHIFT_MS)
+
+
 def transcript_lines(records: DataFrame) -> DataFrame:
     """Rows of :func:`raw_events`, with tool calls, as transcript lines.
 
@@ -143,12 +152,21 @@ def transcript_lines(records: DataFrame) -> DataFrame:
     number = F.col("seq")
     stamp = F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     assistant = F.col("role") == "assistant"
+
+    def given(call):
+        # Each target under one of the keys that name one.
+        place = F.length(call["tool_target"]) % len(TARGET_KEYS)
+        return F.struct(
+            *[F.when(place == i, call["tool_target"]).alias(key) for i, key in enumerate(TARGET_KEYS)]
+        )
+
     blocks = F.transform(
         "tool_calls",
         lambda call: F.struct(
             F.lit("tool_use").alias("type"),
             call["tool_name"].alias("name"),
-            F.struct(call["tool_target"].alias("file_path")).alias("input"),
+            F.lit(None).cast("string").alias("text"),
+            given(call).alias("input"),
         ),
     )
     usage = F.struct(
@@ -176,7 +194,23 @@ def transcript_lines(records: DataFrame) -> DataFrame:
     by_assistant = line(
         F.struct(F.col("model").alias("model"), usage.alias("usage"), blocks.alias("content"))
     )
-    by_user = line(F.struct(F.col("model").alias("model"), said.alias("content")))
+    # A bare string, or a list with a text block where there are calls.
+    text_block = F.filter(
+        F.transform(
+            F.array(said),
+            lambda text: F.struct(
+                F.lit("text").alias("type"),
+                F.lit(None).cast("string").alias("name"),
+                text.alias("text"),
+                F.struct(*[F.lit(None).cast("string").alias(key) for key in TARGET_KEYS]).alias("input"),
+            ),
+        ),
+        lambda block: block["text"].isNotNull(),
+    )
+    listed = F.concat(text_block, blocks)
+    by_user = F.when(
+        F.size("tool_calls") > 0, line(F.struct(F.col("model").alias("model"), listed.alias("content")))
+    ).otherwise(line(F.struct(F.col("model").alias("model"), said.alias("content"))))
     return records.select(
         number,
         F.when(number % 101 == 0, "{not json")

@@ -20,6 +20,8 @@ from turnledger.schemas import (
     PROMPT,
     PROMPT_COLUMNS,
     REQUIRED_EVENT_FIELDS,
+    RUN,
+    SESSION,
     STORED_EVENT,
     STORED_PROMPT,
 )
@@ -58,7 +60,12 @@ def _load_lines(
 ) -> DataFrame | None:
     """JSON lines, with the text of a line that does not decode in ``_corrupt``."""
     with_text = T.StructType([*schema.fields, _CORRUPT])
-    keep = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT.name}
+    keep = {
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": _CORRUPT.name,
+        "maxStringLen": str(2**31 - 1),
+        "lineSep": "\n",
+    }
     return _load(spark, path, "json", with_text, **keep, **options)
 
 
@@ -211,6 +218,54 @@ def copy_without_texts(spark: SparkSession, store: str, target: str) -> None:
     append_prompts(read_prompts(spark, store), target, index_text=False)
 
 
+def sessions_path(store: str) -> str:
+    return f"{store.rstrip('/')}/sessions"
+
+
+def runs_path(store: str) -> str:
+    return f"{store.rstrip('/')}/runs"
+
+
+def _sessions_of(events: DataFrame) -> DataFrame:
+    """Source, session (none reads as empty) and month of events, each once."""
+    return events.select(
+        "agent", F.coalesce("session_id", F.lit("")).alias("session"), "month"
+    ).distinct()
+
+
+def append_sessions(events: DataFrame, store: str) -> None:
+    """Note which months sessions have events in; repeats do no harm."""
+    _sessions_of(events).write.mode("append").parquet(sessions_path(store))
+
+
+def read_sessions(spark: SparkSession, store: str) -> DataFrame:
+    """Where sessions have events. A store without the notes gets them first."""
+    rows = _load(spark, sessions_path(store), "parquet", SESSION)
+    if rows is None:
+        events = _load(spark, events_path(store), "parquet", T.StructType([*STORED_EVENT.fields, MONTH]))
+        if events is None:
+            return spark.createDataFrame([], SESSION)
+        append_sessions(events, store)
+        rows = _load(spark, sessions_path(store), "parquet", SESSION)
+    return rows
+
+
+def append_run(counts: DataFrame, store: str, run: int) -> None:
+    """Keep what a batch of a stream counted, under the batch's number."""
+    counts.withColumn("run", F.lit(run).cast("long")).write.mode("append").parquet(runs_path(store))
+
+
+def read_runs(spark: SparkSession, store: str) -> DataFrame:
+    """Counts per batch. A batch that ran again has its last line count twice in the
+    log and once here: the run that added events is the one that is kept."""
+    rows = _load(spark, runs_path(store), "parquet", RUN)
+    if rows is None:
+        return spark.createDataFrame([], RUN)
+    fields = [name for name in RUN.fieldNames() if name != "run"]
+    best = F.max(F.struct("new_events", *[name for name in fields if name != "new_events"]))
+    return rows.groupBy("run").agg(best.alias("at")).select("run", *[f"at.{name}" for name in fields])
+
+
 def append_cursors(files: DataFrame, store: str, adapter: str, now_ms: int) -> None:
     """Record files as read to their present size."""
     rows = files.select(
@@ -240,7 +295,9 @@ def in_append_order(rows: DataFrame, order: list[str], first: int) -> DataFrame:
 def laid_out(rows: DataFrame) -> DataFrame:
     """Rows in ranges of month and append order, ready to be written.
 
-    A month that holds most rows becomes several files and small months share a
-    task, so neither few huge files nor many tiny ones are written.
+    Row numbers carry the range they were given in, so months and ranges can be
+    dealt out as they are: no pass over the rows to sample them comes before.
+    A month that holds most rows has many ranges and becomes several files.
     """
-    return rows.repartitionByRange("month", "seq").sortWithinPartitions("month", "seq")
+    numbered = F.shiftright("seq", 33)
+    return rows.repartition("month", numbered).sortWithinPartitions("month", "seq")

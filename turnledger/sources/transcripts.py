@@ -5,6 +5,8 @@ from a non-negative JSON integer; Spark's casts alone would also accept ``"12"``
 for 12 and 7 for ``"7"``.
 """
 
+from fnmatch import fnmatch
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,19 +25,58 @@ from turnledger.schemas import CURSOR, EVENT_COLUMNS, TOOL_CALLS
 
 TRANSCRIPTS = "*.jsonl"
 
-# Where a line stands. Paths sort first, then the block of a split file, then
-# the row number Spark gives within a block.
-LINE_ORDER = ["path", "block", "line_id"]
+# Where a line stands. Paths sort first, folder by folder, then the block of a
+# split file, then the row number Spark gives within a block.
+LINE_ORDER = ["place", "block", "line_id"]
+
+# A line ends at a line feed only, and no string of it is too long to be read.
+LINE_END = "\n"
+LONGEST = str(2**31 - 1)
+# A modification time that no file has. What a variant can hold; a longer line that fails to decode says so.
+UNREADABLE = -1
+LINE_LIMIT = 128 * 1024 * 1024
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(("_", "."))
+
+
+def _walked(spark: SparkSession, root: str, pattern: str) -> tuple[list[str], list[tuple]]:
+    """The folder with the hidden ones below it, and hidden files (path, size).
+
+    Spark leaves out files and folders whose names begin with an underscore or a
+    dot. A folder is read if it is named itself; a file of such a name never is.
+    Only folders are walked here, and only what is hidden is held.
+    """
+    folders, files = [root], []
+    waiting = [spark._jvm.org.apache.hadoop.fs.Path(root)]
+    system = waiting[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(waiting[0]):
+        return folders, files
+    while waiting:
+        for status in system.listStatus(waiting.pop()):
+            path = status.getPath()
+            if status.isDirectory():
+                waiting.append(path)
+                if _hidden(path.getName()):
+                    folders.append(path.toString())
+            elif _hidden(path.getName()) and fnmatch(path.getName(), pattern):
+                files.append((path.toUri().toString(), status.getLen(), UNREADABLE))
+    return folders, files
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = TRANSCRIPTS) -> DataFrame:
-    """One row per transcript at any depth: path, size, mtime. Reads no content."""
+    """One row per transcript at any depth: path, size, mtime. Reads no content.
+
+    A file that no reader opens is listed as well, with UNREADABLE as its mtime.
+    """
+    folders, hidden = _walked(spark, root, pattern)
     try:
         found = (
             spark.read.format("binaryFile")
             .option("recursiveFileLookup", True)
             .option("pathGlobFilter", pattern)
-            .load(root)
+            .load(folders)
         )
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
@@ -45,7 +86,7 @@ def list_files(spark: SparkSession, root: str, pattern: str = TRANSCRIPTS) -> Da
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_size").alias("size"),
         F.unix_millis("_metadata.file_modification_time").alias("mtime"),
-    )
+    ).union(spark.createDataFrame(hidden, "path string, size long, mtime long"))
 
 
 def source_sessions(files: DataFrame) -> DataFrame:
@@ -87,26 +128,39 @@ def changed_files(
 
 
 def read_lines(
-    spark: SparkSession, root: str, pattern: str = TRANSCRIPTS, modified_from: int | None = None
+    spark: SparkSession, root: str, pattern: str = TRANSCRIPTS, days: list[str] | None = None
 ) -> DataFrame:
-    """Every line with its place. ``modified_from`` prunes files before reading."""
+    """Every line with its place. ``days`` prunes files before reading: only those
+    last modified on one of these UTC days are opened."""
     lines = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .option("ignoreMissingFiles", True)
-        .text(root)
+        .option("lineSep", LINE_END)
+        .text(_walked(spark, root, pattern)[0])
     )
-    if modified_from is not None:
-        since = F.timestamp_millis(F.lit(modified_from))
-        lines = lines.where(F.col("_metadata.file_modification_time") >= since)
+    if days is not None:
+        changed = F.col("_metadata.file_modification_time")
+        lines = lines.where(F.date_format(changed, "yyyy-MM-dd").isin(days))
     return numbered(located_lines(lines))
 
 
+def place_of(path: Column) -> Column:
+    """Sorts paths folder by folder: ``a/z`` before ``a-2/b``.
+
+    Paths come percent-encoded. The separator becomes a lower character than names have, so
+    that a folder comes before any whose name only begins like its own.
+    """
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.translate(plain, "/", "\x01")
+
+
 def located_lines(lines: DataFrame) -> DataFrame:
     """Lines of a text scan with the file and block they were read from."""
     return lines.select(
         "value",
         F.col("_metadata.file_path").alias("path"),
+        place_of(F.col("_metadata.file_path")).alias("place"),
         F.col("_metadata.file_block_start").alias("block"),
     )
 
@@ -129,6 +183,7 @@ _LINE_OPTIONS = {
     "columnNameOfCorruptRecord": "malformed",
     "allowSingleQuotes": "false",
     "allowNonNumericNumbers": "false",
+    "maxStringLen": LONGEST,
 }
 _MESSAGE = """
     STRUCT<
@@ -207,7 +262,8 @@ def parse_lines(
     """Type the column ``value``: a ``status``, the event columns, ``prompt_text``.
 
     ``status`` is ``record``, ``skipped`` (blank, or a type that carries no
-    usage) or ``unparseable``; the other columns are filled for records.
+    usage), ``oversized`` (beyond what can be decoded) or ``unparseable``; the
+    other columns are filled for records.
     """
     kept = [name for name in lines.columns if name != "value"]
     line, message, blocks = F.col("line"), F.col("line.message"), F.col("_blocks")
@@ -231,6 +287,7 @@ def parse_lines(
         .withColumn(
             "status",
             F.when(trim(F.col("value")) == "", "skipped")
+            .when(F.col("_type").isNull() & (F.octet_length("value") > LINE_LIMIT), "oversized")
             .when(F.col("_type").isNull(), "unparseable")
             .when(~F.col("_type").isin(INGESTED_TYPES), "skipped")
             .when(F.col("_ts").isNull(), "unparseable")
