@@ -454,8 +454,14 @@ def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = health.store_health(sample.usage_events(spark, sf_dir), sample.prices(spark))
-    return found.withColumn("unpriced_models", _joined("unpriced_models"))
+    """Of a stored table; its bytes are held against the folder's listing."""
+    home = _months_store(spark, sf_dir, "health")
+    found = health.store_health(stores.read_events(spark, home), sample.prices(spark))
+    listed = transcripts.list_files(spark, stores.events_path(home), "*.parquet")
+    there = listed.agg(F.sum("size")).scalar()
+    return found.withColumn("unpriced_models", _joined("unpriced_models")).withColumn(
+        "bytes", F.col("bytes") == there
+    ).withColumnRenamed("bytes", "all_bytes")
 
 
 def kpi_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from conftest import at, call, event, events_frame, rows_of, used
+from conftest import DAY, at, call, event, events_frame, rows_of, used
 from pyspark.sql import functions as F
 
 from registered_queries import registered
@@ -12,7 +12,9 @@ from turnledger.functions.clock import Window, month_of
 from turnledger.operators.claims import claim_usage, usage_owners
 from turnledger.operators.pricing import price_table
 from turnledger.operators.scope import Scope
+from turnledger.operators import tool_use
 from turnledger.plans import burn, health, notes, repeats, reports
+from turnledger.plans.ingest import _claim_months
 from turnledger.sources import sample_tables as sample
 from turnledger.sources import store as stores
 
@@ -241,3 +243,28 @@ def test_a_large_price_list_is_not_broadcast(spark):
 
 def test_every_query_is_registered_once():
     assert len(registered()) == 53
+
+
+def test_marking_sorts_outside_of_its_lambda(spark):
+    text = str(tool_use._marked(F.col("values"), lambda item: item))
+    assert "sort_array" in text and "sort_array" not in text.split("lambdafunction(", 1)[1]
+
+
+def test_burn_rate_scans_the_store_once(spark, folder):
+    rows = [event(f"e{n}", at(3, n), session_id="s") for n in range(3)]
+    events = events_frame(spark, rows).withColumn("month", month_of(F.col("ts")))
+    stores.append_events(events, folder)
+    plan = burn.burn_rate(stores.read_events(spark, folder), at(3, 4))._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_claims_are_looked_up_in_the_months_of_the_sessions(spark, folder):
+    rows = [event(f"e{n}", at(3) + n * 40 * DAY, session_id=f"s{n % 2}") for n in range(6)]
+    events = events_frame(spark, rows).withColumn("month", month_of(F.col("ts")))
+    stores.append_sessions(events, folder)
+    stores.append_events(events, folder)
+    batch = events.where("id = 'e0'").withColumn("turn_id", F.lit("t"))
+    months = _claim_months(spark, folder, batch)
+    assert sorted(months) == ["2026-08", "2026-10", "2027-01"]
+    plan = stores.read_events(spark, folder).where(F.col("month").isin(months))
+    assert "PartitionFilters: [month" in plan._jdf.queryExecution().executedPlan().toString()

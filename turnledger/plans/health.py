@@ -1,7 +1,7 @@
 """Why is this number empty? What the store holds and what sources record."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.fixed_values import KPIS, UNKNOWN_MODEL
@@ -39,11 +39,23 @@ def store_footprint(rows: DataFrame) -> DataFrame:
     )
 
 
+def _stored_bytes(events: DataFrame) -> Column:
+    try:
+        sized = events.select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")
+        )
+    except AnalysisException:
+        return F.lit(0).cast("long")
+    per_file = sized.groupBy("file").agg(F.max("size").alias("size"))
+    return per_file.agg(F.coalesce(F.sum("size"), F.lit(0))).scalar()
+
+
 def store_health(events: DataFrame, prices: DataFrame, scope: Scope = Scope()) -> DataFrame:
     """Months, events and models without a price, synthetic records included.
 
     Priced as of now, like a report. Events are reduced to one row per month
-    and model before anything is listed.
+    and model before anything is listed. ``bytes`` is the size of the files that
+    the events are stored in, whatever the scope; 0 for events that aren't stored.
     """
     rows = located(events, scope)
     month = F.col("month") if "month" in events.columns else month_of(F.col("ts"))
@@ -57,7 +69,7 @@ def store_health(events: DataFrame, prices: DataFrame, scope: Scope = Scope()) -
         F.min("in_month").alias("oldest"),
         F.coalesce(F.sum("events"), F.lit(0)).alias("events"),
         F.sort_array(F.collect_set(F.when(lacking, name))).alias("unpriced_models"),
-    )
+    ).withColumn("bytes", _stored_bytes(events))
 
 
 def kpi_coverage(events: DataFrame, prompts: DataFrame, prices: DataFrame) -> DataFrame:
