@@ -246,8 +246,12 @@ def test_every_query_is_registered_once():
 
 
 def test_marking_sorts_outside_of_its_lambda(spark):
-    text = str(tool_use._marked(F.col("values"), lambda item: item))
-    assert "sort_array" in text and "sort_array" not in text.split("lambdafunction(", 1)[1]
+    marked = tool_use._marked(F.col("values"), lambda item: item)
+    df = spark.createDataFrame([([3, 1, 3],)], "values array<int>").select(marked.alias("m"))
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    inside = text.split("lambdafunction(", 1)[1].split("LocalRelation", 1)[0].split("LogicalRDD", 1)[0]
+    assert "sort_array" in text and "sort_array" not in inside
+    assert [tuple(x) for x in df.first()["m"]] == [(1, True), (3, True), (3, False)]
 
 
 def test_burn_rate_scans_the_store_once(spark, folder):
