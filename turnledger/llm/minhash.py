@@ -252,13 +252,21 @@ def _small_batches(spark: SparkSession, rows: int):
         spark.conf.set(_ARROW_ROWS, before)
 
 
-def _across(members: DataFrame, of: DataFrame, signed: DataFrame, least: dict[int, int]) -> DataFrame:
-    """(a, b) of pairs in one bucket but in different components.
+def _across(
+    members: DataFrame,
+    of: DataFrame,
+    signed: DataFrame,
+    sets: DataFrame,
+    least: dict[int, int],
+    percent: int,
+) -> DataFrame:
+    """Links (a, b) of pairs in one bucket but in different components.
 
     members: (key, id). Each bucket's largest component is its major part, the rest
     its minor one. Both are dealt into blocks; blocks of the minor part meet all
-    others, and a task compares the signatures of two blocks at a time. It returns
-    pairs only that pass, each from the first band that they share.
+    others, and a task compares two blocks at a time, each pair in the first band
+    that it shares: signatures first, full sets where they don't rule it out. No
+    candidate leaves the task, only one link of a document to each component.
     """
     placed = members.join(of, "id")
     kinds = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -273,7 +281,7 @@ def _across(members: DataFrame, of: DataFrame, signed: DataFrame, least: dict[in
             F.ceil((F.col("n") - F.col("major.n")) / BLOCK).alias("minor_blocks"),
         )
     )
-    rows = placed.join(open_, "key").join(signed.select("id", "sig", "bands"), "id")
+    rows = placed.join(open_, "key").join(signed.select("id", "sig", "bands"), "id").join(sets, "id")
     is_major = F.col("component") == F.col("major")
     blocks = (
         rows.withColumn("is_major", is_major)
@@ -282,7 +290,7 @@ def _across(members: DataFrame, of: DataFrame, signed: DataFrame, least: dict[in
             F.pmod(F.xxhash64("id"), F.when(is_major, F.col("major_blocks")).otherwise(F.col("minor_blocks"))),
         )
         .groupBy("key", "is_major", "block")
-        .agg(F.collect_list(F.struct("id", "component", "sig", "bands")).alias("rows"))
+        .agg(F.collect_list(F.struct("id", "component", "sig", "bands", "members")).alias("rows"))
     )
     meeting = (
         blocks.where("NOT is_major")
@@ -306,16 +314,21 @@ def _across(members: DataFrame, of: DataFrame, signed: DataFrame, least: dict[in
                             part.field("component").to_numpy(),
                             _rows_of(part.field("sig")),
                             np.array(part.field("bands").to_pylist(), np.int64),
+                            part.field("members"),
                         )
                     )
-                (ids, own, sig, bands), (ids2, own2, sig2, bands2) = sides
+                (ids, own, sig, bands, raw), (ids2, own2, sig2, bands2, raw2) = sides
                 for x in range(len(ids)):
                     band = int(np.flatnonzero(bands[x] == key)[0])
                     other = np.flatnonzero(own2 != own[x])
                     earlier = (bands2[other, :band] == bands[x, :band]).any(axis=1)
                     other = other[~earlier]
                     at, _ = survivors(np.broadcast_to(sig[x], (len(other), HASHES)), sig2[other], least)
-                    found += [(min(ids[x], y), max(ids[x], y)) for y in ids2[other[at]].tolist()]
+                    mine, joined = unpacked(raw[x].as_py()), set()
+                    for y in other[at].tolist():
+                        if own2[y] not in joined and linked(mine, unpacked(raw2[y].as_py()), percent):
+                            joined.add(own2[y])
+                            found.append((min(ids[x], ids2[y]), max(ids[x], ids2[y])))
             unique = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(unique[:, 1]), pa.array(unique[:, 0])], ["a", "b"]
@@ -386,8 +399,8 @@ def near_duplicates(
         "id", F.coalesce("component", "id").alias("component")
     )
     with _small_batches(spark, 16):
-        rest = stored(_across(buckets.select("key", "id"), placed, heads, least), "across")
-    links = links.union(stored(_confirmed(rest, sets, percent), "links"))
+        across = _across(buckets.select("key", "id"), placed, heads, sets, least, percent)
+        links = links.union(stored(across, "across"))
     of = component_of(links.union(same.select(F.col("id").alias("a"), F.col("first").alias("b"))))
     return (
         signed.select("id", "n_shingles")
