@@ -25,13 +25,13 @@ FIRST_OTHER = 0x100
 
 #: Words remembered by one Python worker, and the longest word that is checked
 #: after a proposal; longer ones are merged.
-MAX_WORDS = 150_000
+MAX_WORDS = 200_000
 MAX_WORD = 200
 #: Rank of a pair that never merges.
 NEVER = np.int64(2**62)
 NONE = (2**62, -1)
 #: Characters of text encoded in one go.
-STEP = 1_000_000
+STEP = 2_000_000
 RUNS = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -43,6 +43,24 @@ def byte_alphabet() -> dict[str, int]:
     return pairs | {chr(FIRST_OTHER + i): b for i, b in enumerate(hidden)}
 
 
+class Remembered(dict):
+    """A table of bounded size: what was not asked for since it last filled up goes."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that have to be made; all others are in the table from here on."""
+        if len(self) > MAX_WORDS:
+            self.older = dict(self)
+            self.clear()
+        wanted = keys.difference(self)
+        known = self.older.keys() & wanted
+        self.update((k, self.older[k]) for k in known)
+        return list(wanted - known)
+
+
 class Encoder:
     """Encodes and decodes with the vocabulary and merges of a tokenizer file."""
 
@@ -73,8 +91,7 @@ class Encoder:
         order = np.argsort(keys)
         self._keys, self._ranks = keys[order], order.astype(np.int64)
         self._own: dict[int, bool] = {}
-        self._words: dict[str, list[int]] = {}
-        self._runs: dict[str, tuple[str, int, bytes]] = {}
+        self._words, self._runs = Remembered(), Remembered()
         specials = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self._split = regex.compile(f"({specials})") if specials else None
         self._pattern = regex.compile(PATTERN)
@@ -227,25 +244,19 @@ class Encoder:
             if part
         ]
 
-    def _ids_of(self, words: list[str]) -> None:
-        for start in range(0, len(words), 50_000):
-            part = words[start : start + 50_000]
-            for w, ids in zip(part, self.encode_words([w.encode() for w in part]), strict=True):
-                self._words[w] = ids
-
     def known(self, runs: set[str]) -> dict[str, tuple[str, int, bytes]]:
         """Ids as text, their number and the bytes they decode to, by run."""
-        if len(self._runs) > MAX_WORDS:
-            self._runs = {}
-        if len(self._words) > MAX_WORDS:
-            self._words = {}
-        new = [(r, self._pattern.findall(r)) for r in runs if r not in self._runs]
-        self._ids_of(list({w for _, words in new for w in words}.difference(self._words)))
-        words_of, bytes_of = self._words, self.bytes_of
+        table, words_of, bytes_of = self._runs, self._words, self.bytes_of
+        new = [(r, self._pattern.findall(r)) for r in table.missing(runs)]
+        missing = words_of.missing({w for _, words in new for w in words})
+        for start in range(0, len(missing), 50_000):
+            part = missing[start : start + 50_000]
+            for w, ids in zip(part, self.encode_words([w.encode() for w in part]), strict=True):
+                words_of[w] = ids
         for r, words in new:
             ids = words_of[words[0]] if len(words) == 1 else [t for w in words for t in words_of[w]]
-            self._runs[r] = (",".join(map(str, ids)), len(ids), b"".join([bytes_of[t] for t in ids]))
-        return self._runs
+            table[r] = (",".join(map(str, ids)), len(ids), b"".join([bytes_of[t] for t in ids]))
+        return table
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
