@@ -64,6 +64,28 @@ def test_crowded_anchors_are_cut_finer(spark, rows, monkeypatch):
     assert found(spark, rows) == plain(rows)
 
 
+@pytest.mark.parametrize("planned, adaptive", [("10m", "10m"), ("-1", "100k")])
+def test_an_anchor_in_several_files(spark, rows, monkeypatch, planned, adaptive):
+    """The sizes of anchors are broadcast, as planned or once they prove small, and the
+    segments then stay in the tasks that read their files."""
+    store = S.stored
+    monkeypatch.setattr(S, "stored", lambda df, label: store(df.repartition(8, "a") if label == "segments" else df, label))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": planned,
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": adaptive,
+        "spark.sql.files.openCostInBytes": "128m",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert found(spark, rows) == plain(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_empty_tables(spark):
     assert S.without_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     only = spark.createDataFrame([(1, "short")], "doc_id long, text string")

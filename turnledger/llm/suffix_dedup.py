@@ -377,7 +377,8 @@ def _all_repeats(parts: DataFrame, steps: tuple[int, ...]) -> DataFrame:
     sizes = different.groupBy("key").agg(F.count("*").alias("size"))
     crowded = sizes.where(F.col("size") > MOST).select("key")
     few = different.join(sizes.where(F.col("size") <= MOST).select("key"), "key")
-    found = _repeats(few.sortWithinPartitions("key"))
+    # The join may leave an anchor in many tasks: it need not shuffle if sizes are broadcast.
+    found = _repeats(few.repartition("key").sortWithinPartitions("key"))
     finer = stored(_finer(different.join(crowded, "key", "left_semi"), steps[0]), "finer")
     below = stored(
         _all_repeats(finer.where("raw IS NOT NULL").select("key", "off", "a", "b", "raw", "n"), steps[1:]), "repeats"
