@@ -74,3 +74,9 @@ def test_held_out_accuracy(spark):
     own = L.fitted(docs.where(L.in_training()))
     held = L.identified(docs.where(~L.in_training()), own).where("lang is not null").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.95
+
+
+def test_a_language_of_1500_documents_is_learnt_from_whole(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} {chr(97 + i // 676)}", "en") for i in range(1500)]
+    docs = spark.createDataFrame([*rows, (9999, "anders", "de")], "doc_id long, text string, lang string")
+    assert np.array_equal(L.fitted(docs).table, L.fitted(docs, sample=10**6).table)

@@ -40,7 +40,7 @@ SCRIPTS = [
 _STARTS = [s for s, _ in SCRIPTS]
 
 #: Labelled documents per language that the model is fitted on, by hash of the id.
-SAMPLE = 1000
+SAMPLE = 1500
 #: Size of the table of character sequences, their lengths, weight of their sum.
 BUCKETS = 2**17
 LENGTHS = (2, 3, 4)
