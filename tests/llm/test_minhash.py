@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from turnledger.llm import minhash as M
@@ -95,3 +96,8 @@ def test_components_of_a_chain_a_star_and_loops(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 300)] + [(7, 7), (500, 500), (41, 300), (300, 41)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 300)} | {500: 500, 41: 41, 300: 41} | {40: 0}
+
+
+def test_packed_sets_keep_hashes_that_share_their_first_bits():
+    near = np.array([1 << 40, (1 << 40) + 1, (1 << 40) + 2**23], np.uint64)
+    assert M.unpacked(M.packed(near)).tolist() == near.tolist()

@@ -120,15 +120,12 @@ def survivors(left: np.ndarray, right: np.ndarray, least: dict[int, int]) -> tup
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Forty bits of every hash, sorted, a fixed five bytes each."""
-    short = np.unique(values >> np.uint64(24))
-    return (short & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (short >> np.uint64(32)).astype(np.uint8).tobytes()
+    """The hashes, sorted, in all their bits."""
+    return np.unique(values).tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    n = len(raw) // 5
-    low = np.frombuffer(raw, np.uint32, n).astype(np.uint64)
-    return low | (np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
+    return np.frombuffer(raw, np.uint64)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
