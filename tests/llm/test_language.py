@@ -80,3 +80,18 @@ def test_a_language_of_1500_documents_is_learnt_from_whole(spark):
     rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} {chr(97 + i // 676)}", "en") for i in range(1500)]
     docs = spark.createDataFrame([*rows, (9999, "anders", "de")], "doc_id long, text string, lang string")
     assert np.array_equal(L.fitted(docs).table, L.fitted(docs, sample=10**6).table)
+
+
+def test_a_parallel_text_is_accepted_and_so_is_all_without_labels(spark, model):
+    _, vocabulary = model
+    rng = random.Random(7)
+    rows = [(i, speech(rng, vocabulary[k], 60), k) for i, k in enumerate(list(vocabulary) * 20)]
+    words = {k: speech(rng, own, 90) for k, own in vocabulary.items()}
+    shortest = min(map(len, words.values()))
+    parallel = " ".join(t[:shortest].rsplit(" ", 1)[0] for t in words.values())
+    rows += [(900, parallel, None), (901, "12 34", None), (902, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in L.accepted(docs).collect()}
+    assert kept == set(range(60)) | {900}
+    unlabelled = docs.withColumn("lang", L.F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in L.accepted(unlabelled).collect()} == set(range(60)) | {900}

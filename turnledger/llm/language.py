@@ -292,10 +292,11 @@ def in_training(id_col: str = "doc_id", folds: int = 5, held: int = 0):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds != held
 
 
-def accepted(docs: DataFrame, min_share: float = 0.4, **columns: str) -> DataFrame:
-    """The documents with a main language: determined, and `min_share` of the letters."""
+def accepted(docs: DataFrame, **columns: str) -> DataFrame:
+    """The documents whose language is determined, be it one or several; all that have
+    letters if nothing was labelled to judge them by."""
     model = fitted(docs.where(in_training()), **columns)
+    if model is None:
+        return docs.where(F.col(columns.get("text_col", "text")).rlike(r"\p{L}"))
     found = identified(docs, model)
-    return found.where(
-        (F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= min_share)
-    ).select(*(f"`{c}`" for c in docs.columns))
+    return found.where(F.col("lang_pred") != UNDETERMINED).select(*(f"`{c}`" for c in docs.columns))
