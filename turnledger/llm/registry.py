@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import bpe, class_lm, decontamination, language, line_dedup, minhash, multi_index, sharding, suffix_dedup, token_counts
+from turnledger.llm import (
+    bpe,
+    class_lm,
+    decontamination,
+    language,
+    line_dedup,
+    minhash,
+    multi_index,
+    ranked_search,
+    sharding,
+    suffix_dedup,
+    token_counts,
+    url_filter,
+    value_codes,
+)
 
 #: The tokenizer file; it has to be at the same place on every executor.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -102,6 +116,125 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), shingle=4, percent=80)
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), item AS (
+  SELECT row_number() OVER () AS i, item_id,
+         list_distinct(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS ts
+  FROM benchmark
+), whole AS (
+  SELECT count(*) FILTER (len(ts) > 0)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM doc
+), sized AS (
+  SELECT r, doc_id, 10 + (90 * len(ts)::BIGINT * n_docs) // n_terms AS m FROM doc, whole WHERE len(ts) > 0
+), asked AS (
+  SELECT i, unnest(ts) AS t FROM item
+), posting AS (
+  SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS t FROM doc)
+  WHERE t IN (SELECT t FROM asked) GROUP BY r, t
+), weight AS (
+  SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM posting, whole GROUP BY t
+), scored AS (
+  SELECT i, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN posting USING (t) JOIN weight USING (t) JOIN sized USING (r) GROUP BY i, r, doc_id
+), placed AS (
+  SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM placed JOIN item USING (i) WHERE rank <= 10
+"""
+
+
+def op12_value_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return value_codes.compressed(table(spark, folder, "embeddings")).drop("label")
+
+
+def _op12_round(k: int, last: bool) -> str:
+    """Parts put to their nearest entry, and then the entries' means."""
+    near = f"""
+far{k} AS (
+  SELECT v.r, v.p, e.j, list_sum(list_transform(list_zip(v.x, e.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM part v JOIN book{k} e USING (p)
+), near{k} AS (
+  SELECT r, p, min(struct_pack(d := d, j := j)) AS best FROM far{k} GROUP BY r, p
+)"""
+    if last:
+        return near
+    return near + f""", mean{k} AS (
+  SELECT p, j, list(m ORDER BY c) AS x FROM (
+    SELECT p, best.j AS j, c, floor(sum(v.x[c])::DOUBLE / count(*))::BIGINT AS m
+    FROM near{k} n JOIN part v USING (r, p), range(1, (SELECT any_value(w) FROM wide) + 1) AS place(c)
+    GROUP BY p, best.j, c) GROUP BY p, j
+), book{k + 1} AS (
+  SELECT b.p, b.j, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN mean{k} m ON b.p = m.p AND b.j = m.j
+)"""
+
+
+#: Means are floored from doubles here: sums and counts are small enough to be exact.
+OP12_SQL = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), wide AS (
+  SELECT max(len(x)) // 4 AS w FROM kept
+), part AS (
+  SELECT r, p, x[p * w + 1 : (p + 1) * w] AS x FROM kept, wide, range(4) AS parts(p)
+), book0 AS (
+  SELECT p, r - 1 AS j, x FROM part WHERE r <= 256
+), {", ".join(_op12_round(k, k == value_codes.ROUNDS) for k in range(value_codes.ROUNDS + 1))}, coded AS (
+  SELECT r, string_agg(printf('%02x', best.j::INTEGER), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error
+  FROM near{value_codes.ROUNDS} GROUP BY r
+), book AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM book{value_codes.ROUNDS}
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), book
+"""
+
+
+def op13_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judged(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP13_SQL = r"""
+WITH cut AS (
+  SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^#]*)', 1) AS rest FROM pages
+), split AS (
+  SELECT page_id, regexp_extract(rest, '(?s)^[^?]*') AS plain, regexp_extract(rest, '(?s)\?.*') AS query FROM cut
+), named AS (
+  SELECT page_id, regexp_extract(plain, '(?s)/.*') AS path, query,
+         translate(regexp_extract(plain, '(?s)^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+  FROM split
+), rules(rule_host, rule_path, rule_verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), fits AS (
+  SELECT page_id, arg_max(rule_host || rule_path, len(rule_host || rule_path)) AS rule,
+         arg_max(rule_verdict, len(rule_host || rule_path)) AS rule_verdict
+  FROM named, rules
+  WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IS NOT NULL THEN rule_verdict
+            WHEN regexp_full_match(host || path || query, '(?s)([^/?]*\.)?ads-track\..*|.*/wp-login\.php.*') THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM named LEFT JOIN fits USING (page_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_multi_index": op1_multi_index,
@@ -114,8 +247,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_sharding": op9_sharding,
         "op10_minhash": op10_minhash,
+        "op11_ranked_search": op11_ranked_search,
+        "op12_value_codes": op12_value_codes,
+        "op13_url_filter": op13_url_filter,
     }
 
 
 def statements() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL}
+    return {
+        "op5_line_dedup": OP5_SQL,
+        "op11_ranked_search": OP11_SQL,
+        "op12_value_codes": OP12_SQL,
+        "op13_url_filter": OP13_SQL,
+    }
