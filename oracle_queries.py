@@ -581,6 +581,40 @@ def statements() -> dict[str, str]:
                 CAST(sum(CASE WHEN seq % 101 <> 0 AND seq % 103 <> 0 THEN input_tok END) AS BIGINT)
                     AS input_tok FROM raw GROUP BY 1"""
         ),
+        "transcript_bad_bytes": _with(
+            """, line AS (
+                SELECT seq, seq // 1000 AS file, seq % 1000 AS place, role,
+                    seq % 101 = 0 OR (seq % 103 <> 0 AND seq % 89 = 5 AND session_id IS NOT NULL) AS bad,
+                    seq % 101 <> 0 AND seq % 103 = 0 AS other
+                FROM raw),
+            stop AS (
+                SELECT DISTINCT file, CASE WHEN file % 2 = 0 THEN 700 ELSE 1000 END AS place
+                FROM line WHERE file % 2 = 1 OR place = 700),
+            taken AS (
+                SELECT l.*, s.place IS NULL OR l.place < s.place AS early
+                FROM line l LEFT JOIN stop s USING (file))
+            SELECT run, count(*) FILTER (NOT bad AND NOT other AND early = (run = 0)) AS new_events,
+                count(*) FILTER (NOT bad AND NOT other AND role = 'user' AND early = (run = 0)) AS new_prompts,
+                count(*) FILTER (bad AND (run = 1 OR early))
+                    + CASE WHEN run = 0 THEN (SELECT count(*) FROM stop) ELSE 0 END AS skipped_unparseable,
+                count(*) FILTER (NOT bad AND NOT other AND early AND run = 1) AS duplicates,
+                CASE WHEN run = 0 THEN (SELECT count(*) FROM stop) ELSE 0 END AS files_behind
+            FROM taken, (VALUES (0), (1)) runs(run) GROUP BY run"""
+        ),
+        "rollup_incremental": _with(
+            f"""SELECT run, project, model, {_TOTALS}
+            FROM pe, (VALUES (0), (1), (2)) runs(run)
+            WHERE floor(seq * 3 / (SELECT max(event_id) + 1 FROM events)) <= run
+            GROUP BY run, project, model""",
+            _CALLS,
+            _RECORDS,
+            _STORED,
+            _PRICED.replace("FROM ue e", "FROM stored e"),
+        ),
+        "rollup_ragged_window": _projects(
+            f"ts - seq % 3 * {31 * DAY_MS} >= {NOW_MS - 45 * DAY_MS - 5_000_000}"
+            f" AND ts - seq % 3 * {31 * DAY_MS} < {NOW_MS - 40_000_000}"
+        ),
         "stream_counts": _with(
             """SELECT count(*) AS new_events, count(*) FILTER (role = 'user') AS new_prompts,
                 (SELECT count(*) FROM raw WHERE seq % 101 = 0) AS skipped_unparseable,

@@ -16,7 +16,7 @@ from turnledger.plans.ingest import Source, ingest, ingest_records
 from turnledger.session import configure, new_work_folder, staged
 from turnledger.sources import sample_tables as sample
 from turnledger.sources import store as stores
-from turnledger.sources import transcripts
+from turnledger.sources import totals, transcripts
 from turnledger.streaming.ingest import start_ingest
 
 NOW_MS = sample.NOW_MS
@@ -352,7 +352,9 @@ def transcript_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("seq")
     lines = sample.transcript_lines(_ordered(_records(spark, sf_dir), FILES))
     broken = F.when(number % 7 == 0, F.replace("value", F.lit('{"type"'), F.lit('{\r"type"')))
-    pad = F.concat(F.lit('{"pad":"'), F.repeat(F.lit("x"), 25 << 20), F.lit('",'))
+    # Of a column, or the planner would make one literal of 25 MiB of it.
+    size = (F.lit(25 << 20) + number % 1).cast("int")
+    pad = F.concat(F.lit('{"pad":"'), F.repeat(F.lit("x"), size), F.lit('",'))
     long = F.when(number % 5000 == 1, F.concat(pad, F.substring("value", 2, 2**31 - 1)))
     lines.select(F.coalesce(long, broken, "value").alias("value")).write.text(f"{home}/logs")
     read = transcripts.read_lines(spark, f"{home}/logs", SOURCE.pattern)
@@ -362,6 +364,79 @@ def transcript_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Lines of a file, and where in a file its broken line is.
+FILE_LINES, BROKEN_AT = 1000, 700
+
+
+def _land_damaged(spark: SparkSession, sf_dir: str, folder: str, mended: bool) -> None:
+    """A file for every so many records, every other one with a line that is no UTF-8,
+    the rest with a torn end; some sessions named by half a character."""
+    number = F.col("seq")
+    lines = sample.transcript_lines(_records(spark, sf_dir)).withColumn(
+        "file", F.floor(number / FILE_LINES)
+    )
+    even = F.col("file") % 2 == 0
+    half = F.when(number % 89 == 5, F.replace("value", F.lit('"sessionId":"s-'), F.lit('"sessionId":"\\ud800s-')))
+    line = F.coalesce(half, "value")
+    if not mended:
+        broken = F.concat(F.lit(b"\xe2\x82").cast("string"), line)
+        line = F.when(even & (number % FILE_LINES == BROKEN_AT), broken).otherwise(line)
+    ordered = F.sort_array(F.collect_list(F.struct("seq", line.alias("line"))))
+    whole = F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
+    files = lines.groupBy("file").agg(whole.alias("value"))
+    torn = F.lit(False) if mended else ~even
+    # The writer ends each value: with a line break, or with a blank after a torn line.
+    begun = F.concat("value", F.lit('\n{"type":"user","timest')).alias("value")
+    for rows, end in ((files.where(~torn), "\n"), (files.where(torn).select("file", begun), " ")):
+        rows.write.partitionBy("file").mode("append").option("lineSep", end).text(folder)
+
+
+def transcript_bad_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over files that are damaged first and mended then."""
+    home = new_work_folder(spark, "damaged")
+    runs = []
+    for run, mended in enumerate((False, True)):
+        _land_damaged(spark, sf_dir, f"{home}/logs-{run}", mended)
+        done = ingest(spark, f"{home}/logs-{run}", f"{home}/store", sample.prices(spark), NOW_MS + run, SOURCE)
+        files = transcripts.list_files(spark, f"{home}/logs-{run}", SOURCE.pattern)
+        behind = transcripts.changed_files(files, stores.read_cursors(spark, f"{home}/store"), SOURCE.agent)
+        counted = ["new_events", "new_prompts", "skipped_unparseable", "duplicates"]
+        runs.append(
+            done.select(
+                F.lit(run).alias("run"),
+                *counted,
+                F.lit(behind.count()).alias("files_behind"),
+            )
+        )
+    return runs[0].union(runs[1])
+
+
+def rollup_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports from stored sums after each of three runs over one store."""
+    home = new_work_folder(spark, "sums")
+    records = _records(spark, sf_dir)
+    size = sample.table(spark, sf_dir, "events").agg(F.max("event_id") + 1).first()[0]
+    out = None
+    for run in range(3):
+        part = F.floor(F.col("seq") * 3 / F.lit(size)) == run
+        _land(records.where(part), f"{home}/logs/part-{run}", FILES // 2)
+        ingest(spark, f"{home}/logs", f"{home}/store", sample.prices(spark), NOW_MS + run, SOURCE)
+        found = reports.query(totals.read_sums(spark, f"{home}/store"), sample.prices(spark), ["project", "model"])
+        # What the store holds now is asked for now, not after the next run.
+        found = staged(found.withColumn("run", F.lit(run)), f"{home}/report-{run}")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def rollup_ragged_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of a stored period that begins and ends within a day."""
+    home = _months_store(spark, sf_dir, "ragged")
+    totals.recover(spark, home)
+    window = Window(NOW_MS - 45 * 86_400_000 - 5_000_000, NOW_MS - 40_000_000)
+    sums = totals.read_sums(spark, home, window)
+    return reports.projects(sums, sample.prices(spark), Scope(window))
+
+
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines waiting in the files that no cursor covers."""
     home = new_work_folder(spark, "changed")
@@ -416,7 +491,7 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             SOURCE,
         ).awaitTermination()
     counted = stores.read_runs(spark, f"{home}/store")
-    return counted.agg(*[F.sum(name).alias(name) for name in counted.columns if name != "run"])
+    return counted.agg(*[F.sum(name).alias(name) for name in counted.columns if name not in ("stream", "run")])
 
 
 def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -564,6 +639,9 @@ def registered() -> dict[str, Query]:
         "ingest_hidden_names": ingest_hidden_names,
         "ingest_since": ingest_since,
         "transcript_long_lines": transcript_long_lines,
+        "transcript_bad_bytes": transcript_bad_bytes,
+        "rollup_incremental": rollup_incremental,
+        "rollup_ragged_window": rollup_ragged_window,
         "changed_files": changed_files,
         "stream_ingest": _streamed(None, land_copies=False),
         "stream_dedup": _streamed("1 hour", land_copies=True),

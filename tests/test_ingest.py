@@ -114,8 +114,8 @@ def test_a_request_counted_months_ago_stays_counted(spark, folder, prices):
     assert counted == [5]
     # The months looked at are those of the session, not all there are.
     lines = read_lines(spark, f"{folder}/logs")
-    records = parse_lines(lines).where("session_id = 'evening'")
-    assert sorted(plan._claim_months(spark, f"{folder}/store", records)) == ["2026-01", "2026-06"]
+    notes = stores.notes_of(parse_lines(lines).where("session_id = 'evening'"))
+    assert sorted(plan._claim_months(spark, f"{folder}/store", notes)) == ["2026-01", "2026-06"]
 
 
 def test_a_run_that_died_between_its_notes_and_its_events(spark, folder, prices, monkeypatch):
@@ -128,22 +128,144 @@ def test_a_run_that_died_between_its_notes_and_its_events(spark, folder, prices,
         patch.setattr(plan, "append_prompts", fail)
         with pytest.raises(RuntimeError):
             run(spark, folder, prices)
-    assert stores.read_sessions(spark, f"{folder}/store").count() == 2
+    assert stores.read_notes(spark, f"{folder}/store").count() == 2
     assert run(spark, folder, prices, now=2)["new_events"] == 5
     counted = [row["input_tok"] for row in stored(spark, f"{folder}/store") if row["input_tok"]]
     assert sorted(counted) == [25, 40]
 
 
-def test_a_store_without_notes_on_sessions_gets_them(spark, folder, prices):
+def test_a_store_without_notes_gets_them_by_a_run_and_not_by_a_reader(spark, folder, prices):
     write_lines(folder, "logs/1.jsonl", [answered("a", "2026-01-05T10:00:00Z", "ask", tokens=5)])
     run(spark, folder, prices)
-    os.rename(stores.sessions_path(f"{folder}/store"), f"{folder}/elsewhere")
+    for name in ("notes", "notes_base"):
+        os.rename(f"{folder}/store/{name}", f"{folder}/{name}-elsewhere")
+    assert stores.read_notes(spark, f"{folder}/store").count() == 0
+    assert not os.path.exists(f"{folder}/store/notes")
     write_lines(folder, "logs/2.jsonl", [answered("c", "2026-06-05T10:00:00Z", "ask", tokens=8)])
     run(spark, folder, prices, now=2)
     counted = [row["input_tok"] for row in stored(spark, f"{folder}/store") if row["input_tok"]]
     assert counted == [5]
 
 
+def test_a_turn_without_session_opens_no_foreign_month(spark, folder, prices):
+    """Requests without session share none of their notes, so each finds its own month."""
+    months = range(1, 5)
+    for month in months:
+        line = answered(f"u{month}", f"2026-0{month}-05T10:00:00Z", f"ask-{month}", sessionId=None)
+        write_lines(folder, f"logs/{month}.jsonl", [line])
+    run(spark, folder, prices)
+    again = answered("late", "2026-09-05T10:00:00Z", "ask-2", sessionId=None, tokens=90)
+    write_lines(folder, "logs/9.jsonl", [again])
+    lines = read_lines(spark, f"{folder}/logs").where("path LIKE '%/9.jsonl'")
+    notes = stores.notes_of(parse_lines(lines))
+    assert plan._claim_months(spark, f"{folder}/store", notes) == ["2026-02"]
+    buckets = stores.buckets_of(notes)
+    assert len(buckets) == 1
+    scan = stores.read_notes(spark, f"{folder}/store", buckets)._jdf.queryExecution().executedPlan().toString()
+    pruned = scan[scan.index("PartitionFilters") :]
+    assert f"(bucket#" in pruned and f"= {buckets[0]})" in pruned[: pruned.index("PushedFilters")]
+    run(spark, folder, prices, now=2)
+    counted = [row["input_tok"] for row in stored(spark, f"{folder}/store") if row["input_tok"]]
+    assert sorted(counted) == [40] * 4
+
+
+def test_notes_do_not_grow_with_batches_of_known_sessions(spark, folder, prices):
+    for number in range(4):
+        write_lines(folder, f"logs/{number}.jsonl", [answered(f"u{number}", number, f"ask-{number}")])
+        run(spark, folder, prices, now=number)
+    notes = stores.read_notes(spark, f"{folder}/store")
+    assert (notes.count(), len(notes.inputFiles())) == (1, 1)
+
+
+def test_many_small_files_of_notes_are_merged(spark, folder, prices):
+    store = f"{folder}/store"
+    lines = [answered(f"u{n}", n, f"ask-{n}", sessionId=f"s{n % 7}") for n in range(40)]
+    for number in range(2):
+        write_lines(folder, f"logs/{number}.jsonl", lines[number::2])
+        run(spark, folder, prices, now=number)
+    before = rows_of(stores.read_notes(spark, store).select("session", "month").distinct().orderBy("session"))
+    stores.prepare_notes(spark, store, many_files=1)
+    notes = stores.read_notes(spark, store)
+    assert rows_of(notes.select("session", "month").orderBy("session")) == before
+    assert {row["generation"] for row in notes.collect()} == {1}
+    assert not os.path.exists(f"{store}/notes/generation=0")
+
+
+def write_bytes(folder, name, lines, end=b"\n"):
+    path = write_lines(folder, name, [])
+    with open(path, "wb") as out:
+        out.write(b"\n".join(line if isinstance(line, bytes) else line.encode() for line in lines) + end)
+    return path
+
+
+def offsets(spark, folder):
+    latest = stores.read_cursors(spark, f"{folder}/store").orderBy("ts").collect()
+    return {row["path"].rsplit("/", 1)[1]: row["offset"] for row in latest}
+
+
+def test_a_file_is_taken_up_to_its_first_bytes_that_are_no_text(spark, folder, prices):
+    good = [said(f"u{n}", n, text="@").replace("@", "größer") for n in range(6)]
+    broken = good[3].encode().replace("ö".encode(), b"\xc3")
+    path = write_bytes(folder, "logs/a.jsonl", [*good[:3], broken, *good[4:], b"\xff"])
+    write_lines(folder, "logs/b.jsonl", [said("other", 9)])
+    before = sum(len(line.encode()) + 1 for line in good[:3])
+    for now, new in ((1, 4), (2, 0)):
+        found = run(spark, folder, prices, now=now)
+        assert (found["new_events"], found["skipped_unparseable"], found["files_read"]) == (new, 1, 3 - now)
+        assert offsets(spark, folder) == {"a.jsonl": before, "b.jsonl": os.path.getsize(f"{folder}/logs/b.jsonl")}
+    # Mended, the rest comes in; an untouched file is not opened again after that.
+    write_bytes(folder, "logs/a.jsonl", good)
+    found = run(spark, folder, prices, now=3)
+    assert (found["new_events"], found["duplicates"], found["skipped_unparseable"]) == (3, 3, 0)
+    assert offsets(spark, folder)["a.jsonl"] == os.path.getsize(path)
+    assert run(spark, folder, prices, now=4)["files_read"] == 0
+
+
+def test_a_line_still_being_written_is_left_for_later_even_if_complete(spark, folder, prices):
+    first, second = said("u1", 1), said("u2", 2)
+    for name, mark in (("a", b""), ("b", b"\xef\xbb\xbf")):
+        lines = [entry("user", name + line[0], 1) for line in ("1", "2")]
+        write_bytes(folder, f"logs/{name}.jsonl", [mark + lines[0].encode(), lines[1]], end=b"")
+    write_bytes(folder, "logs/c.jsonl", [first], end=b"")
+    write_bytes(folder, "logs/d.jsonl", [b"\xef\xbb\xbf" + first.encode(), second])
+    found = run(spark, folder, prices)
+    assert (found["new_events"], found["skipped_unparseable"]) == (4, 3)
+    assert offsets(spark, folder)["c.jsonl"] == 0
+    for name in "abc":
+        with open(f"{folder}/logs/{name}.jsonl", "a") as out:
+            out.write("\n")
+    found = run(spark, folder, prices, now=2)
+    assert (found["new_events"], found["skipped_unparseable"], found["duplicates"]) == (2, 0, 3)
+    assert run(spark, folder, prices, now=3)["files_read"] == 0
+
+
+def test_split_files_stop_at_the_same_line(spark, folder, prices):
+    lines = [said(f"u{n}", n % 50, text="x" * 300) for n in range(60)]
+    write_bytes(folder, "logs/a.jsonl", [*lines[:40], b"\xf0\x28", *lines[40:]])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = run(spark, folder, prices)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert (found["new_events"], found["skipped_unparseable"]) == (40, 1)
+    assert offsets(spark, folder)["a.jsonl"] == sum(len(line) + 1 for line in lines[:40])
+
+
+def test_half_characters_are_no_records(spark, folder, prices):
+    texts = [
+        r"x\ud83dy", r"\udc00", r"\uDC00\ud83d", r"\\\ud83d", r"\ud83d\\udc00", r"\ud83d\ud83d\udc00",
+        r"\ud83d\udc00", r"\\ud83d", r"\uD83D\uDC00 \\udc00", r"\ue000", r"a\\\ud83d\udc00",
+    ]
+    lines = [said(f"u{n}", n, text="@").replace("@", text) for n, text in enumerate(texts)]
+    lines.append(said("u20", 20, other="@").replace("@", r"\udfff"))
+    write_lines(folder, "logs/a.jsonl", lines)
+    found = run(spark, folder, prices)
+    assert (found["new_events"], found["skipped_unparseable"]) == (5, 7)
+    kept = {row["text"] for row in rows_of(stores.read_prompts(spark, f"{folder}/store"))}
+    assert kept == {json.loads(f'"{text}"') for text in texts[6:]}
+
+
 def test_hidden_names_and_carriage_returns(spark, folder, prices):
     for number, name in enumerate(("_work/a", ".dot/a", "ok/_x", "ok/a", ".dot/_in/.b")):
         line = answered(f"u{number}", number, f"ask-{number}")

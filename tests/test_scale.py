@@ -242,7 +242,7 @@ def test_a_large_price_list_is_not_broadcast(spark):
 
 
 def test_every_query_is_registered_once():
-    assert len(registered()) == 53
+    assert len(registered()) == 56
 
 
 def test_marking_sorts_outside_of_its_lambda(spark):
@@ -265,10 +265,10 @@ def test_burn_rate_scans_the_store_once(spark, folder):
 def test_claims_are_looked_up_in_the_months_of_the_sessions(spark, folder):
     rows = [event(f"e{n}", at(3) + n * 40 * DAY, session_id=f"s{n % 2}") for n in range(6)]
     events = events_frame(spark, rows).withColumn("month", month_of(F.col("ts")))
-    stores.append_sessions(events, folder)
+    events = events.withColumns({"turn_id": F.lit("t"), "input_tok": F.lit(1).cast("long")})
     stores.append_events(events, folder)
-    batch = events.where("id = 'e0'").withColumn("turn_id", F.lit("t"))
-    months = _claim_months(spark, folder, batch)
+    stores.prepare_notes(spark, folder)
+    months = _claim_months(spark, folder, stores.notes_of(events.where("id = 'e0'")))
     assert sorted(months) == ["2026-08", "2026-10", "2027-01"]
     plan = stores.read_events(spark, folder).where(F.col("month").isin(months))
     assert "PartitionFilters: [month" in plan._jdf.queryExecution().executedPlan().toString()

@@ -183,7 +183,7 @@ def test_health_names_models_without_a_price(spark):
     frame = events_frame(spark, rows)
     prices = price_table(spark, [("anthropic", "known", 1.0, 1.0, 1.0, None)])
     assert one(health.store_health(frame, prices)) == {
-        "partitions": 2, "oldest": "2026-07", "events": 4,
+        "partitions": 2, "oldest": "2026-07", "events": 4, "bytes": 0,
         "unpriced_models": ["(unknown model)", "<synthetic>"],
     }
     unpriced = one(health.store_health(frame, price_table(spark, []), Scope(project="p")))

@@ -5,8 +5,10 @@ from conftest import rows_of, write_lines
 from test_ingest import EVENING, MODEL, answered, said
 
 from turnledger.operators.pricing import price_table
+from turnledger.plans import ingest as plan
 from turnledger.plans.ingest import ingest
 from turnledger.sources import store as stores
+from turnledger.sources import totals
 from turnledger.streaming.ingest import start_ingest
 
 MORE = [said("m-1", 50), answered("m-2", 51, "ask-2"), answered("m-3", 52, "ask-3"), "{torn"]
@@ -81,6 +83,53 @@ def test_what_batches_count_is_kept(spark, folder, prices):
     assert counted == [(5, 2, 1), (3, 1, 1)]
 
 
+@pytest.mark.parametrize("step", ["append_notes", "append_prompts", "append_events"])
+@pytest.mark.parametrize("done", [False, True])
+def test_counts_of_a_batch_that_dies_on_the_way(spark, folder, prices, monkeypatch, step, done):
+    """The batch runs again; its counts say what all of it added, and once."""
+    write_lines(folder, "landing/1.jsonl", EVENING)
+    real = getattr(plan, step)
+
+    def fail(*args):
+        if done:
+            real(*args)
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(plan, step, fail)
+        with pytest.raises(Exception, match="lost"):
+            stream(spark, folder, prices)
+    stream(spark, folder, prices)
+    (run,) = rows_of(stores.read_runs(spark, f"{folder}/store"))
+    counts = ("new_events", "new_prompts", "skipped_unparseable", "duplicates")
+    assert [run[name] for name in counts] == [5, 2, 1, 0]
+    assert len(stored(spark, f"{folder}/store")) == 5
+    assert totals.read_sums(spark, f"{folder}/store").agg({"events": "sum"}).first()[0] == 5
+
+
+def test_two_streams_of_one_store_count_apart(spark, folder, prices):
+    for name, lines in (("a", EVENING), ("b", MORE)):
+        write_lines(folder, f"{name}/1.jsonl", lines)
+        place = (f"{folder}/{name}", f"{folder}/store", prices, f"{folder}/checkpoint-{name}")
+        start_ingest(spark, *place).awaitTermination()
+    counted = rows_of(stores.read_runs(spark, f"{folder}/store"))
+    assert sorted((r["stream"][-1], r["run"], r["new_events"]) for r in counted) == [("a", 0, 5), ("b", 0, 3)]
+
+
+@pytest.mark.parametrize("horizon", [None, "1 hour"])
+def test_a_landed_file_ends_at_bytes_that_are_no_text(spark, folder, prices, horizon):
+    for name in "12":
+        path = write_lines(folder, f"landing/{name}.jsonl", [])
+        with open(path, "wb") as out:
+            out.write(b"\n".join([said(f"u{name}", 1).encode(), b"\xff", said(f"v{name}", 2).encode()]))
+    write_lines(folder, "landing/3.jsonl", [said("w", 3)], end="")
+    stream(spark, folder, prices, copy_horizon=horizon)
+    assert len(stored(spark, f"{folder}/store")) == 3
+    # With a horizon a batch without lines may follow.
+    runs = rows_of(stores.read_runs(spark, f"{folder}/store"))
+    assert sum(run["skipped_unparseable"] for run in runs) == 2
+
+
 def test_a_replayed_batch_adds_nothing(spark, folder, prices):
     write_lines(folder, "landing/1.jsonl", EVENING)
     stream(spark, folder, prices)

@@ -107,6 +107,19 @@ def group_measures() -> list[Column]:
     ]
 
 
+def merged_measures() -> list[Column]:
+    """The same from rows that were summed before."""
+    return [
+        F.coalesce(F.sum("requests"), F.lit(0)).alias("requests"),
+        *[
+            F.coalesce(F.sum(name), F.lit(0)).alias(name)
+            for name in ("input_tok", "output_tok", "cache_read_tok", "cache_write_tok")
+        ],
+        F.coalesce(F.sum("stored_priced"), F.lit(0)).alias("stored_priced"),
+        F.sum("stored_cost").cast("double").alias("stored_cost"),
+    ]
+
+
 def priced_requests() -> Column:
     """How many requests of a group have a cost, by price list or as stored."""
     return (

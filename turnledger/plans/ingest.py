@@ -5,6 +5,7 @@ die at any point: prompts are written before events and checked against the
 prompts already there, and cursors come last, so the next run completes it.
 """
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,21 +29,28 @@ from turnledger.sources.store import (
     append_cursors,
     append_events,
     append_prompts,
-    append_sessions,
+    append_notes,
+    buckets_of,
     in_append_order,
+    notes_of,
+    prepare_notes,
     read_cursors,
     read_events,
+    read_notes,
     read_prompts,
-    read_sessions,
 )
+from turnledger.sources import totals
 from turnledger.sources.transcripts import (
     LINE_ORDER,
+    LINES,
     TRANSCRIPTS,
     changed_files,
+    consumed,
     list_files,
     parse_lines,
     read_lines,
     readable,
+    stopping_points,
 )
 
 _CLAIM_COLUMNS = [
@@ -73,17 +81,15 @@ def _months(records: DataFrame) -> list[str]:
     return [row["month"] for row in rows]
 
 
-def _claim_months(spark: SparkSession, store: str, parsed: DataFrame) -> list[str]:
-    """Months that can hold a claim of a request of these records.
+def _claim_months(spark: SparkSession, store: str, notes: DataFrame) -> list[str]:
+    """Months that can hold a claim of a request of these records, by their notes.
 
-    A request belongs to a session, so only months in which a session of the
-    batch has events can. The notes on sessions are small next to the events and
-    the answer is a calendar's worth of short strings.
+    Only months noted for a session of the batch can, or for a turn of it that has no
+    session. Only the buckets of those are read, and the answer is a calendar's worth of
+    short strings.
     """
-    sessions = parsed.where(F.col("turn_id").isNotNull()).select(
-        "agent", F.coalesce("session_id", F.lit("")).alias("session")
-    )
-    found = read_sessions(spark, store).join(sessions.distinct(), ["agent", "session"], "left_semi")
+    known = read_notes(spark, store, buckets_of(notes))
+    found = known.join(notes, ["agent", "session", "turn"], "left_semi")
     return [row["month"] for row in found.select("month").distinct().collect()]
 
 
@@ -111,19 +117,24 @@ def ingest_records(
     work: str,
     project: str | None = None,
     index_text: bool = True,
-) -> DataFrame:
-    """Append what parsed lines add to the store; one row of counts.
+    counted: Callable[[dict[str, int]], None] | None = None,
+) -> dict[str, int]:
+    """Append what parsed lines add to the store; returns how many.
 
     ``records`` should be a written table. Which lines count is decided on
     their key columns alone; whole records are then read once for events and,
-    for prompts, only the text.
+    for prompts, only the text. ``counted`` is given the counts before anything of the
+    batch is stored.
     """
     spark = records.sparkSession
+    prepare_notes(spark, store)
+    totals.recover(spark, store)
     parsed = records.where(F.col("status") == "record")
     months = _months(parsed)
     in_months = F.col("month").isin(months)
     stored = read_events(spark, store)
-    claims = stored.where(F.col("month").isin(_claim_months(spark, store, parsed)))
+    notes = staged(notes_of(parsed), f"{work}/notes")
+    claims = stored.where(F.col("month").isin(_claim_months(spark, store, notes)))
 
     fresh = staged(
         unseen(parsed.select(*_CLAIM_COLUMNS), stored.where(in_months)), f"{work}/fresh"
@@ -141,9 +152,25 @@ def ingest_records(
         ).select("line_id", "seq", "owns_usage"),
         f"{work}/chosen",
     )
-    # Before any event of theirs: a note too many is harmless, one too few is not.
-    append_sessions(kept, store)
     new = parsed.join(chosen, "line_id")
+    lines = records.agg(
+        F.count_if(F.col("status") == "record").alias("parsed"),
+        F.count_if(F.col("status") == "unparseable").alias("skipped_unparseable"),
+        F.count_if(F.col("status") == "oversized").alias("skipped_oversized"),
+    ).first()
+    added = new.agg(F.count("*").alias("events"), F.count("prompt_text").alias("prompts")).first()
+    counts = {
+        "new_events": added["events"],
+        "new_prompts": added["prompts"],
+        "skipped_unparseable": lines["skipped_unparseable"],
+        "skipped_oversized": lines["skipped_oversized"],
+        "duplicates": lines["parsed"] - fresh.count(),
+    }
+    if counted is not None:
+        counted(counts)
+    # Before any event of theirs: a note too many is harmless, one too few is not.
+    append_notes(notes_of(kept), store)
+    batch = totals.announced(kept, store)
     prompts = new.where(F.col("prompt_text").isNotNull()).select(
         F.col("id").alias("event_id"),
         F.col("prompt_text").alias("text"),
@@ -155,20 +182,10 @@ def ingest_records(
     known = found_in(read_prompts(spark, store).where(in_months), prompts, keys)
     append_prompts(prompts.join(known, keys, "left_anti"), store, index_text)
     events = keep_owned_usage(new, F.col("owns_usage")).select(*EVENT_COLUMNS, "seq", "month")
-    append_events(priced_at_ingest(events, prices), store)
-
-    counts = records.agg(
-        F.count_if(F.col("status") == "record").alias("parsed"),
-        F.count_if(F.col("status") == "unparseable").alias("skipped_unparseable"),
-        F.count_if(F.col("status") == "oversized").alias("skipped_oversized"),
-    )
-    return counts.select(
-        chosen.agg(F.count("*")).scalar().alias("new_events"),
-        prompts.agg(F.count("*")).scalar().alias("new_prompts"),
-        "skipped_unparseable",
-        "skipped_oversized",
-        (F.col("parsed") - fresh.agg(F.count("*")).scalar()).alias("duplicates"),
-    )
+    events = priced_at_ingest(events, prices)
+    append_events(events, store)
+    totals.extend(events, store, batch)
+    return counts
 
 
 def _lines_to_read(
@@ -183,9 +200,7 @@ def _lines_to_read(
     day = F.date_format(F.timestamp_millis("mtime"), "yyyy-MM-dd")
     days = [row["day"] for row in picked.select(day.alias("day")).distinct().collect()]
     if not days:
-        return spark.createDataFrame(
-            [], "value string, path string, place string, block long, line_id long"
-        )
+        return spark.createDataFrame([], LINES)
     lines = read_lines(spark, root, source.pattern, days)
     return lines.join(picked.select("path"), "path", "left_semi")
 
@@ -206,7 +221,8 @@ def ingest(
     events are stored, and since that leaves lines of read files out, no
     cursor is written. A file that grew is read again whole and its known lines
     are counted as duplicates. The listing is taken before the lines are read:
-    bytes added meanwhile make the file count as changed next time.
+    bytes added meanwhile make the file count as changed next time. A file that can't be
+    taken to its end is read again by every run until it can.
     """
     work = new_work_folder(spark, "ingest")
     files = staged(list_files(spark, root, source.pattern), f"{work}/files")
@@ -214,16 +230,19 @@ def ingest(
     picked = staged(changed_files(files, cursors, source.agent, window), f"{work}/picked")
     lines = _lines_to_read(spark, root, source, picked)
     records = staged(parse_lines(lines, source.agent, source.provider), f"{work}/records")
+    stops = staged(stopping_points(records), f"{work}/stops")
+    records = consumed(records, stops)
 
     counts = ingest_records(records, store, prices, work, project, source.index_text)
     if project is None:
-        append_cursors(picked, store, source.agent, now_ms)
-    counted = counts.select(F.struct("*")).scalar()
+        done = picked.join(stops.select("path", "offset"), "path", "left")
+        taken = F.least("size", F.coalesce("offset", "size"))
+        append_cursors(done.withColumn("size", taken), store, source.agent, now_ms)
     summary = files.agg(
         F.lit(source.agent).alias("adapter"),
         F.count("*").alias("files_seen"),
-        picked.agg(F.count("*")).scalar().alias("files_read"),
-        *[counted[name].alias(name) for name in counts.columns],
+        F.lit(picked.count()).cast("long").alias("files_read"),
+        *[F.lit(n).cast("long").alias(name) for name, n in counts.items()],
         F.count_if(~readable(files)).alias("unreadable_files"),
         F.lit(project is None).alias("cursors_written"),
     )

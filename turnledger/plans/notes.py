@@ -5,17 +5,15 @@ from pyspark.sql import functions as F
 
 from turnledger.fixed_values import UNKNOWN_MODEL
 from turnledger.functions.usage import is_sidechain, is_synthetic
-from turnledger.operators.pricing import group_measures, with_group_costs
+from turnledger.operators.pricing import with_group_costs
 from turnledger.operators.scope import Scope, located
+from turnledger.operators.totals import counted
 
 
 def _per_model(events: DataFrame, prices: DataFrame, scope: Scope) -> DataFrame:
     """One row per model and sidechain flag; the only step that sees events."""
-    groups = (
-        located(events, scope)
-        .groupBy("provider", "model", is_sidechain().alias("sidechain"))
-        .agg(F.count("*").alias("events"), *group_measures())
-    )
+    rows = located(events, scope)
+    groups = rows.groupBy("provider", "model", is_sidechain().alias("sidechain")).agg(*counted(rows))
     return with_group_costs(groups, prices)
 
 

@@ -29,6 +29,7 @@ from turnledger.operators.pricing import (
 from turnledger.operators.scope import Scope, located, scanned
 from turnledger.operators.tool_use import calls, file_calls, file_targets
 from turnledger.operators.totals import (
+    counted,
     exact_sum,
     group_total_tokens,
     heaviest_first,
@@ -99,10 +100,7 @@ def sessions(
         rows.withColumn("month", month_of(F.col("ts")))
         .groupBy("session_id", "project", "month", "provider", "model")
         .agg(
-            F.count("*").alias("events"),
-            *group_measures(),
-            F.min("ts").alias("first_ts"),
-            F.max("ts").alias("last_ts"),
+            *counted(rows),
             F.sum("duration_ms").alias("duration_ms"),
             F.min("seq").alias("first_seq"),
         )

@@ -84,16 +84,22 @@ STORED_PROMPT = T.StructType(
     [*PROMPT.fields, T.StructField("text_indexed", T.BooleanType()), SEQ]
 )
 
-# Where a session has events, and what one batch of a stream counted.
-SESSION = T.StructType(
+# In which month requests may have been counted: by session, and by turn where there is
+# none. Notes lie in buckets of those, and in generations, see the store.
+NOTE = T.StructType(
     [
         T.StructField("agent", T.StringType()),
         T.StructField("session", T.StringType()),
+        T.StructField("turn", T.StringType()),
         T.StructField("month", T.StringType()),
     ]
 )
+GENERATION = T.StructType([T.StructField("base", T.IntegerType())])
+
+# What one batch of a stream counted.
 RUN = T.StructType(
     [
+        T.StructField("stream", T.StringType()),
         T.StructField("run", T.LongType()),
         *[
             T.StructField(name, T.LongType())
@@ -107,3 +113,36 @@ RUN = T.StructType(
         ],
     ]
 )
+
+# Sums of a batch's events, per what reports group and choose by. Named like the fields
+# of an event where they stand for the same, so that reports take either.
+PARTIAL_KEYS = [
+    "day", "session_id", "provider", "model", "project", "agent", "role", "is_sidechain",
+]
+PARTIAL = T.StructType(
+    [
+        *[
+            T.StructField(name, T.BooleanType() if name == "is_sidechain" else T.StringType())
+            for name in PARTIAL_KEYS
+        ],
+        T.StructField("events", T.LongType()),
+        T.StructField("requests", T.LongType()),
+        *[T.StructField(name, T.LongType()) for name in TOKEN_COLUMNS],
+        T.StructField("stored_priced", T.LongType()),
+        T.StructField("stored_cost", T.DecimalType(38, 9)),
+        T.StructField("duration_ms", T.LongType()),
+        T.StructField("ts", T.LongType()),
+        T.StructField("last_ts", T.LongType()),
+        T.StructField("seq", T.LongType()),
+    ]
+)
+# What has been summed: a batch is announced before its events are written and done
+# once its sums are; ``upto`` is its highest row number in a month.
+SUMMED = T.StructType(
+    [
+        T.StructField("batch", T.StringType()),
+        T.StructField("month", T.StringType()),
+        T.StructField("state", T.StringType()),
+        T.StructField("upto", T.LongType()),
+    ]
+)

@@ -11,20 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnledger.functions.clock import Window
+from turnledger.operators.claims import claimable
 from turnledger.schemas import (
     COUNT_FIELDS,
     CURSOR,
     EVENT,
     EVENT_COLUMNS,
+    GENERATION,
     MONTH,
+    NOTE,
     PROMPT,
     PROMPT_COLUMNS,
     REQUIRED_EVENT_FIELDS,
     RUN,
-    SESSION,
     STORED_EVENT,
     STORED_PROMPT,
 )
+from turnledger.session import discard
 
 _CORRUPT = T.StructField("_corrupt", T.StringType())
 _MONTH_FILE = r"^(\d{4}-(?:0[1-9]|1[0-2]))\.jsonl$"
@@ -218,52 +221,133 @@ def copy_without_texts(spark: SparkSession, store: str, target: str) -> None:
     append_prompts(read_prompts(spark, store), target, index_text=False)
 
 
-def sessions_path(store: str) -> str:
-    return f"{store.rstrip('/')}/sessions"
+def notes_path(store: str) -> str:
+    return f"{store.rstrip('/')}/notes"
+
+
+def _generations_path(store: str) -> str:
+    return f"{store.rstrip('/')}/notes_base"
 
 
 def runs_path(store: str) -> str:
     return f"{store.rstrip('/')}/runs"
 
 
-def _sessions_of(events: DataFrame) -> DataFrame:
-    """Source, session (none reads as empty) and month of events, each once."""
-    return events.select(
-        "agent", F.coalesce("session_id", F.lit("")).alias("session"), "month"
-    ).distinct()
+#: Buckets of the notes; a batch reads those of its own sessions.
+BUCKETS = 256
+#: Files of notes after which they are written anew.
+MANY_FILES = 2048
+
+
+def notes_of(events: DataFrame) -> DataFrame:
+    """Where the requests of some events may be counted, each place once.
+
+    A request belongs to its session. Without one its turn stands in, or all such
+    requests would share a note and open every month there is.
+    """
+    session = F.coalesce("session_id", F.lit(""))
+    return (
+        claimable(events)
+        .select(
+            "agent",
+            session.alias("session"),
+            F.when(session == "", F.col("turn_id")).otherwise("").alias("turn"),
+            "month",
+        )
+        .distinct()
+        .withColumn("bucket", F.pmod(F.hash("agent", "session", "turn"), F.lit(BUCKETS)))
+    )
 
 
-def append_sessions(events: DataFrame, store: str) -> None:
-    """Note which months sessions have events in; repeats do no harm."""
-    _sessions_of(events).write.mode("append").parquet(sessions_path(store))
+def _base(spark: SparkSession, store: str) -> int | None:
+    """The generation from which on notes count; None before there are any."""
+    rows = _load(spark, _generations_path(store), "parquet", GENERATION)
+    return None if rows is None else rows.agg(F.max("base")).first()[0]
 
 
-def read_sessions(spark: SparkSession, store: str) -> DataFrame:
-    """Where sessions have events. A store without the notes gets them first."""
-    rows = _load(spark, sessions_path(store), "parquet", SESSION)
+def read_notes(spark: SparkSession, store: str, buckets: list[int] | None = None) -> DataFrame:
+    """Notes, repeats possible. Opens the files of the given buckets only."""
+    schema = T.StructType([*NOTE.fields, *_NOTE_PARTITIONS])
+    base = _base(spark, store)
+    rows = None if base is None else _load(spark, notes_path(store), "parquet", schema)
     if rows is None:
-        events = _load(spark, events_path(store), "parquet", T.StructType([*STORED_EVENT.fields, MONTH]))
-        if events is None:
-            return spark.createDataFrame([], SESSION)
-        append_sessions(events, store)
-        rows = _load(spark, sessions_path(store), "parquet", SESSION)
-    return rows
+        return spark.createDataFrame([], schema)
+    rows = rows.where(F.col("generation") >= base)
+    return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+
+
+_NOTE_PARTITIONS = [T.StructField("generation", T.IntegerType()), T.StructField("bucket", T.IntegerType())]
 
 
-def append_run(counts: DataFrame, store: str, run: int) -> None:
-    """Keep what a batch of a stream counted, under the batch's number."""
-    counts.withColumn("run", F.lit(run).cast("long")).write.mode("append").parquet(runs_path(store))
+def buckets_of(notes: DataFrame) -> list[int]:
+    """At most so many small numbers as there are buckets."""
+    return [row["bucket"] for row in notes.select("bucket").distinct().collect()]
+
+
+def _write_notes(notes: DataFrame, store: str, generation: int) -> None:
+    rows = notes.select(*NOTE.fieldNames(), F.lit(generation).alias("generation"), "bucket")
+    rows.repartition("bucket").write.mode("append").partitionBy("generation", "bucket").parquet(
+        notes_path(store)
+    )
+
+
+def append_notes(notes: DataFrame, store: str) -> None:
+    """Add the notes that are not there yet, so that batches of known sessions add none."""
+    spark = notes.sparkSession
+    known = read_notes(spark, store, buckets_of(notes))
+    new = notes.join(known, NOTE.fieldNames(), "left_anti")
+    _write_notes(new, store, _base(spark, store))
+
+
+def _new_generation(spark: SparkSession, store: str, notes: DataFrame) -> None:
+    """Write all notes anew. They count once they are all there; what a run that died
+    left behind lies in a generation of its own and says nothing wrong."""
+    schema = T.StructType([*NOTE.fields, *_NOTE_PARTITIONS])
+    there = _load(spark, notes_path(store), "parquet", schema)
+    highest = None if there is None else there.agg(F.max("generation")).first()[0]
+    base = 0 if highest is None else highest + 1
+    _write_notes(notes, store, base)
+    spark.createDataFrame([(base,)], GENERATION).coalesce(1).write.mode("append").parquet(
+        _generations_path(store)
+    )
+
+
+def prepare_notes(spark: SparkSession, store: str, many_files: int = MANY_FILES) -> None:
+    """Before a run: make the notes of a store that has none, and merge many small files."""
+    base = _base(spark, store)
+    if base is None:
+        stored = T.StructType([*STORED_EVENT.fields, MONTH])
+        events = _load(spark, events_path(store), "parquet", stored)
+        events = spark.createDataFrame([], stored) if events is None else events
+        _new_generation(spark, store, notes_of(events))
+        return
+    notes = read_notes(spark, store)
+    if len(notes.inputFiles()) > many_files:
+        older = [row["generation"] for row in notes.select("generation").distinct().collect()]
+        _new_generation(spark, store, notes.select(*NOTE.fieldNames(), "bucket").distinct())
+        for generation in older:
+            discard(spark, f"{notes_path(store)}/generation={generation}")
+
+
+def append_run(
+    spark: SparkSession, counts: dict[str, int], store: str, stream: str, run: int
+) -> None:
+    """Keep what a batch of a stream adds, under the stream and the batch's number.
+
+    Called before anything of the batch is stored, so that it says what the whole batch
+    adds. A batch that runs again finds part of itself in the store; the first line stays.
+    """
+    known = read_runs(spark, store).where((F.col("stream") == stream) & (F.col("run") == run))
+    if known.isEmpty():
+        row = {"stream": stream, "run": run} | counts
+        line = spark.createDataFrame([[row[name] for name in RUN.fieldNames()]], RUN)
+        line.coalesce(1).write.mode("append").parquet(runs_path(store))
 
 
 def read_runs(spark: SparkSession, store: str) -> DataFrame:
-    """Counts per batch. A batch that ran again has its last line count twice in the
-    log and once here: the run that added events is the one that is kept."""
+    """Counts per batch of every stream that writes to the store."""
     rows = _load(spark, runs_path(store), "parquet", RUN)
-    if rows is None:
-        return spark.createDataFrame([], RUN)
-    fields = [name for name in RUN.fieldNames() if name != "run"]
-    best = F.max(F.struct("new_events", *[name for name in fields if name != "new_events"]))
-    return rows.groupBy("run").agg(best.alias("at")).select("run", *[f"at.{name}" for name in fields])
+    return spark.createDataFrame([], RUN) if rows is None else rows
 
 
 def append_cursors(files: DataFrame, store: str, adapter: str, now_ms: int) -> None:

@@ -32,6 +32,8 @@ LINE_ORDER = ["place", "block", "line_id"]
 # A line ends at a line feed only, and no string of it is too long to be read.
 LINE_END = "\n"
 LONGEST = str(2**31 - 1)
+# Lines with their place, as all readers here give them.
+LINES = "value string, path string, place string, block long, bytes long, file_size long, line_id long"
 # A modification time that no file has. What a variant can hold; a longer line that fails to decode says so.
 UNREADABLE = -1
 LINE_LIMIT = 128 * 1024 * 1024
@@ -156,12 +158,14 @@ def place_of(path: Column) -> Column:
 
 
 def located_lines(lines: DataFrame) -> DataFrame:
-    """Lines of a text scan with the file and block they were read from."""
+    """Lines of a text scan with the file and block they were read from, and both sizes."""
     return lines.select(
         "value",
         F.col("_metadata.file_path").alias("path"),
         place_of(F.col("_metadata.file_path")).alias("place"),
         F.col("_metadata.file_block_start").alias("block"),
+        F.octet_length("value").cast("long").alias("bytes"),
+        F.col("_metadata.file_size").alias("file_size"),
     )
 
 
@@ -170,6 +174,43 @@ def numbered(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line_id", F.monotonically_increasing_id())
 
 
+def stopping_points(records: DataFrame, torn: bool = True) -> DataFrame:
+    """(path, stop, offset) of the files that can't be taken to their end.
+
+    A file is taken up to its first line that is no UTF-8, as nothing after it can be
+    trusted, or up to a last line without a line break, which may still be written.
+    ``stop`` is that line's place and ``offset`` the bytes before it. Sums run over the
+    sizes of lines, each with its line break; a file of one byte fewer than those has a
+    torn end, and so has one of two more, if it begins with a byte order mark that the
+    reader leaves out. Without ``torn`` last lines are taken as they are.
+    """
+    here, size = F.struct("block", "line_id"), F.col("bytes") + 1
+    files = records.groupBy("path").agg(
+        F.min(F.when(F.col("status") == "broken", here)).alias("broken"),
+        F.max(here).alias("last"),
+        (F.sum(size) - F.max("file_size")).alias("over"),
+    )
+    unfinished = F.col("over").isin(1, -2) if torn else F.lit(False)
+    stop = F.coalesce("broken", F.when(unfinished, F.col("last")))
+    ends = files.select("path", stop.alias("stop")).where(F.col("stop").isNotNull())
+    before = F.sum(F.when(here < F.col("stop"), size).otherwise(0))
+    return records.join(ends, "path").groupBy("path", "stop").agg(before.alias("offset"))
+
+
+def consumed(records: DataFrame, stops: DataFrame) -> DataFrame:
+    """Records up to the stopping point of their file; the line there is unparseable."""
+    if stops.isEmpty():
+        return records
+    here, stop = F.struct("block", "line_id"), F.col("stop")
+    status = F.when(here == stop, "unparseable").otherwise(F.col("status"))
+    return (
+        records.join(stops.select("path", "stop"), "path", "left")
+        .where(stop.isNull() | (here <= stop))
+        .withColumn("status", status)
+        .drop("stop")
+    )
+
+
 # Fields a record is made of. Every leaf stays a variant, which keeps its JSON
 # type; all other fields are passed over by the JSON reader.
 _LINE = """
@@ -209,6 +250,19 @@ def _decoded(line: Column) -> Column:
     return F.from_json(wrapped, _LINE, _LINE_OPTIONS)
 
 
+def _half_a_character(line: Column) -> Column:
+    """A ``\\u`` escape of a surrogate without its other half, anywhere in the line.
+
+    Escaped backslashes are put out of the way first, then whole pairs.
+    """
+    plain = F.replace(line, F.lit("\\\\"), F.lit("  "))
+    single = F.regexp_replace(plain, _SURROGATES, " ")
+    return line.rlike(r"\\u[dD][89a-fA-F]") & single.rlike(r"(?i)\\ud[89a-f][0-9a-f]{2}")
+
+
+_SURROGATES = r"(?i)\\ud[89ab][0-9a-f]{2}\\ud[c-f][0-9a-f]{2}"
+
+
 def _typed(leaf: Column, json_type: str, sql_type: str) -> Column:
     is_type = F.schema_of_variant(leaf) == json_type
     return F.when(is_type, F.try_variant_get(leaf, "$", sql_type))
@@ -262,12 +316,14 @@ def parse_lines(
     """Type the column ``value``: a ``status``, the event columns, ``prompt_text``.
 
     ``status`` is ``record``, ``skipped`` (blank, or a type that carries no
-    usage), ``oversized`` (beyond what can be decoded) or ``unparseable``; the
-    other columns are filled for records.
+    usage), ``oversized`` (beyond what can be decoded), ``broken`` (no UTF-8) or
+    ``unparseable``; the other columns are filled for records.
     """
     kept = [name for name in lines.columns if name != "value"]
     line, message, blocks = F.col("line"), F.col("line.message"), F.col("_blocks")
-    well_formed = F.col("malformed").isNull() & F.col("complete")
+    well_formed = (
+        F.col("malformed").isNull() & F.col("complete") & ~_half_a_character(F.col("value"))
+    )
     # inline() of one struct, so that a filter on the result is evaluated after
     # decoding instead of decoding the line again for itself.
     typed = (
@@ -286,7 +342,8 @@ def parse_lines(
         .withColumn("_ts", rfc3339_millis(F.col("_timestamp")))
         .withColumn(
             "status",
-            F.when(trim(F.col("value")) == "", "skipped")
+            F.when(~F.is_valid_utf8("value"), "broken")
+            .when(trim(F.col("value")) == "", "skipped")
             .when(F.col("_type").isNull() & (F.octet_length("value") > LINE_LIMIT), "oversized")
             .when(F.col("_type").isNull(), "unparseable")
             .when(~F.col("_type").isin(INGESTED_TYPES), "skipped")
