@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -46,9 +47,38 @@ def test_some_proposals_stand_and_some_fail(library):
     own = bpe.Encoder(PATH)
     words = sorted({w for t in texts(library) for w in own._pattern.findall(t)})
     raw = [w.encode() for w in words if 1 < len(w.encode()) <= bpe.MAX_WORD]
-    stand = sum(own.proposed(w) == own.merged(w) for w in raw)
+    exact = [own.merged(w) for w in raw]
+    stand = sum(greedy(own, w) == ids for w, ids in zip(raw, exact))
     assert 0 < stand < len(raw)
-    assert own.encode_words(raw) == [own.merged(w) for w in raw]
+    for words, ids in ((raw, exact), ([], []), ([b"", b"a" * 300, b"a"], [[], own.merged(b"a" * 300), [own.ids[b"a"]]])):
+        tokens, sizes = own.encode_words(words)
+        assert [x.tolist() for x in np.split(tokens, np.cumsum(sizes)[:-1])][: len(words)] == ids
+
+
+def greedy(own, word):
+    found, at = [], 0
+    while at < len(word):
+        end = next(e for e in range(len(word), at, -1) if word[at:e] in own.ids)
+        found.append(own.ids[word[at:end]])
+        at = end
+    return found
+
+
+def table_of(words):
+    sizes = np.array([len(w) for w in words])
+    return np.array([list(w.ljust(max(sizes), b"\0")) for w in words], np.uint8), sizes
+
+
+def test_words_in_step_go_the_way_they_go_alone():
+    own = bpe.Encoder(PATH)
+    rng = random.Random(4)
+    alphabet = list(b"aeiosthnrd ") + [0xC3, 0xA9, 0x00, 0xFF]
+    words = [bytes(rng.choice(alphabet) for _ in range(rng.randrange(1, 30))) for _ in range(2000)] + [b"a" * 200]
+    table, sizes = table_of(words)
+    for found, alone in ((own.proposed(table, sizes), lambda w: greedy(own, w)), (own.merged_together(table, sizes), own.merged)):
+        tokens, n = found
+        for row, k, w in zip(tokens, n, words):
+            assert row[row >= 0].tolist() == alone(w) and k == len(alone(w))
 
 
 def test_short_and_long_merging_agree():

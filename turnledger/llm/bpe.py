@@ -6,12 +6,15 @@ longest-match proposal is checked pair by pair, many words in one go, and only t
 words that fail are merged by the rules.
 """
 
+import gc
 import hashlib
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +26,18 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 FIRST_OTHER = 0x100
 
-#: Words remembered by one Python worker, and the longest word that is checked
+#: Runs of words remembered by one Python worker, and the longest word that is checked
 #: after a proposal; longer ones are merged.
-MAX_WORDS = 200_000
+MAX_RUNS = 400_000
 MAX_WORD = 200
+#: Words proposed for, and merged, in one go; runs looked up in one go.
+TOGETHER, AT_ONCE = 8192, 100_000
 #: Rank of a pair that never merges.
 NEVER = np.int64(2**62)
 NONE = (2**62, -1)
 #: Characters of text encoded in one go.
 STEP = 2_000_000
-RUNS = re.compile(r"(?<=\S) (?=\S)")
+RUNS = re.compile(r"(?<=\S)(?= \S)")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -43,6 +48,12 @@ def byte_alphabet() -> dict[str, int]:
     return pairs | {chr(FIRST_OTHER + i): b for i, b in enumerate(hidden)}
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at `starts`, one run after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
 class Remembered(dict):
     """A table of bounded size: what was not asked for since it last filled up goes."""
 
@@ -52,7 +63,7 @@ class Remembered(dict):
 
     def missing(self, keys: set) -> list:
         """The keys that have to be made; all others are in the table from here on."""
-        if len(self) > MAX_WORDS:
+        if len(self) > MAX_RUNS:
             self.older = dict(self)
             self.clear()
         wanted = keys.difference(self)
@@ -77,7 +88,9 @@ class Encoder:
         self.bytes_of = {i: token for token, i in self.ids.items()}
         self.bytes_of |= {i: text.encode() for text, i in self.special.items()}
         self.size = n = max(self.bytes_of) + 1
-        self.longest = max(map(len, self.ids))
+        self.names = [str(i) for i in range(n)]
+        self.name_sizes = np.array([len(x) for x in self.names])
+        self.byte_sizes = np.array([len(self.bytes_of.get(i, b"")) for i in range(n)])
         merges = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
         pairs = np.array([[self.ids[raw(a)], self.ids[raw(b)]] for a, b in merges], dtype=np.int64)
         made = np.array([self.ids[raw(a + b)] for a, b in merges], dtype=np.int64)
@@ -90,12 +103,34 @@ class Encoder:
         keys = pairs[:, 0] * n + pairs[:, 1]
         order = np.argsort(keys)
         self._keys, self._ranks = keys[order], order.astype(np.int64)
+        self._made = made
+        self._byte_ids = np.array([self.ids.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self._grow_trie()
         self._own: dict[int, bool] = {}
-        self._words, self._runs = Remembered(), Remembered()
+        self._runs = Remembered()
         specials = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self._split = regex.compile(f"({specials})") if specials else None
         self._pattern = regex.compile(PATTERN)
 
+    def _grow_trie(self) -> None:
+        """All tokens by their bytes: children as sorted keys, and the token at a node."""
+        children: dict[int, int] = {}
+        tokens = [-1]
+        for token, i in self.ids.items():
+            node = 0
+            for b in token:
+                key = node << 8 | b
+                if (child := children.get(key)) is None:
+                    child = children[key] = len(tokens)
+                    tokens.append(-1)
+                node = child
+            tokens[node] = i
+        keys = np.fromiter(children, np.int64, len(children))
+        order = np.argsort(keys)
+        self._edges = keys[order]
+        self._child = np.fromiter(children.values(), np.int64, len(children))[order]
+        self._token_at = np.array(tokens, np.int64)
+
     # Whole words.
 
     def merged(self, word: bytes) -> list[int]:
@@ -146,16 +181,64 @@ class Encoder:
                 heappush(heap, (found[0], h, found[1], parts[h], new))
         return [t for t in parts if t >= 0]
 
-    def proposed(self, word: bytes) -> list[int]:
-        """Longest match from the left."""
-        ids, found, at, n, longest = self.ids, [], 0, len(word), self.longest
-        while at < n:
-            end = min(n, at + longest)
-            while (token := ids.get(word[at:end])) is None:
-                end -= 1
-            found.append(token)
-            at = end
-        return found
+    def proposed(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Longest match from the left, of many words in step: tokens, and how many.
+
+        words: word x byte, filled up with zeros. Each word walks down the trie by its
+        next byte; where it can't, it takes the last token it passed and goes on there.
+        """
+        out, n = np.full(words.shape, -1, np.int64), np.zeros(len(words), np.int64)
+        rows = np.flatnonzero(sizes)
+        node, at, token, end = (np.zeros(len(rows), np.int64) for _ in range(4))
+        while len(rows):
+            left = at < sizes[rows]
+            key = node << 8 | words[rows, np.where(left, at, 0)]
+            place = np.minimum(np.searchsorted(self._edges, key), len(self._edges) - 1)
+            down = left & (self._edges[place] == key)
+            node = np.where(down, self._child[place], 0)
+            at = np.where(down, at + 1, end)
+            here = self._token_at[node]
+            passed = down & (here >= 0)
+            stuck = ~down
+            out[rows[stuck], n[rows[stuck]]] = token[stuck]
+            n[rows[stuck]] += 1
+            token, end = np.where(passed, here, token), np.where(passed, at, end)
+            going = down | (end < sizes[rows])
+            if not going.all():
+                rows, node, at, token, end = rows[going], node[going], at[going], token[going], end[going]
+        return out, n
+
+    def merged_together(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`merged` of many words in step: tokens, -1 where there is none, and how
+        many. Parts stay where they began and know their neighbours."""
+        n, longest = words.shape
+        places = np.arange(longest)
+        parts = np.where(places < sizes[:, None], self._byte_ids[words], -1)
+        ranks = np.full((n, longest), NEVER)
+        pairs = places[:-1] + 1 < sizes[:, None]
+        ranks[:, :-1][pairs] = self._pair_rank(parts[:, :-1][pairs], parts[:, 1:][pairs])
+        after = np.tile(places + 1, (n, 1))
+        before = np.tile(places - 1, (n, 1))
+        rows = np.arange(n)
+        while len(rows):
+            i = ranks[rows].argmin(axis=1)
+            best = ranks[rows, i]
+            some = best < NEVER
+            rows, i, best = rows[some], i[some], best[some]
+            j = after[rows, i]
+            k = after[rows, j]
+            new = self._made[best]
+            parts[rows, i], parts[rows, j] = new, -1
+            ranks[rows, j] = NEVER
+            after[rows, i] = k
+            ends = k >= sizes[rows]
+            k = np.where(ends, 0, k)
+            before[rows[~ends], k[~ends]] = i[~ends]
+            ranks[rows, i] = np.where(ends, NEVER, self._pair_rank(new, parts[rows, k]))
+            h = before[rows, i]
+            has = h >= 0
+            ranks[rows[has], h[has]] = self._pair_rank(parts[rows[has], h[has]], new[has])
+        return parts, (parts >= 0).sum(axis=1)
 
     def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self._keys, key := a * self.size + b), len(self._keys) - 1)
@@ -203,30 +286,51 @@ class Encoder:
             own = self._own[token] = self.merged(self.bytes_of[token]) == [token]
         return own
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Speculate, verify, and merge only what fails."""
-        short = [i for i, w in enumerate(words) if len(w) <= MAX_WORD]
-        out: list[list[int]] = [None] * len(words)  # type: ignore[list-item]
-        guesses = [self.proposed(words[i]) for i in short]
-        flat = np.fromiter((t for g in guesses for t in g), np.int64)
-        sizes = np.fromiter(map(len, guesses), np.int64, len(guesses))
-        word = np.repeat(np.arange(len(guesses)), sizes)
-        good = np.ones(len(guesses), bool)
-        if len(flat):
-            single, back = np.unique(flat, return_inverse=True)
-            own = np.fromiter((self._is_own(t) for t in single.tolist()), bool, len(single))
-            good[word[~own[back]]] = False
-            inside = np.flatnonzero(word[1:] == word[:-1])
-            pairs, back = np.unique(flat[inside] * self.size + flat[inside + 1], return_inverse=True)
-            if len(pairs):
-                apart = self.compatible(pairs // self.size, pairs % self.size)
-                good[word[inside[~apart[back]]]] = False
-        for k, i in enumerate(short):
-            out[i] = guesses[k] if good[k] else self.merged(words[i])
-        for i, w in enumerate(words):
-            if out[i] is None:
-                out[i] = self.merged(w)
-        return out
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Speculate, verify, and merge only what fails: all tokens, and how many of them
+        each word has."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = lengths.argsort(kind="stable")
+        short = order[: np.searchsorted(lengths[order], MAX_WORD, "right")]
+        parts = []
+        for start in range(0, len(short), TOGETHER):
+            own = short[start : start + TOGETHER]
+            sizes = lengths[own]
+            table = np.zeros((len(own), max(1, int(sizes.max()))), np.uint8)
+            inside = np.arange(table.shape[1]) < sizes[:, None]
+            table[inside] = np.frombuffer(b"".join([words[i] for i in own.tolist()]), np.uint8)
+            tokens, n = self.proposed(table, sizes)
+            failing = np.flatnonzero(~self.holds(tokens, n))
+            if len(failing):
+                tokens[failing], n[failing] = self.merged_together(table[failing], sizes[failing])
+            parts.append((own, n, tokens[tokens >= 0]))
+        for i in order[len(short) :].tolist():
+            alone = self.merged(words[i])
+            parts.append((np.array([i]), np.array([len(alone)]), np.array(alone, np.int64)))
+        counts = np.zeros(len(words), np.int64)
+        for own, n, _ in parts:
+            counts[own] = n
+        starts = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int64)
+        for own, n, tokens in parts:
+            out[spread(starts[own], n)] = tokens
+        return out, counts
+
+    def holds(self, tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether each row of proposed tokens is the encoding: all are their own, and
+        all neighbours stay apart."""
+        good = np.ones(len(tokens), bool)
+        there = tokens >= 0
+        single, back = np.unique(tokens[there], return_inverse=True)
+        own = np.fromiter((self._is_own(t) for t in single.tolist()), bool, len(single))
+        word = np.nonzero(there)[0]
+        good[word[~own[back]]] = False
+        beside = np.arange(tokens.shape[1] - 1) + 1 < n[:, None]
+        pairs, back = np.unique(tokens[:, :-1][beside] * self.size + tokens[:, 1:][beside], return_inverse=True)
+        if len(pairs):
+            apart = self.compatible(pairs // self.size, pairs % self.size)
+            good[np.nonzero(beside)[0][~apart[back]]] = False
+        return good
 
     # Whole texts.
 
@@ -246,18 +350,36 @@ class Encoder:
 
     def known(self, runs: set[str]) -> dict[str, tuple[str, int, bytes]]:
         """Ids as text, their number and the bytes they decode to, by run."""
-        table, words_of, bytes_of = self._runs, self._words, self.bytes_of
-        new = [(r, self._pattern.findall(r)) for r in table.missing(runs)]
-        missing = words_of.missing({w for _, words in new for w in words})
-        for start in range(0, len(missing), 50_000):
-            part = missing[start : start + 50_000]
-            for w, ids in zip(part, self.encode_words([w.encode() for w in part]), strict=True):
-                words_of[w] = ids
-        for r, words in new:
-            ids = words_of[words[0]] if len(words) == 1 else [t for w in words for t in words_of[w]]
-            table[r] = (",".join(map(str, ids)), len(ids), b"".join([bytes_of[t] for t in ids]))
+        table = self._runs
+        new = table.missing(runs)
+        for start in range(0, len(new), AT_ONCE):
+            part = new[start : start + AT_ONCE]
+            found = [self._pattern.findall(r) for r in part]
+            number = numbering()
+            word = np.fromiter(map(number.__getitem__, chain.from_iterable(found)), np.int64)
+            tokens, sizes = self.encode_words([w.encode() for w in number])
+            # The tokens of all runs one after the other, then their texts and bytes.
+            flat = tokens[spread((np.cumsum(sizes) - sizes)[word], sizes[word])]
+            ends = np.cumsum(sizes[word])
+            ends = np.concatenate([[0], ends])[np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]
+            listed = flat.tolist()
+            text = ",".join(map(self.names.__getitem__, listed))
+            raw = self.decode_bytes(listed)
+            at_text = np.concatenate([[0], np.cumsum(self.name_sizes[flat] + 1)])
+            at_raw = np.concatenate([[0], np.cumsum(self.byte_sizes[flat])])
+            starts = np.concatenate([[0], ends[:-1]])
+            rows = zip(
+                part,
+                *(x.tolist() for x in (at_text[starts], np.maximum(at_text[ends] - 1, at_text[starts]), ends - starts, at_raw[starts], at_raw[ends])),
+                strict=True,
+            )
+            for r, a, b, n, c, d in rows:
+                table[r] = (text[a:b], n, raw[c:d])
         return table
 
+    def special_row(self, special: str) -> tuple[str, int, bytes]:
+        return str(self.special[special]), 1, self.bytes_of[self.special[special]]
+
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -267,33 +389,30 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def numbering() -> defaultdict:
+    """Numbers keys in the order in which they are first asked for."""
+    return defaultdict(count().__next__)
+
+
 def coded(texts: list[str], own: Encoder) -> Iterator[tuple[int, str, str]]:
     """Number of ids, hash of the ids and hash of the decoded text, per text."""
     at = 0
     while at < len(texts):
-        held, size = [], 0
+        number, held, size = numbering(), [], 0
         while at < len(texts) and size < STEP:
             size += len(texts[at])
-            held.append([])
-            for special, runs in own.sections(texts[at]):
-                runs[1:] = [" " + r for r in runs[1:]]
-                held[-1].append((special, runs))
+            runs = []
+            for special, plain in own.sections(texts[at]):
+                runs += map(number.__getitem__, [(special,)] if special else plain)
+            held.append(runs)
             at += 1
-        table = own.known({r for parts in held for _, runs in parts for r in runs})
-        for parts in held:
-            n, ids, raw = 0, [], []
-            for special, runs in parts:
-                if special:
-                    t = own.special[special]
-                    found = [(str(t), 1, own.bytes_of[t])]
-                else:
-                    found = [table[r] for r in runs if r]
-                ids += [x[0] for x in found]
-                n += sum([x[1] for x in found])
-                raw += [x[2] for x in found]
-            text = b"".join(raw).decode("utf-8", "replace").encode()
-            joined = ",".join(ids).encode()
-            yield n, hashlib.sha256(joined).hexdigest(), hashlib.sha256(text).hexdigest()
+        table = own.known({r for r in number if isinstance(r, str)})
+        rows = [table[r] if isinstance(r, str) else own.special_row(*r) for r in number]
+        ids, sizes, raw = zip(*rows)
+        for runs in held:
+            text = b"".join(map(raw.__getitem__, runs)).decode("utf-8", "replace").encode()
+            joined = ",".join(map(ids.__getitem__, runs)).encode()
+            yield sum(map(sizes.__getitem__, runs)), hashlib.sha256(joined).hexdigest(), hashlib.sha256(text).hexdigest()
 
 
 def round_trip(
@@ -310,20 +429,25 @@ def round_trip(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                found = list(coded([t or "" for t in part.column(1).to_pylist()], own))
-                n, ids, text = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(n, pa.int64()),
-                        pa.array(ids, pa.string()),
-                        pa.array(text, pa.string()),
-                    ],
-                    ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        # Millions of live strings and no cycles: looking for those takes a tenth of the time.
+        gc.disable()
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 500):
+                    part = batch.slice(start, 500)
+                    found = list(coded([t or "" for t in part.column(1).to_pylist()], own))
+                    n, ids, text = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column(0),
+                            pa.array(n, pa.int64()),
+                            pa.array(ids, pa.string()),
+                            pa.array(text, pa.string()),
+                        ],
+                        ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    )
+        finally:
+            gc.enable()
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return (
