@@ -487,6 +487,9 @@ def statements() -> dict[str, str]:
         ),
         "no_sidechain_projects": _projects("is_sidechain IS DISTINCT FROM true"),
         "report_notes": _with(_NOTES, _PRICED),
+        "sessions_noted": f"""SELECT n.*, least(20, s.sessions) AS shown, s.sessions
+            FROM ({_with(_NOTES, _PRICED)}) n, ({_with(
+            "SELECT count(DISTINCT session_id) AS sessions FROM ue")}) s""",
         "compare_notes": _with(
             _NOTES.replace(
                 "FROM pe", f"FROM (SELECT * FROM pe WHERE ts >= {NOW_MS - 14 * DAY_MS} AND ts < {NOW_MS})"

@@ -11,7 +11,7 @@ from turnledger.functions.rounding import cents
 from turnledger.functions.usage import has_usage, total_tokens
 from turnledger.operators.pricing import with_event_costs
 from turnledger.operators.scope import Scope
-from turnledger.plans import burn, health, notes, repeats, reports
+from turnledger.plans import burn, health, noted, notes, repeats, reports
 from turnledger.plans.ingest import Source, ingest, ingest_records
 from turnledger.session import configure, new_work_folder, staged
 from turnledger.sources import sample_tables as sample
@@ -116,6 +116,16 @@ def report_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("unpriced_models", _joined("unpriced_models"))
 
 
+def sessions_noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes of a report of sessions, and how many it shows of how many."""
+    events = sample.usage_events(spark, sf_dir)
+    found = noted.noted(reports.sessions, events, sample.prices(spark), limited=True)
+    shown = staged(found.report, new_work_folder(spark, "noted")).count()
+    return found.notes().select(
+        "*", F.lit(shown).alias("shown"), F.lit(found.groups()).alias("sessions")
+    ).withColumn("unpriced_models", _joined("unpriced_models"))
+
+
 def unpriced_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.unpriced_models(sample.usage_events(spark, sf_dir), sample.prices(spark))
 
@@ -617,6 +627,7 @@ def registered() -> dict[str, Query]:
             reports.projects, scope=Scope(include_sidechain=False)
         ),
         "report_notes": report_notes,
+        "sessions_noted": sessions_noted,
         "compare_notes": compare_notes,
         "unpriced_models": unpriced_models,
         "burn_rate": burn_rate,

@@ -4,7 +4,7 @@
 table of rates (:func:`turnledger.operators.pricing.price_table`).
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from turnledger.fixed_values import (
@@ -85,8 +85,19 @@ def models(events: DataFrame, prices: DataFrame, scope: Scope = Scope()) -> Data
     return _by_label(scanned(events, scope).where(has_usage()), prices, "model", NO_MODEL)
 
 
+def _observed(groups: DataFrame, observed: Observation | None) -> DataFrame:
+    """Count the groups that a limit is then put on."""
+    if observed is None:
+        return groups
+    return groups.observe(observed, F.count("*").alias("groups"))
+
+
 def sessions(
-    events: DataFrame, prices: DataFrame, scope: Scope = Scope(), limit: int = SESSIONS_SHOWN
+    events: DataFrame,
+    prices: DataFrame,
+    scope: Scope = Scope(),
+    limit: int = SESSIONS_SHOWN,
+    observed: Observation | None = None,
 ) -> DataFrame:
     """The most expensive sessions, then the heaviest.
 
@@ -118,7 +129,8 @@ def sessions(
         )
     )
     return (
-        totals.orderBy(
+        _observed(totals, observed)
+        .orderBy(
             F.col("cost").desc(), group_total_tokens().desc(), F.col("session_id").asc()
         )
         .limit(limit)
@@ -206,9 +218,10 @@ def files(
     prices: DataFrame,
     scope: Scope = Scope(),
     limit: int | None = FILES_SHOWN,
+    observed: Observation | None = None,
 ) -> DataFrame:
     """The files with the most attributed tokens; all of them without a limit."""
-    ranked = attributed_files(events, prices, scope).orderBy(
+    ranked = _observed(attributed_files(events, prices, scope), observed).orderBy(
         group_total_tokens().desc(), F.col("file").asc()
     )
     shown = ranked if limit is None else ranked.limit(limit)
