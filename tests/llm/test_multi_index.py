@@ -103,3 +103,23 @@ def test_odd_dimensions(spark, size):
     rows = [(i, [float(i + 1)] * size) for i in range(5)]
     got = found(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     assert got == {i: (4, 0) for i in range(5)}
+
+
+def test_both_ends_of_a_link_count_it(spark):
+    """Isolated pairs near the similarity: one end's search may not come back."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(6000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = rng.normal(size=base.shape)
+    away -= (away * base).sum(axis=1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    c = rng.uniform(0.9005, 0.93, size=(6000, 1))
+    points = np.concatenate([base, c * base + np.sqrt(1 - c**2) * away])
+    rows = [(i, x.tolist()) for i, x in enumerate(points)] + [(20000, points[7].tolist())]
+    got = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    size = {}
+    for i, (_, component) in got.items():
+        size[component] = size.get(component, 0) + 1
+    assert all(n == size[component] - 1 for n, component in got.values())
+    assert sum(got[i][0] > 0 for i in range(12000)) >= 0.98 * 12000
+    assert got[7][0] == got[20000][0] == 2 and got[6007][0] == 2

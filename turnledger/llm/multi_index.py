@@ -21,8 +21,8 @@ COSINE = 0.9
 #: Vectors that the codebooks and the reach of a search are fitted on, by hash of id.
 SAMPLE = 20_000
 ROUNDS = 12
-#: Codes of a half: the square root of the vectors over this, within the limits.
-CELL_ROOT, FEWEST, MOST = 7, 2, 1024
+#: Codes of a half: the square root of the vectors over this, at least so many.
+CELL_ROOT, FEWEST = 7, 2
 #: Recall aimed at for the hardest case, a vector at the similarity itself.
 TARGET = 0.98
 #: Vectors of a cell, and searches that reach it, compared in one step.
@@ -49,7 +49,7 @@ class Index:
     def __init__(self, sample: np.ndarray, n: int, cosine: float, target: float, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.half = sample.shape[1] // 2
-        k = min(len(sample), max(FEWEST, min(MOST, round(math.sqrt(n) / CELL_ROOT))))
+        k = min(len(sample), max(FEWEST, round(math.sqrt(n) / CELL_ROOT)))
         self.codes = [_codebook(x, k, rng) for x in self.halves(sample)]
         # Planted partners in random directions at exactly the similarity: how much
         # farther than the nearest cell is the one that lists the partner?
@@ -121,11 +121,26 @@ def _packed(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(pack, "id long, size int, v binary")
 
 
+def _visiting(cells: np.ndarray, listed: pa.ListArray) -> np.ndarray:
+    """Whether each listed vector's own search visits some cells: listed x cell."""
+    single, back = np.unique(cells, return_inverse=True)
+    flat = listed.flatten().to_numpy()
+    of = np.repeat(np.arange(len(listed)), np.diff(listed.offsets.to_numpy()))
+    place = np.minimum(np.searchsorted(single, flat), len(single) - 1)
+    visits = np.zeros((len(listed), len(single)), bool)
+    met = single[place] == flat
+    visits[of[met], place[met]] = True
+    return visits[:, back]
+
+
 def _compared(meeting: DataFrame, cosine: float) -> DataFrame:
-    """Of blocks of searches and blocks of a cell: links per search, and for every
+    """Of blocks of searches and blocks of a cell: links per vector, and for every
     vector with a link the smallest id that it is connected with in the two blocks.
 
-    No pair leaves the task, only sums and one row per connected vector.
+    A search may find a vector whose own search does not come back. A link counts at
+    its search's end wherever it is found, and at the other end as well if that one's
+    search does not visit the cell of the first; so both ends count it once. No pair
+    leaves the task, only sums and one row per connected vector.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,20 +148,21 @@ def _compared(meeting: DataFrame, cosine: float) -> DataFrame:
             for i in range(batch.num_rows):
                 left, right = batch.column(0)[i].values, batch.column(1)[i].values
                 ids, own = left.field("id").to_numpy(), right.field("id").to_numpy()
-                many = right.field("n").to_numpy()
                 near = unit(left.field("v").to_pylist()) @ unit(right.field("v").to_pylist()).T >= cosine
                 near |= ids[:, None] == own[None, :]
-                links = near @ many
+                links = near @ right.field("n").to_numpy()
+                back = near.T & ~_visiting(left.field("cell").to_numpy(), right.field("visited"))
+                others = back @ left.field("n").to_numpy()
                 low, lows = ids.copy(), own.copy()
                 top = np.iinfo(np.int64).max
                 while True:
                     new = np.minimum(low, np.where(near, lows[None, :], top).min(axis=1))
-                    back = np.minimum(lows, np.where(near, new[:, None], top).min(axis=0))
-                    if (new == low).all() and (back == lows).all():
+                    down = np.minimum(lows, np.where(near, new[:, None], top).min(axis=0))
+                    if (new == low).all() and (down == lows).all():
                         break
-                    low, lows = new, back
+                    low, lows = new, down
                 a, b = np.concatenate([ids, own]), np.concatenate([low, lows])
-                n = np.concatenate([links, np.zeros(len(own), np.int64)])
+                n = np.concatenate([links, others])
                 keep = (a != b) | (n > 0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a[keep]), pa.array(b[keep]), pa.array(n[keep])], ["a", "b", "n"]
@@ -175,15 +191,15 @@ def _of_one_size(listed: DataFrame, cosine: float, target: float) -> DataFrame:
         "placed",
     )
 
-    def blocks(rows: DataFrame, name: str, fields: list[str]) -> DataFrame:
+    def blocks(rows: DataFrame, name: str, fields: list) -> DataFrame:
         """Rows of each cell in blocks of about the size; a full cell is many blocks."""
         sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("_of"))
         dealt = rows.join(sizes, "cell").withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_of")))
         return dealt.groupBy("cell", "_block").agg(F.collect_list(F.struct(*fields)).alias(name)).drop("_block")
 
-    searches = placed.select("id", "v", F.explode("visited").alias("cell"))
-    meeting = blocks(searches, "searches", ["id", "v"]).join(
-        blocks(placed.select("id", "v", "n", "cell"), "listed", ["id", "v", "n"]), "cell"
+    searches = placed.select("id", "v", "n", F.col("cell").alias("home"), F.explode("visited").alias("cell"))
+    meeting = blocks(searches, "searches", ["id", "v", "n", F.col("home").alias("cell")]).join(
+        blocks(placed, "listed", ["id", "v", "n", "visited"]), "cell"
     )
     return _compared(meeting.select("searches", "listed"), cosine)
 
