@@ -101,3 +101,31 @@ def test_components_of_a_chain_a_star_and_loops(spark):
 def test_packed_sets_keep_hashes_that_share_their_first_bits():
     near = np.array([1 << 40, (1 << 40) + 1, (1 << 40) + 2**23], np.uint64)
     assert M.unpacked(M.packed(near)).tolist() == near.tolist()
+
+
+def test_an_id_with_different_texts_is_linked_by_each(spark):
+    say = lambda prefix, n=40: " ".join(f"{prefix}{j}" for j in range(n))
+    a, b, c = say("a"), say("b"), say("c")
+    rows = [(3, a), (5, a), (5, b), (9, b + " more"), (6, c), (6, b + " other"), (7, c + " x"), (8, say("d")), (8, say("e")), (10, say("e") + " y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(df).collect()}
+    assert got == {3: 3, 5: 3, 9: 3, 6: 3, 7: 3, 8: 8, 10: 8}
+
+
+def test_very_long_texts_and_many_sets_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_SHINGLES", 3000)
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(1200)]
+    rows = []
+    for i in range(30):
+        own = list(base)
+        for _ in range(rng.randrange(60)):
+            own[rng.randrange(len(own))] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    long = [f"z{j}" for j in range(300_000)]
+    rows += [(50, " ".join(long)), (51, " ".join(long[:-5])), (52, " ".join(long[1000:]))]
+    assert found(spark, rows) == plain(rows, 5)
+    # The same texts under few ids: whoever shares an id with a linked text is linked.
+    few = [(i % 4, t) for i, t in rows[:30]]
+    df = spark.createDataFrame(few, "doc_id long, text string")
+    assert {r["component_id"] for r in M.near_duplicates(df).collect()} == {0}

@@ -25,8 +25,9 @@ BANDS, ROWS = 28, 4
 HASHES, BATCH = 256, 32
 #: Chance of reaching the similarity below which a pair is dropped unseen.
 MISS = 1e-5
-#: Members of a bucket that are compared with one another in one step.
-BLOCK = 128
+#: Members of a bucket that are compared with one another in one step, and how many
+#: shingles they may have in all: a block of very long texts has fewer members.
+BLOCK, BLOCK_SHINGLES = 128, 2_000_000
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _rng = np.random.default_rng(20240)
@@ -136,6 +137,12 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _marks(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two halves of a hash of every set that isn't empty."""
+    marks = [xxhash.xxh128_intdigest(s.tobytes()) if len(s) else None for s in sets]
+    return [pa.array([None if m is None else ((m >> shift) % 2**64) - 2**63 for m in marks], pa.int64()) for shift in (0, 64)]
+
+
 def _signed(docs: DataFrame, shingle: int) -> DataFrame:
     """(id, n_shingles, set_a, set_b, sig, bands) of every text."""
 
@@ -152,14 +159,11 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
                     keys = band_keys(found).tolist()
                     for i, row, key in zip(full, found.astype(np.uint16), keys, strict=True):
                         sig[i], bands[i] = row.tobytes(), key
-                marks = [xxhash.xxh128_intdigest(s.tobytes()) if len(s) else None for s in sets]
-                half = lambda m, shift: None if m is None else ((m >> shift) % 2**64) - 2**63
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([half(m, 0) for m in marks], pa.int64()),
-                        pa.array([half(m, 64) for m in marks], pa.int64()),
+                        *_marks(sets),
                         pa.array(sig, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
                     ],
@@ -172,7 +176,7 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, members) with the packed full set."""
+    """(id, set_a, set_b, members) with the packed full set."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -180,11 +184,11 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
                 batch = whole.slice(start, 256)
                 sets = shingle_sets(batch.column(1).to_pylist(), shingle)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([packed(s) for s in sets], pa.binary())],
-                    ["id", "members"],
+                    [batch.column(0), *_marks(sets), pa.array([packed(s) for s in sets], pa.binary())],
+                    ["id", "set_a", "set_b", "members"],
                 )
 
-    return docs.mapInArrow(pack, "id long, members binary")
+    return docs.mapInArrow(pack, "id long, set_a long, set_b long, members binary")
 
 
 def _rows_of(column: pa.Array) -> np.ndarray:
@@ -259,26 +263,38 @@ def _across(
 ) -> DataFrame:
     """Links (a, b) of pairs in one bucket but in different components.
 
-    members: (key, id). Each bucket's largest component is its major part, the rest
+    members: (key, id, n_shingles). Each bucket's largest component is its major part, the rest
     its minor one. Both are dealt into blocks; blocks of the minor part meet all
     others, and a task compares two blocks at a time, each pair in the first band
     that it shares: signatures first, full sets where they don't rule it out. No
     candidate leaves the task, only one link of a document to each component.
     """
     placed = members.join(of, "id")
-    kinds = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    kinds = placed.groupBy("key", "component").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("size")
+    )
+
+    def blocks_for(n, size):
+        return F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES))
+
     open_ = (
         kinds.groupBy("key")
-        .agg(F.max(F.struct("n", "component")).alias("major"), F.sum("n").alias("n"))
+        .agg(F.max(F.struct("n", "size", "component")).alias("major"), F.sum("n").alias("n"), F.sum("size").alias("size"))
         .where((F.col("major.n") < F.col("n")) & (F.col("n") > 2))
         .select(
             "key",
             F.col("major.component").alias("major"),
-            F.ceil(F.col("major.n") / BLOCK).alias("major_blocks"),
-            F.ceil((F.col("n") - F.col("major.n")) / BLOCK).alias("minor_blocks"),
+            blocks_for(F.col("major.n"), F.col("major.size")).alias("major_blocks"),
+            blocks_for(F.col("n") - F.col("major.n"), F.col("size") - F.col("major.size")).alias("minor_blocks"),
         )
     )
-    rows = placed.join(open_, "key").join(signed.select("id", "sig", "bands"), "id").join(sets, "id")
+    # An id may have several sets; each goes into the buckets of its own bands.
+    rows = (
+        placed.join(open_, "key")
+        .join(signed.select("id", "set_a", "set_b", "sig", "bands"), "id")
+        .where(F.array_contains("bands", F.col("key")))
+        .join(sets, ["id", "set_a", "set_b"])
+    )
     is_major = F.col("component") == F.col("major")
     blocks = (
         rows.withColumn("is_major", is_major)
@@ -351,7 +367,7 @@ def near_duplicates(
     that leaves a bucket in several components, with those in other components.
 
     A null text, or one without words, has an empty set and links with nothing; rows
-    that share an id are one document; a null id links with nothing, has no component
+    that share an id are one document, linked by any of its texts; a null id links with nothing, has no component
     and is kept; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
@@ -359,15 +375,20 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = stored(_signed(texts, shingle), "signed")
     named = signed.where("id IS NOT NULL AND sig IS NOT NULL")
-    # One document for each set.
-    first = named.groupBy("set_a", "set_b").agg(F.min("id").alias("first"))
+    # One document for each set, whatever other sets its id may have.
+    heads = stored(
+        named.groupBy("set_a", "set_b").agg(
+            F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")]
+        ),
+        "heads",
+    )
+    first = heads.select("set_a", "set_b", F.col("id").alias("first"))
     members = named.select("id", "set_a", "set_b").join(first, ["set_a", "set_b"])
     same = stored(members.where("id <> first").select("id", "first"), "same")
-    heads = named.join(same.select("id"), "id", "left_anti")
-    banded = heads.select("id", F.explode("bands").alias("key"))
+    banded = heads.select("id", "n_shingles", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top"))
     buckets = stored(
-        banded.join(shared.where("pivot < top"), "key").select("key", "id", "pivot"), "buckets"
+        banded.join(shared.where("pivot < top"), "key").select("key", "id", "n_shingles", "pivot"), "buckets"
     )
     stars = buckets.where("id > pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     candidates = stored(_pruned(stars, heads, least), "candidates")
@@ -396,7 +417,7 @@ def near_duplicates(
         "id", F.coalesce("component", "id").alias("component")
     )
     with _small_batches(spark, 16):
-        across = _across(buckets.select("key", "id"), placed, heads, sets, least, percent)
+        across = _across(buckets.select("key", "id", "n_shingles"), placed, heads, sets, least, percent)
         links = links.union(stored(across, "across"))
     of = component_of(links.union(same.select(F.col("id").alias("a"), F.col("first").alias("b"))))
     return (
