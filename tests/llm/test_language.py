@@ -95,3 +95,32 @@ def test_a_parallel_text_is_accepted_and_so_is_all_without_labels(spark, model):
     assert kept == set(range(60)) | {900}
     unlabelled = docs.withColumn("lang", L.F.lit(None).cast("string"))
     assert {r["doc_id"] for r in L.accepted(unlabelled).collect()} == set(range(60)) | {900}
+
+
+def test_a_text_in_an_unknown_language_is_rejected(spark, model):
+    own, vocabulary = model
+    rng = random.Random(17)
+    rows = [(i, speech(rng, vocabulary[k], 60), k) for i, k in enumerate(list(vocabulary) * 20)]
+    finnish = ["talo", "kanssa", "ajatella", "kautta", "joka", "vesi", "pitäisi", "hyvä", "yksi", "kyllä"]
+    greek = ["σπίτι", "με", "σκέφτομαι", "μέσω", "και", "οποίος"]
+    rows += [(900, speech(rng, finnish, 60), None), (901, speech(rng, greek, 60), None), (902, "qzx jvw kkp " * 30, None)]
+    half = [(910, speech(rng, vocabulary["en"], 60) + " " + speech(rng, finnish, 10), None), (911, "talo", None)]
+    docs = spark.createDataFrame(rows + half, "doc_id long, text string, lang string").withColumn("lang_letters", L.F.lit("own"))
+    kept = L.accepted(docs)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == set(range(60)) | {910, 911}
+    named = docs.withColumnsRenamed({"doc_id": "n", "text": "body", "lang": "tongue"})
+    other = L.accepted(named, id_col="n", text_col="body", lang_col="tongue")
+    assert {r["n"] for r in other.collect()} == set(range(60)) | {910, 911}
+
+
+def test_the_sample_is_the_first_by_hash(spark):
+    rows = [(i, f"text {i % 50}", "en" if i % 3 else "de") for i in range(900)] + [(5000, "x", None), (5001, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hashed = docs.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", L.F.xxhash64("doc_id", "text")).collect()
+    for size in (1, 7, 250, 10**6):
+        expected = []
+        for lang in ("en", "de"):
+            expected += sorted((r for r in hashed if r["lang"] == lang), key=lambda r: r["h"])[:size]
+        got = sorted(map(tuple, L.sampled(docs, size).collect()))
+        assert got == sorted((r["text"], r["lang"]) for r in expected)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnledger.llm.shared import stored
+
 #: First code points of blocks and the script their letters belong to.
 SCRIPTS = [
     (0x41, "latin"),
@@ -52,6 +54,10 @@ SWITCH = 12.0
 SCRIPT_SHARE = 0.002
 FOREIGN = -1e4
 
+#: A text of at least so many letters whose words speak for their languages less than this
+#: share of what is usual is in none of those known.
+ENOUGH_LETTERS, LEAST_EVIDENCE = 60, 0.25
+
 UNDETERMINED = "und"
 _LETTERS = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256)
@@ -167,8 +173,9 @@ def _worth_leaving(scores: np.ndarray, best: int, switch: float) -> bool:
     return bool((over - np.minimum.accumulate(over, axis=0)).max() > switch / 2)
 
 
-def labelled(texts: list[str | None], model: Model) -> Iterator[tuple[str, float, list[dict]]]:
-    """Language, share of the letters it has, and spans of words, per text."""
+def labelled(texts: list[str | None], model: Model) -> Iterator[tuple[str, float, list[dict], float, int]]:
+    """Language, share of the letters it has, spans of words, mean score of the letters
+    in the languages of their spans, and number of letters, per text."""
     held = [words_of(t) for t in texts]
     number: dict[bytes, int] = {}
     coded = [[number.setdefault(w, len(number)) for w in words] for words in held]
@@ -177,9 +184,11 @@ def labelled(texts: list[str | None], model: Model) -> Iterator[tuple[str, float
         weight = np.fromiter(map(len, number), np.int64, len(number)) * lettered
     for ids in coded:
         if not ids or not lettered[(at := np.array(ids))].any():
-            yield UNDETERMINED, 0.0, []
+            yield UNDETERMINED, 0.0, [], 0.0, 0
             continue
         ways = path(table[at])
+        letters = int(weight[at].sum())
+        evidence = float(table[at, ways].sum(dtype=np.float64)) / letters
         share = np.bincount(ways, weight[at], len(model.languages))
         first = int(share.argmax())
         turns = np.flatnonzero(np.diff(ways)) + 1
@@ -187,27 +196,54 @@ def labelled(texts: list[str | None], model: Model) -> Iterator[tuple[str, float
         spans = [
             {"start": a, "end": b, "lang": model.languages[ways[a]]} for a, b in zip(starts, ends, strict=True)
         ]
-        yield model.languages[first], float(share[first] / share.sum()), spans
+        yield model.languages[first], float(share[first] / share.sum()), spans, evidence, letters
 
 
-def fitted(labelled_docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model of the labelled rows; None if there are none.
+def sampled(labelled_docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(text, lang) of at most `sample` documents per language, the first by hash of id
+    and text.
 
-    Fitted on at most `sample` documents per language, the first by hash of id and
-    text. Each task counts its share in tables of a fixed size, and the sums of
-    those, fixed in size as well, go to the driver.
+    Which those are is told by counts of the hashes' first 16 bits: all below a language's
+    cut are taken, and only the few at the cut are ranked. So texts do not move, but for
+    those few, and no task sees a whole language.
     """
-    rows = labelled_docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    picked = (
-        rows.select(
-            F.col(text_col).alias("text"),
-            F.col(lang_col).cast("string").alias("lang"),
-            F.xxhash64(id_col, text_col).alias("h"),
-        )
+    rows = labelled_docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
+        F.col(text_col).alias("text"),
+        F.col(lang_col).cast("string").alias("lang"),
+        F.xxhash64(id_col, text_col).alias("h"),
+    )
+    rows = rows.withColumn("part", F.shiftright("h", 48).cast("int"))
+    counts = rows.groupBy("lang", "part").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.expr("sum(n) OVER (PARTITION BY lang ORDER BY part)"))
+    cuts = (
+        upto.where(F.col("upto") >= sample)
+        .groupBy("lang")
+        .agg(F.min(F.struct("part", "upto", "n")).alias("cut"))
+        .select("lang", F.col("cut.part").alias("cut"), (F.col("cut.n") - F.col("cut.upto") + sample).alias("room"))
+        .collect()  # a row per language
+    )
+    schema = "lang string, cut int, room long"
+    placed = rows.join(F.broadcast(rows.sparkSession.createDataFrame(cuts, schema)), "lang", "left")
+    inside = placed.where(F.col("cut").isNull() | (F.col("part") < F.col("cut")))
+    edge = (
+        placed.where(F.col("part") == F.col("cut"))
         .withColumn("nth", F.expr("row_number() OVER (PARTITION BY lang ORDER BY h)"))
-        .where(F.col("nth") <= sample)
-        .select("text", "lang")
+        .where(F.col("nth") <= F.col("room"))
     )
+    return inside.select("text", "lang").union(edge.select("text", "lang"))
+
+
+def fitted(labelled_docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """A model of the labelled rows; None if there are none.
+
+    Fitted on a sample of bounded size (:func:`sampled`). Each task counts its share in
+    tables of a fixed size, and the sums of those, fixed in size as well, go to the driver.
+    """
+    return _counted(sampled(labelled_docs, sample, id_col, text_col, lang_col))
+
+
+def _counted(picked: DataFrame) -> Model | None:
+    """The model of (text, lang)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
@@ -254,35 +290,39 @@ def fitted(labelled_docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id
 
 
 def identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred, lang_score (0 to 1) and lang_spans to every document.
+    """Adds lang_pred, lang_score (0 to 1), lang_spans, lang_evidence and lang_letters to
+    every document.
 
     Spans are runs of words, end excluded. The language is the one whose spans hold
-    most letters, the score its share of them. A text that is null or has no letter
+    most letters, the score its share of them; the evidence is what a letter speaks for the
+    language of its span, in log odds, on the mean. A text that is null or has no letter
     is `und` with score 0, and so is everything if nothing was labelled; repeated
     rows give repeated results; an empty table gives no rows; only the text is
-    looked at. Other columns pass through, those three are replaced.
+    looked at. Other columns pass through, those five are replaced.
     """
-    plain = docs.drop("lang_pred", "lang_score", "lang_spans")
+    plain = docs.drop("lang_pred", "lang_score", "lang_spans", "lang_evidence", "lang_letters")
     at = plain.columns.index(text_col)
     schema = plain.limit(0).selectExpr(
         "*",
         "cast('' AS string) AS lang_pred",
         "cast(0 AS double) AS lang_score",
         "cast(array() AS array<struct<start:int,end:int,lang:string>>) AS lang_spans",
+        "cast(0 AS double) AS lang_evidence",
+        "cast(0 AS bigint) AS lang_letters",
     ).schema
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
+    names = [f.name for f in schema]
+
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
                 texts = batch.column(at).to_pylist()
-                found = list(labelled(texts, model)) if model else [(UNDETERMINED, 0.0, [])] * len(texts)
-                lang, score, parts = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(parts, spans)],
-                    names=[*batch.schema.names, "lang_pred", "lang_score", "lang_spans"],
-                )
+                found = list(labelled(texts, model)) if model else [(UNDETERMINED, 0.0, [], 0.0, 0)] * len(texts)
+                kinds = [pa.string(), pa.float64(), spans, pa.float64(), pa.int64()]
+                own = [pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=names)
 
     return plain.mapInArrow(label, schema)
 
@@ -292,11 +332,24 @@ def in_training(id_col: str = "doc_id", folds: int = 5, held: int = 0):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds != held
 
 
-def accepted(docs: DataFrame, **columns: str) -> DataFrame:
-    """The documents whose language is determined, be it one or several; all that have
-    letters if nothing was labelled to judge them by."""
-    model = fitted(docs.where(in_training()), **columns)
+def accepted(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
+    """The documents in languages that the labelled ones show, be it one or several.
+
+    A text without letters goes, and so does one of ENOUGH_LETTERS whose letters speak for
+    the languages of its spans with less than LEAST_EVIDENCE of what they do in the median
+    document of the sample: it is in another language, or in none. Shorter texts stay, and
+    so do texts that change from one known language to another, as every span is judged by
+    its own. If nothing was labelled to judge them by, all that have letters stay. The
+    columns stay as they are.
+    """
+    taught = stored(sampled(docs.where(in_training(id_col)), id_col=id_col, text_col=text_col, lang_col=lang_col), "sample")
+    model = _counted(taught)
     if model is None:
-        return docs.where(F.col(columns.get("text_col", "text")).rlike(r"\p{L}"))
-    found = identified(docs, model)
-    return found.where(F.col("lang_pred") != UNDETERMINED).select(*(f"`{c}`" for c in docs.columns))
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    usual = identified(taught, model).where(F.col("lang_letters") >= ENOUGH_LETTERS).agg(F.median("lang_evidence")).first()[0]
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    found = identified(docs.toDF(*names), model, names[docs.columns.index(text_col)])
+    weak = (F.col("lang_letters") >= ENOUGH_LETTERS) & (F.col("lang_evidence") < LEAST_EVIDENCE * (usual or 0.0))
+    return found.where((F.col("lang_pred") != UNDETERMINED) & ~weak).select(*names).toDF(*docs.columns)
