@@ -481,6 +481,7 @@ def statements() -> dict[str, str]:
             f" AND ts >= {NOW_MS - 16 * DAY_MS} AND ts < {NOW_MS} GROUP BY day",
             _PRICED,
         ),
+        "store_compacted": f"SELECT *, 1::BIGINT AS most_files FROM ({_projects()})",
         "window_months": _projects(
             f"ts - seq % 3 * {31 * DAY_MS} >= {NOW_MS - 50 * DAY_MS}"
             f" AND ts - seq % 3 * {31 * DAY_MS} < {NOW_MS}"

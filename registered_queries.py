@@ -16,7 +16,7 @@ from turnledger.plans.ingest import Source, ingest, ingest_records
 from turnledger.session import configure, new_work_folder, staged
 from turnledger.sources import sample_tables as sample
 from turnledger.sources import store as stores
-from turnledger.sources import totals, transcripts
+from turnledger.sources import compaction, totals, transcripts
 from turnledger.streaming.ingest import start_ingest
 
 NOW_MS = sample.NOW_MS
@@ -200,6 +200,16 @@ def window_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.projects(events, sample.prices(spark), Scope(window))
 
 
+def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report over a stored table whose months were written anew, a file each."""
+    home = _months_store(spark, sf_dir, "compacted")
+    compaction.compact(spark, home, many=1)
+    events = stores.read_events(spark, home)
+    files = events.select("month", "_metadata.file_path").distinct().groupBy("month").count()
+    most = files.agg(F.max("count")).first()[0]
+    return reports.projects(events, sample.prices(spark)).withColumn("most_files", F.lit(most))
+
+
 def compare_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = sample.usage_events(spark, sf_dir)
     found = reports.compare_notes(events, sample.prices(spark), Scope(LAST_WEEK))
@@ -623,6 +633,7 @@ def registered() -> dict[str, Query]:
         "window_7d_projects": _report(reports.projects, scope=Scope(LAST_WEEK)),
         "window_project_filter": window_project_filter,
         "window_months": window_months,
+        "store_compacted": store_compacted,
         "no_sidechain_projects": _report(
             reports.projects, scope=Scope(include_sidechain=False)
         ),

@@ -289,6 +289,25 @@ def test_one_old_file_does_not_open_the_newer_ones(spark, folder, prices):
     assert (summary["files_read"], summary["new_events"], summary["duplicates"]) == (1, 1, 0)
 
 
+def test_one_changed_file_of_many_of_a_day_is_the_only_one_opened(spark, folder, prices, monkeypatch):
+    for number in range(40):
+        name = f"logs/p {number % 3}+/[{number}]{{x}}%é*.jsonl"
+        write_lines(folder, name, [said(f"u{number}", number)])
+    assert run(spark, folder, prices)["new_events"] == 40
+    with open(f"{folder}/{name}", "a") as out:
+        out.write(said("late", 50) + "\n")
+    listed = list_files(spark, f"{folder}/logs")
+    picked = changed_files(listed, stores.read_cursors(spark, f"{folder}/store"))
+    lines = plan._lines_to_read(spark, f"{folder}/logs", Source(), picked)
+    scan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "file_path" in scan and lines.select("path").distinct().count() == 1
+    # More files than a scan is given by name are told by their days.
+    monkeypatch.setattr(plan, "MOST_PATHS", 0)
+    again = plan._lines_to_read(spark, f"{folder}/logs", Source(), picked)
+    assert sorted(again.select("value", "path").collect()) == sorted(lines.select("value", "path").collect())
+    assert run(spark, folder, prices, now=2)["new_events"] == 1
+
+
 def test_a_file_from_before_the_epoch_is_left_out_on_every_run(spark, folder, prices):
     path = write_lines(folder, "logs/a.jsonl", [said("u1", 1)])
     os.utime(path, (-1000, -1000))

@@ -242,7 +242,7 @@ def test_a_large_price_list_is_not_broadcast(spark):
 
 
 def test_every_query_is_registered_once():
-    assert len(registered()) == 57
+    assert len(registered()) == 58
 
 
 def test_marking_sorts_outside_of_its_lambda(spark):

@@ -39,7 +39,7 @@ from turnledger.sources.store import (
     read_notes,
     read_prompts,
 )
-from turnledger.sources import totals
+from turnledger.sources import compaction, totals
 from turnledger.sources.transcripts import (
     LINE_ORDER,
     LINES,
@@ -65,6 +65,10 @@ _CLAIM_COLUMNS = [
 ]
 
 
+#: Files that a scan is given by name.
+MOST_PATHS = 1000
+
+
 @dataclass(frozen=True)
 class Source:
     """Where records come from and how they are stored."""
@@ -127,6 +131,7 @@ def ingest_records(
     batch is stored.
     """
     spark = records.sparkSession
+    compaction.finish(spark, store)
     prepare_notes(spark, store)
     totals.recover(spark, store)
     parsed = records.where(F.col("status") == "record")
@@ -193,14 +198,18 @@ def _lines_to_read(
 ) -> DataFrame:
     """Lines of the picked files, on a first run as on any other.
 
-    Files are pruned by the days on which the picked ones were last modified before
-    any is opened, so one old file among new ones opens its own day only; the few
-    others of those days are dropped by path.
+    Up to MOST_PATHS files are named to the scan, which opens those and no others. More
+    than that are pruned by the days on which they were last modified, so that one old
+    file among new ones opens its own day only; the few others of those days are then
+    dropped by path.
     """
+    paths = [row["path"] for row in picked.select("path").limit(MOST_PATHS + 1).collect()]
+    if not paths:
+        return spark.createDataFrame([], LINES)
+    if len(paths) <= MOST_PATHS:
+        return read_lines(spark, root, source.pattern, paths=paths)
     day = F.date_format(F.timestamp_millis("mtime"), "yyyy-MM-dd")
     days = [row["day"] for row in picked.select(day.alias("day")).distinct().collect()]
-    if not days:
-        return spark.createDataFrame([], LINES)
     lines = read_lines(spark, root, source.pattern, days)
     return lines.join(picked.select("path"), "path", "left_semi")
 

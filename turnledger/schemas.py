@@ -146,3 +146,13 @@ SUMMED = T.StructType(
         T.StructField("upto", T.LongType()),
     ]
 )
+
+# Months whose small files are written anew, and where the whole copy is meanwhile.
+COMPACTION = T.StructType(
+    [
+        T.StructField("table", T.StringType()),
+        T.StructField("month", T.StringType()),
+        T.StructField("copy", T.StringType()),
+        T.StructField("done", T.BooleanType()),
+    ]
+)

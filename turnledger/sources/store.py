@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from turnledger.functions.clock import Window
 from turnledger.operators.claims import claimable
 from turnledger.schemas import (
+    COMPACTION,
     COUNT_FIELDS,
     CURSOR,
     EVENT,
@@ -58,6 +59,32 @@ def _load(
         return None
 
 
+def compactions_path(store: str) -> str:
+    return f"{store.rstrip('/')}/compactions"
+
+
+def open_compactions(spark: SparkSession, store: str) -> list[tuple[str, str, str]]:
+    """(table, month, copy) of months whose small files were copied and not yet replaced."""
+    log = _load(spark, compactions_path(store), "parquet", COMPACTION)
+    if log is None:
+        return []
+    last = log.groupBy("table", "month", "copy").agg(F.bool_or(F.col("done")).alias("done"))
+    return [(r["table"], r["month"], r["copy"]) for r in last.where("NOT done").collect()]
+
+
+def _load_whole(
+    spark: SparkSession, store: str, table: str, schema: T.StructType
+) -> DataFrame | None:
+    """A table of the store. A month that is being written anew is read from its copy."""
+    rows = _load(spark, f"{store.rstrip('/')}/{table}", "parquet", schema)
+    plain = T.StructType([field for field in schema.fields if field.name != MONTH.name])
+    for name, month, copy in open_compactions(spark, store):
+        if name == table and rows is not None:
+            own = spark.read.schema(plain).parquet(copy).withColumn(MONTH.name, F.lit(month))
+            rows = rows.where(F.col("month") != month).union(own.select(*rows.columns))
+    return rows
+
+
 def _load_lines(
     spark: SparkSession, path: str, schema: T.StructType, **options
 ) -> DataFrame | None:
@@ -137,7 +164,7 @@ def read_events(
         lines = read_event_lines(spark, store, window, month_files)
         return lines.where("usable").drop("usable")
     schema = T.StructType([*STORED_EVENT.fields, MONTH])
-    rows = _load(spark, events_path(store), fmt, schema)
+    rows = _load_whole(spark, store, "events", schema)
     if rows is None:
         return spark.createDataFrame([], schema)
     return rows.where(window.months(F.col("month")))
@@ -158,7 +185,7 @@ def read_prompts(
     elif fmt == "json":
         rows = _load_lines(spark, path, schema)
     else:
-        rows = _load(spark, path, fmt, schema)
+        rows = _load_whole(spark, store, "prompts", schema)
     if rows is None:
         return spark.createDataFrame([], schema)
     if not month_files:

@@ -5,6 +5,7 @@ from a non-negative JSON integer; Spark's casts alone would also accept ``"12"``
 for 12 and 7 for ``"7"``.
 """
 
+import re
 from fnmatch import fnmatch
 
 from pyspark.errors import AnalysisException
@@ -39,31 +40,26 @@ UNREADABLE = -1
 LINE_LIMIT = 128 * 1024 * 1024
 
 
-def _hidden(name: str) -> bool:
-    return name.startswith(("_", "."))
-
-
 def _walked(spark: SparkSession, root: str, pattern: str) -> tuple[list[str], list[tuple]]:
     """The folder with the hidden ones below it, and hidden files (path, size).
 
     Spark leaves out files and folders whose names begin with an underscore or a
     dot. A folder is read if it is named itself; a file of such a name never is.
-    Only folders are walked here, and only what is hidden is held.
+    Hidden names are asked for depth by depth, a glob each, until nothing lies deeper;
+    what is not hidden is listed by Spark alone, in parallel.
     """
     folders, files = [root], []
-    waiting = [spark._jvm.org.apache.hadoop.fs.Path(root)]
-    system = waiting[0].getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(waiting[0]):
-        return folders, files
-    while waiting:
-        for status in system.listStatus(waiting.pop()):
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    system = path_of(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    below = re.sub(r"([\\{}\[\]*?])", r"\\\1", root.rstrip("/"))
+    while len(system.globStatus(path_of(f"{below}/*")) or ()):
+        for status in system.globStatus(path_of(f"{below}/{{_*,.*}}")) or ():
             path = status.getPath()
             if status.isDirectory():
-                waiting.append(path)
-                if _hidden(path.getName()):
-                    folders.append(path.toString())
-            elif _hidden(path.getName()) and fnmatch(path.getName(), pattern):
+                folders.append(path.toString())
+            elif fnmatch(path.getName(), pattern):
                 files.append((path.toUri().toString(), status.getLen(), UNREADABLE))
+        below += "/*"
     return folders, files
 
 
@@ -130,10 +126,14 @@ def changed_files(
 
 
 def read_lines(
-    spark: SparkSession, root: str, pattern: str = TRANSCRIPTS, days: list[str] | None = None
+    spark: SparkSession,
+    root: str,
+    pattern: str = TRANSCRIPTS,
+    days: list[str] | None = None,
+    paths: list[str] | None = None,
 ) -> DataFrame:
-    """Every line with its place. ``days`` prunes files before reading: only those
-    last modified on one of these UTC days are opened."""
+    """Every line with its place. Both ``days`` and ``paths`` prune files before reading:
+    only those last modified on one of these UTC days, or so named, are opened."""
     lines = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
@@ -144,6 +144,8 @@ def read_lines(
     if days is not None:
         changed = F.col("_metadata.file_modification_time")
         lines = lines.where(F.date_format(changed, "yyyy-MM-dd").isin(days))
+    if paths is not None:
+        lines = lines.where(F.col("_metadata.file_path").isin(paths))
     return numbered(located_lines(lines))
 
 
