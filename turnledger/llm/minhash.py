@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm.shared import components, stored
+from turnledger.llm.shared import components, release, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -288,12 +288,16 @@ def _across(
             blocks_for(F.col("n") - F.col("major.n"), F.col("size") - F.col("major.size")).alias("minor_blocks"),
         )
     )
-    # An id may have several sets; each goes into the buckets of its own bands.
+    # An id may have several sets; each goes into the buckets of its own bands. Whether a
+    # set is the signature's own is no key of the join: all of it then is dealt by id.
+    own = F.col("set_a").bitwiseXOR(F.col("own_a")).bitwiseOR(F.col("set_b").bitwiseXOR(F.col("own_b")))
     rows = (
         placed.join(open_, "key")
         .join(signed.select("id", "set_a", "set_b", "sig", "bands"), "id")
         .where(F.array_contains("bands", F.col("key")))
-        .join(sets, ["id", "set_a", "set_b"])
+        .join(sets.withColumnsRenamed({"set_a": "own_a", "set_b": "own_b"}), "id")
+        .where(own == 0)
+        .drop("set_a", "set_b", "own_a", "own_b")
     )
     is_major = F.col("component") == F.col("major")
     blocks = (
@@ -385,6 +389,9 @@ def near_duplicates(
     first = heads.select("set_a", "set_b", F.col("id").alias("first"))
     members = named.select("id", "set_a", "set_b").join(first, ["set_a", "set_b"])
     same = stored(members.where("id <> first").select("id", "first"), "same")
+    # From here on only the heads' signatures are read.
+    sizes = stored(signed.select("id", "n_shingles"), "sizes")
+    release(signed)
     banded = heads.select("id", "n_shingles", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top"))
     buckets = stored(
@@ -411,6 +418,7 @@ def near_duplicates(
     links = stored(_confirmed(best.select("a", F.col("best.b").alias("b")), sets, percent), "links")
     of = component_of(links)
     more = stored(_confirmed(apart(candidates, of), sets, percent), "links")
+    release(candidates, of)
     links = links.union(more)
     of = component_of(links)
     placed = wanted.join(of.withColumnRenamed("node", "id"), "id", "left").select(
@@ -419,10 +427,10 @@ def near_duplicates(
     with _small_batches(spark, 16):
         across = _across(buckets.select("key", "id", "n_shingles"), placed, heads, sets, least, percent)
         links = links.union(stored(across, "across"))
+    release(of, buckets, sets, heads)
     of = component_of(links.union(same.select(F.col("id").alias("a"), F.col("first").alias("b"))))
     return (
-        signed.select("id", "n_shingles")
-        .join(of.withColumnRenamed("node", "id"), "id", "left")
+        sizes.join(of.withColumnRenamed("node", "id"), "id", "left")
         .select(
             F.col("id").alias(id_col),
             "n_shingles",

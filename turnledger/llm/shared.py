@@ -5,6 +5,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnledger.session import discard
+
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new folder that the driver and all executors share.
@@ -24,6 +26,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove tables made by :func:`stored` that nothing reads any more."""
+    for table in tables:
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            if "/llm-" in folder:
+                discard(table.sparkSession, folder)
+
+
 def components(links: DataFrame, label: str = "links") -> DataFrame:
     """Smallest reachable node of every node that has a link.
 
@@ -71,7 +81,8 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
             .where("u < v")
             .distinct()
         )
-        edges = stored(small, label)
+        before, edges = edges, stored(small, label)
+        release(before)
         now = state(edges)
         if now == known:
             break
