@@ -28,7 +28,7 @@ FIRST_OTHER = 0x100
 
 #: Runs of words remembered by one Python worker, and the longest word that is checked
 #: after a proposal; longer ones are merged.
-MAX_RUNS = 400_000
+MAX_RUNS = 150_000
 MAX_WORD = 200
 #: Words proposed for, and merged, in one go; runs looked up in one go.
 TOGETHER, AT_ONCE = 8192, 100_000
