@@ -154,10 +154,10 @@ def ingest_records(
             ),
             LINE_ORDER,
             0 if last is None else last + 1,
-        ).select("line_id", "seq", "owns_usage"),
+        ).select("line_id", "month", "seq", "owns_usage"),
         f"{work}/chosen",
     )
-    new = parsed.join(chosen, "line_id")
+    new = parsed.join(chosen.drop("month"), "line_id")
     lines = records.agg(
         F.count_if(F.col("status") == "record").alias("parsed"),
         F.count_if(F.col("status") == "unparseable").alias("skipped_unparseable"),
@@ -175,7 +175,7 @@ def ingest_records(
         counted(counts)
     # Before any event of theirs: a note too many is harmless, one too few is not.
     append_notes(notes_of(kept), store)
-    batch = totals.announced(kept, store)
+    batch = totals.announced(chosen, store)
     prompts = new.where(F.col("prompt_text").isNotNull()).select(
         F.col("id").alias("event_id"),
         F.col("prompt_text").alias("text"),
@@ -189,7 +189,7 @@ def ingest_records(
     events = keep_owned_usage(new, F.col("owns_usage")).select(*EVENT_COLUMNS, "seq", "month")
     events = priced_at_ingest(events, prices)
     append_events(events, store)
-    totals.extend(events, store, batch)
+    totals.extend(events, store, batch, chosen)
     return counts
 
 

@@ -199,6 +199,11 @@ def read_prompts(
     return rows
 
 
+def has_events(spark: SparkSession, store: str) -> bool:
+    """Whether any run has written events, of whatever number."""
+    return _load(spark, events_path(store), "parquet", STORED_EVENT) is not None
+
+
 def read_cursors(spark: SparkSession, store: str) -> DataFrame:
     rows = _load(spark, cursors_path(store), "parquet", CURSOR)
     return spark.createDataFrame([], CURSOR) if rows is None else rows
@@ -326,14 +331,15 @@ def append_notes(notes: DataFrame, store: str) -> None:
     _write_notes(new, store, _base(spark, store))
 
 
-def _new_generation(spark: SparkSession, store: str, notes: DataFrame) -> None:
+def _new_generation(spark: SparkSession, store: str, notes: DataFrame | None) -> None:
     """Write all notes anew. They count once they are all there; what a run that died
     left behind lies in a generation of its own and says nothing wrong."""
     schema = T.StructType([*NOTE.fields, *_NOTE_PARTITIONS])
     there = _load(spark, notes_path(store), "parquet", schema)
     highest = None if there is None else there.agg(F.max("generation")).first()[0]
     base = 0 if highest is None else highest + 1
-    _write_notes(notes, store, base)
+    if notes is not None:
+        _write_notes(notes, store, base)
     spark.createDataFrame([(base,)], GENERATION).coalesce(1).write.mode("append").parquet(
         _generations_path(store)
     )
@@ -343,10 +349,8 @@ def prepare_notes(spark: SparkSession, store: str, many_files: int = MANY_FILES)
     """Before a run: make the notes of a store that has none, and merge many small files."""
     base = _base(spark, store)
     if base is None:
-        stored = T.StructType([*STORED_EVENT.fields, MONTH])
-        events = _load(spark, events_path(store), "parquet", stored)
-        events = spark.createDataFrame([], stored) if events is None else events
-        _new_generation(spark, store, notes_of(events))
+        known = notes_of(read_events(spark, store)) if has_events(spark, store) else None
+        _new_generation(spark, store, known)
         return
     notes = read_notes(spark, store)
     if len(notes.inputFiles()) > many_files:
