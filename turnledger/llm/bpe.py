@@ -377,6 +377,10 @@ class Encoder:
                 table[r] = (text[a:b], n, raw[c:d])
         return table
 
+    def forget(self) -> None:
+        """Let the runs remembered go."""
+        self._runs = Remembered()
+
     def special_row(self, special: str) -> tuple[str, int, bytes]:
         return str(self.special[special]), 1, self.bytes_of[self.special[special]]
 
@@ -447,6 +451,8 @@ def round_trip(
                         ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
                     )
         finally:
+            # Other work of this Python process has other uses for the memory.
+            own.forget()
             gc.enable()
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()

@@ -1,5 +1,6 @@
 """What several corpus operators need: scratch tables and connected components."""
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,13 @@ def release(*tables: DataFrame) -> None:
                 discard(table.sparkSession, folder)
 
 
+def let_go(table: DataFrame) -> None:
+    """Have Spark remove the shuffle files of steps that are over. It does so when the
+    driver collects its garbage, which many steps in a row may not bring about."""
+    gc.collect()
+    table.sparkSession._jvm.System.gc()
+
+
 def components(links: DataFrame, label: str = "links") -> DataFrame:
     """Smallest reachable node of every node that has a link.
 
