@@ -53,6 +53,25 @@ def test_only_months_of_the_period_are_opened(spark, folder):
     assert files_read(found) == 2
 
 
+def test_a_month_of_plain_row_numbers_is_dealt_to_many_tasks(spark, folder):
+    """However rows are numbered, none of the tasks gets a whole large month."""
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    rows = [event(f"e{n}", AUGUST, seq=n) for n in range(200)]
+    few = monthly(spark, rows).repartition(4).withColumn("seq", F.col("seq") * 2000)
+    spark.conf.set(size, "1000")
+    try:
+        stores.append_events(few, folder)
+    finally:
+        spark.conf.unset(size)
+    found = stores.read_events(spark, folder)
+    assert files_read(found) > 1
+    assert sorted(r["seq"] for r in found.collect()) == [2000 * n for n in range(200)]
+    files = {}
+    for r in found.select("seq", F.col("_metadata.file_path").alias("path")).collect():
+        files.setdefault(r["path"], []).append(r["seq"])
+    assert all(own == sorted(own) for own in files.values())
+
+
 def test_a_store_not_written_yet_is_empty(spark, folder):
     nowhere = f"{folder}/nowhere"
     for fmt in ("parquet", "json"):
