@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from conftest import DAY, at, call, event, events_frame, rows_of, used
@@ -15,6 +16,7 @@ from turnledger.operators.scope import Scope
 from turnledger.operators import tool_use
 from turnledger.plans import burn, health, notes, repeats, reports
 from turnledger.plans.ingest import _claim_months
+from turnledger.session import shared_folder
 from turnledger.sources import sample_tables as sample
 from turnledger.sources import store as stores
 
@@ -272,3 +274,13 @@ def test_claims_are_looked_up_in_the_months_of_the_sessions(spark, folder):
     assert sorted(months) == ["2026-08", "2026-10", "2027-01"]
     plan = stores.read_events(spark, folder).where(F.col("month").isin(months))
     assert "PartitionFilters: [month" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_lines_are_not_held_on_disk_in_full(spark):
+    """Every line of 25 MiB is written and read, in files that are packed."""
+    work = Path(shared_folder(spark)) / "turnledger"
+    before = set(work.glob("long-*"))
+    found = registered()["transcript_long_lines"](spark, SMALL)
+    assert sum(row["lines"] for row in found.collect()) == sample.table(spark, SMALL, "events").count()
+    (own,) = set(work.glob("long-*")) - before
+    assert sum(path.stat().st_size for path in own.rglob("*") if path.is_file()) < 5 << 20
