@@ -124,3 +124,33 @@ def test_the_sample_is_the_first_by_hash(spark):
             expected += sorted((r for r in hashed if r["lang"] == lang), key=lambda r: r["h"])[:size]
         got = sorted(map(tuple, L.sampled(docs, size).collect()))
         assert got == sorted((r["text"], r["lang"]) for r in expected)
+
+
+def test_the_model_is_counted_over_all_documents(spark):
+    rows = [(i, f"wort{i} ё{i % 7} the the", "en" if i % 3 else "de") for i in range(4000)]
+    docs = spark.createDataFrame([*rows, (5000, None, "en"), (5001, "x", None)], "doc_id long, text string, lang string")
+    words = {k: [w for _, t, lang in rows if lang == k for w in L.words_of(t)] for k in ("de", "en")}
+    counts = np.zeros((2, L.BUCKETS))
+    for own, held in zip(counts, words.values()):
+        hashes, valid, _ = L._sequences(held)
+        np.add.at(own, hashes[valid], 1)
+    scripts = {s: np.array([sum(L.script_of(w) == s for w in held) for held in words.values()]) for s in ("latin", "cyrillic")}
+    expected = L.Model(["de", "en"], counts, scripts)
+    assert np.array_equal(L.fitted(docs).table, expected.table)
+
+
+@pytest.mark.parametrize("values", [[], [3.0], [1.0, 2.0], [0.5] * 9, [-1e4, 7.0, 7.0, 7.25, 1e-9, 3.0]])
+def test_median(spark, values):
+    table = spark.createDataFrame([(x,) for x in values] + [(None,)], "x double")
+    assert L.median(table, "x") == (float(np.median(values)) if values else None)
+
+
+def test_what_is_usual_is_told_by_all_labelled_documents(spark, monkeypatch):
+    seen = []
+    whole = L.median
+    monkeypatch.setattr(L, "median", lambda values, name: seen.append(values.count()) or whole(values, name))
+    long = "the house with through and which think " * 3
+    rows = [(i, long, "en") for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.accepted(docs).count() == 2500
+    assert seen == [docs.where(L.in_training()).count()] and seen[0] > L.SAMPLE

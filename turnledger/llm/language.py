@@ -2,6 +2,7 @@
 
 import re
 from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +42,12 @@ SCRIPTS = [
 ]
 _STARTS = [s for s, _ in SCRIPTS]
 
-#: Labelled documents per language that the model is fitted on, by hash of the id.
+#: Documents per language of a sample, by hash of the id.
 SAMPLE = 1500
+#: Different words of a language that a task holds while it counts.
+_HELD_WORDS = 200_000
+#: Ranges that values are counted in at once.
+RANGES = 4096
 #: Size of the table of character sequences, their lengths, weight of their sum.
 BUCKETS = 2**17
 LENGTHS = (2, 3, 4)
@@ -233,13 +238,17 @@ def sampled(labelled_docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_i
     return inside.select("text", "lang").union(edge.select("text", "lang"))
 
 
-def fitted(labelled_docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def fitted(labelled_docs: DataFrame, sample: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model of the labelled rows; None if there are none.
 
-    Fitted on a sample of bounded size (:func:`sampled`). Each task counts its share in
-    tables of a fixed size, and the sums of those, fixed in size as well, go to the driver.
+    Counted over all of them, or over `sample` documents per language (:func:`sampled`).
+    Each task counts its share in tables of a fixed size, and the sums of those, fixed in
+    size as well, go to the driver.
     """
-    return _counted(sampled(labelled_docs, sample, id_col, text_col, lang_col))
+    if sample is not None:
+        return _counted(sampled(labelled_docs, sample, id_col, text_col, lang_col))
+    text, lang = F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
+    return _counted(labelled_docs.select(text, lang).where("text IS NOT NULL AND lang IS NOT NULL"))
 
 
 def _counted(picked: DataFrame) -> Model | None:
@@ -248,16 +257,29 @@ def _counted(picked: DataFrame) -> Model | None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
         scripts: dict[tuple[str, str], int] = {}
+        words: dict[str, Counter[bytes]] = {}
+
+        def settle(lang: str) -> None:
+            held = [(w, n, s) for w, n in words.pop(lang).items() if (s := script_of(w))]
+            if not held:
+                return
+            hashes, valid, _ = _sequences([w for w, _, _ in held])
+            sizes = np.fromiter((len(w) + 1 for w, _, _ in held), np.int64, len(held))
+            times = np.repeat(np.fromiter((n for _, n, _ in held), np.int64, len(held)), sizes)
+            times = np.broadcast_to(times, hashes.shape)[valid]
+            own = tables.setdefault(lang, np.zeros(BUCKETS, np.int64))
+            own += np.bincount(hashes[valid], times, BUCKETS).astype(np.int64)
+            for _, n, s in held:
+                scripts[lang, s] = scripts.get((lang, s), 0) + n
+
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = [(w, s) for w in words_of(text) if (s := script_of(w))]
-                if not words:
-                    continue
-                hashes, valid, _ = _sequences([w for w, _ in words])
-                own = tables.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                own += np.bincount(hashes[valid], minlength=BUCKETS)
-                for _, s in words:
-                    scripts[lang, s] = scripts.get((lang, s), 0) + 1
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = words.setdefault(lang, Counter())
+                found.update(words_of(text.as_py()))
+                if len(found) > _HELD_WORDS:
+                    settle(lang)
+        for lang in list(words):
+            settle(lang)
         for lang, own in tables.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays(
@@ -332,6 +354,33 @@ def in_training(id_col: str = "doc_id", folds: int = 5, held: int = 0):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds != held
 
 
+def median(values: DataFrame, name: str) -> float | None:
+    """The mean of a column's two middle values; None without any.
+
+    Its range is cut into RANGES that are counted, and the one that holds a middle value
+    is cut again, until it is one value. No task and not the driver sees more than counts.
+    """
+    n, low, high = values.agg(F.count(name), F.min(name), F.max(name)).first()
+    if not n:
+        return None
+    first = _ranked(values, name, (n - 1) // 2, low, high)
+    return first if n % 2 else (first + _ranked(values, name, n // 2, low, high)) / 2
+
+
+def _ranked(values: DataFrame, name: str, place: int, low: float, high: float) -> float:
+    """The value with so many before it in ascending order, all between low and high."""
+    while low < high:
+        x = F.col(name)
+        at = F.least(F.floor((x - low) / ((high - low) / RANGES)), F.lit(RANGES - 1))
+        inside = values.where(x.between(low, high)).groupBy(at.alias("at"))
+        for r in inside.agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).orderBy("at").collect():
+            if place < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            place -= r["n"]
+    return low
+
+
 def accepted(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
@@ -339,17 +388,20 @@ def accepted(
 
     A text without letters goes, and so does one of ENOUGH_LETTERS whose letters speak for
     the languages of its spans with less than LEAST_EVIDENCE of what they do in the median
-    document of the sample: it is in another language, or in none. Shorter texts stay, and
+    labelled document: it is in another language, or in none. Shorter texts stay, and
     so do texts that change from one known language to another, as every span is judged by
-    its own. If nothing was labelled to judge them by, all that have letters stay. The
-    columns stay as they are.
+    its own. Model and median are of all documents to learn from. If nothing was labelled to
+    judge them by, all that have letters stay. The columns stay as they are.
     """
-    taught = stored(sampled(docs.where(in_training(id_col)), id_col=id_col, text_col=text_col, lang_col=lang_col), "sample")
-    model = _counted(taught)
+    model = fitted(docs.where(in_training(id_col)), None, id_col, text_col, lang_col)
     if model is None:
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
-    usual = identified(taught, model).where(F.col("lang_letters") >= ENOUGH_LETTERS).agg(F.median("lang_evidence")).first()[0]
     names = [f"_{i}" for i in range(len(docs.columns))]
-    found = identified(docs.toDF(*names), model, names[docs.columns.index(text_col)])
-    weak = (F.col("lang_letters") >= ENOUGH_LETTERS) & (F.col("lang_evidence") < LEAST_EVIDENCE * (usual or 0.0))
+    taught = in_training(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()
+    plain = docs.select("*", taught.alias("taught")).toDF(*names, "_taught")
+    found = identified(plain, model, names[docs.columns.index(text_col)])
+    found = stored(found.drop("lang_spans"), "judged")
+    enough = F.col("lang_letters") >= ENOUGH_LETTERS
+    usual = median(found.where(F.col("_taught") & enough), "lang_evidence")
+    weak = enough & (F.col("lang_evidence") < LEAST_EVIDENCE * (usual or 0.0))
     return found.where((F.col("lang_pred") != UNDETERMINED) & ~weak).select(*names).toDF(*docs.columns)
