@@ -141,3 +141,13 @@ def test_segments_cover_every_window_once(monkeypatch):
         assert covered == list(range(len(text) - 199))
         assert all(s <= a <= s + 168 for s, a in zip(start.tolist(), anchor.tolist()))
     assert set(whole[3].tolist()) == set(S.segments(text)[3].tolist())
+
+
+def test_repeats_are_one_row_a_segment(spark):
+    """What is joined with the places of segments has each segment once, ranges put together."""
+    from turnledger.llm import suffix_dedup as S
+
+    ranges = [(1, 1, 0, 3), (1, 1, 3, 5), (1, 1, 9, 12), (1, 1, 10, 11), (1, 2, 4, 5), (1, 1, 0, 3)]
+    found = spark.createDataFrame(ranges, "a long, b long, first int, last int")
+    got = {(r["a"], r["b"]): [tuple(x) for x in r["ranges"]] for r in S._per_segment(found).collect()}
+    assert got == {(1, 1): [(0, 5), (9, 12)], (1, 2): [(4, 5)]}

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.llm.shared import stored
@@ -364,8 +364,26 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+_RANGES = "array<struct<first:int,last:int>>"
+
+
+def _joined_up(ranges: Column) -> Column:
+    """Ranges that overlap or touch, as one."""
+
+    def add(done: Column, own: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["last"], own["last"]).alias("last"))
+        rest = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(own["first"] <= last["last"], F.concat(rest, F.array(longer))).otherwise(
+            F.concat(done, F.array(own))
+        )
+
+    return F.aggregate(F.array_sort(ranges), F.array().cast(_RANGES), add)
+
+
 def _all_repeats(parts: DataFrame, steps: tuple[int, ...]) -> DataFrame:
-    """Repeats of all segments; anchors with many different ones are cut finer."""
+    """(a, b, ranges): repeats of all segments, one row each; anchors with many different
+    ones are cut finer."""
     different = stored(
         parts.groupBy("key", "a", "b").agg(
             F.sum("n").alias("n"), F.first("raw").alias("raw"), F.first("off").alias("off")
@@ -373,7 +391,7 @@ def _all_repeats(parts: DataFrame, steps: tuple[int, ...]) -> DataFrame:
         "segments",
     )
     if not steps:
-        return _repeats(different.repartition("key").sortWithinPartitions("key"))
+        return _per_segment(_repeats(different.repartition("key").sortWithinPartitions("key")))
     sizes = different.groupBy("key").agg(F.count("*").alias("size"))
     crowded = sizes.where(F.col("size") > MOST).select("key")
     few = different.join(sizes.where(F.col("size") <= MOST).select("key"), "key")
@@ -384,13 +402,19 @@ def _all_repeats(parts: DataFrame, steps: tuple[int, ...]) -> DataFrame:
         _all_repeats(finer.where("raw IS NOT NULL").select("key", "off", "a", "b", "raw", "n"), steps[1:]), "repeats"
     )
     links = finer.where("raw IS NULL").select("up_a", "up_b", "shift", "a", "b")
-    up = links.join(below, ["a", "b"]).select(
-        F.col("up_a").alias("a"),
-        F.col("up_b").alias("b"),
-        (F.col("first") + F.col("shift")).alias("first"),
-        (F.col("last") + F.col("shift")).alias("last"),
+    moved = F.transform(
+        "ranges",
+        lambda r: F.struct((r["first"] + F.col("shift")).alias("first"), (r["last"] + F.col("shift")).alias("last")),
     )
-    return found.union(up)
+    up = links.join(below, ["a", "b"]).groupBy(F.col("up_a").alias("a"), F.col("up_b").alias("b"))
+    up = up.agg(_joined_up(F.flatten(F.collect_list(moved))).alias("ranges"))
+    return _per_segment(found).union(up)
+
+
+def _per_segment(found: DataFrame) -> DataFrame:
+    """A row per segment, so that what is joined with segments does not multiply."""
+    ranges = F.collect_set(F.struct("first", "last"))
+    return found.groupBy("a", "b").agg(_joined_up(ranges).alias("ranges"))
 
 
 def _removed(texts: DataFrame, covered: DataFrame) -> DataFrame:
@@ -456,17 +480,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cut = stored(_cut_out(wanted, texts), "cut")
     found = _all_repeats(cut.where("raw IS NOT NULL").select("key", "off", "a", "b", "raw", "n"), STEPS)
     places = cut.where("raw IS NULL").select("id", "copy", "start", "a", "b").distinct()
+
+    def span(r: Column) -> Column:
+        start = F.col("start")
+        return F.struct((start + r["first"]).alias("first"), (start + r["last"] + (LENGTH - 1)).alias("last"))
+
     covered = (
         places.join(stored(found, "found"), ["a", "b"])
-        .select(
-            "id",
-            "copy",
-            F.struct(
-                (F.col("start") + F.col("first")).alias("first"),
-                (F.col("start") + F.col("last") + (LENGTH - 1)).alias("last"),
-            ).alias("span"),
-        )
+        .select("id", "copy", F.transform("ranges", span).alias("spans"))
         .groupBy("id", "copy")
-        .agg(F.collect_set("span").alias("spans"))
+        .agg(F.flatten(F.collect_list("spans")).alias("spans"))
     )
     return _removed(texts, covered).withColumnRenamed("id", id_col)
