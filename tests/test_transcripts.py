@@ -206,3 +206,31 @@ def test_agent_and_provider_are_parameters(spark):
     frame = spark.createDataFrame([[json.dumps(user("x"))]], TEXT)
     row = one(parse_lines(frame, "other", "someone"))
     assert (row["agent"], row["provider"]) == ("other", "someone")
+
+
+def test_strings_are_taken_from_json_strings_only(spark):
+    blocks = [
+        {"type": "tool_use", "name": 7, "input": {"path": "a"}},
+        {"type": "tool_use", "name": "Read", "input": {"file_path": 7, "path": True, "url": "b"}},
+        {"type": "tool_use", "name": "Edit", "input": {"file_path": "", "path": "c"}},
+        {"type": "tool_use", "name": "Bash", "input": {"path": {"x": 1}, "url": ["y"], "file": None}},
+        {"type": 1, "name": "Read"},
+        "tool_use",
+        {"type": "text", "text": 5},
+        {"type": "text", "text": "größe\u0000"},
+    ]
+    message = {"model": 1.5, "stop_reason": "end", "content": blocks, "usage": {"input_tokens": "3", "output_tokens": 4}}
+    line = {"type": "user", "timestamp": "2026-08-01T00:00:00Z", "sessionId": 12, "cwd": "/a/../b.c/", "message": message}
+    lines = spark.createDataFrame([(json.dumps(line),)], "value string")
+    found = parse_lines(lines).first()
+    assert [tuple(call) for call in found["tool_calls"]] == [("Read", "b"), ("Edit", None), ("Bash", None)]
+    assert (found["prompt_text"], found["model"], found["stop_reason"]) == ("größe\u0000", None, "end")
+    assert (found["session_id"], found["project"]) == (None, "b.c")
+
+
+def test_no_schema_is_worked_out_for_a_string(spark):
+    """The type of a leaf as text, asked for each, cost more than decoding the line."""
+    lines = spark.createDataFrame([("{}",)], "value string")
+    plan = parse_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
+    # What is left: four counts, each named twice, and the sidechain flag.
+    assert plan.lower().count("schemaofvariant.schemaofvariant") <= 9
