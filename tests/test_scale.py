@@ -8,6 +8,7 @@ import pytest
 from conftest import DAY, at, call, event, events_frame, rows_of, used
 from pyspark.sql import functions as F
 
+import registered_queries
 from registered_queries import registered
 from turnledger.functions.clock import Window, month_of
 from turnledger.operators.claims import claim_usage, usage_owners
@@ -284,3 +285,48 @@ def test_long_lines_are_not_held_on_disk_in_full(spark):
     assert sum(row["lines"] for row in found.collect()) == sample.table(spark, SMALL, "events").count()
     (own,) = set(work.glob("long-*")) - before
     assert sum(path.stat().st_size for path in own.rglob("*") if path.is_file()) < 5 << 20
+
+
+def tables_of(spark, folder, ids):
+    """Events of the given ids, and an order of two calls for every third of them."""
+    rows = [(i, i or 0) for i in ids]
+    events = spark.createDataFrame(rows, "event_id long, user_id long").select(
+        "event_id",
+        F.timestamp_millis(F.lit(at(1)) + F.col("user_id") * 1000).alias("ts"),
+        "user_id",
+        F.lit("click").alias("event_type"),
+        F.lit(1.0).alias("value"),
+        F.lit('{"k": 1}').alias("props"),
+    )
+    events.write.parquet(f"{folder}/events.parquet")
+    orders = [(i, n, "A", 1, i) for i in ids if i is not None and i % 3 == 0 for n in (2, 1)]
+    columns = "l_orderkey long, l_linenumber int, l_returnflag string, l_suppkey long, l_partkey long"
+    spark.createDataFrame(orders, columns).write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_many_lines_land_in_more_files_in_their_order(spark, folder, monkeypatch):
+    monkeypatch.setattr(registered_queries, "LANDED_LINES", 30)
+    # Far from evenly spread, two alike and one without a number.
+    ids = [None, *range(200), *range(10**6, 10**6 + 200), 10**12, 10**12]
+    tables_of(spark, folder, ids)
+    registered_queries._land(spark, folder, f"{folder}/logs", 4)
+    files = sorted(Path(f"{folder}/logs").glob("*.txt"))
+    lines = [path.read_text().splitlines() for path in files]
+    assert len(files) > 8 and max(map(len, lines)) <= 60
+    made = [line for file in lines for line in file]
+    expected = sample.transcript_lines(sample.raw_events(spark, folder, True)).orderBy("seq")
+    assert made == [row["value"] for row in expected.collect()]
+    assert len(made) == len(ids)
+
+
+def test_landing_does_not_sample_the_records(spark, folder):
+    tables_of(spark, folder, range(50))
+    records = sample.raw_events(spark, folder, tool_calls=True)
+    plan = plan_of(registered_queries._ordered(records, records.select("seq"), 4))
+    assert "rangepartitioning" not in plan
+
+
+def test_calls_are_gathered_after_the_shuffle_only(spark, folder):
+    tables_of(spark, folder, range(50))
+    plan = plan_of(sample._calls_per_order(spark, folder))
+    assert "partial_collect_list" in plan.split("Exchange")[0]
