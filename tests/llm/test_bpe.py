@@ -97,3 +97,14 @@ def test_special_cases_of_the_table(spark, library):
     assert found == sorted(((i, *expected(library, t)) for i, t, _ in rows), key=str)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.round_trip(empty, PATH).collect() == []
+
+
+def test_full_table_is_set_aside_not_copied(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_RUNS", 2)
+    runs = bpe.Remembered()
+    for number, key in enumerate(runs.missing(iter("abc"))):
+        runs.table[key] = number
+    full = runs.table
+    assert runs.missing(iter("bd")) == ["d"]
+    assert runs.older is full
+    assert runs.table == {"b": 1}

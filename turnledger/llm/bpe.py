@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
 from itertools import chain, count
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -54,22 +55,25 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
-class Remembered(dict):
+class Remembered:
     """A table of bounded size: what was not asked for since it last filled up goes."""
 
     def __init__(self):
-        super().__init__()
+        self.table: dict = {}
         self.older: dict = {}
 
-    def missing(self, keys: set) -> list:
+    def missing(self, keys: Iterable) -> list:
         """The keys that have to be made; all others are in the table from here on."""
-        if len(self) > MAX_RUNS:
-            self.older = dict(self)
-            self.clear()
-        wanted = keys.difference(self)
-        known = self.older.keys() & wanted
-        self.update((k, self.older[k]) for k in known)
-        return list(wanted - known)
+        if len(self.table) > MAX_RUNS:
+            self.older, self.table = self.table, {}
+        table, older, new = self.table, self.older, []
+        for key in keys:
+            if key not in table:
+                if (known := older.get(key)) is None:
+                    new.append(key)
+                else:
+                    table[key] = known
+        return new
 
 
 class Encoder:
@@ -348,10 +352,10 @@ class Encoder:
             if part
         ]
 
-    def known(self, runs: set[str]) -> dict[str, tuple[str, int, bytes]]:
-        """Ids as text, their number and the bytes they decode to, by run."""
-        table = self._runs
-        new = table.missing(runs)
+    def known(self, runs: Iterable[str]) -> dict[str, tuple[str, int, bytes]]:
+        """Ids as text, their number and the bytes they decode to, by run, each given once."""
+        new = self._runs.missing(runs)
+        table = self._runs.table
         for start in range(0, len(new), AT_ONCE):
             part = new[start : start + AT_ONCE]
             found = [self._pattern.findall(r) for r in part]
@@ -402,21 +406,30 @@ def coded(texts: list[str], own: Encoder) -> Iterator[tuple[int, str, str]]:
     """Number of ids, hash of the ids and hash of the decoded text, per text."""
     at = 0
     while at < len(texts):
-        number, held, size = numbering(), [], 0
+        number, held, size, special_runs = numbering(), [], 0, []
         while at < len(texts) and size < STEP:
             size += len(texts[at])
             runs = []
             for special, plain in own.sections(texts[at]):
-                runs += map(number.__getitem__, [(special,)] if special else plain)
+                if special:
+                    # A run of its own kind, as a tuple is no text.
+                    special_runs.append((special,))
+                    plain = special_runs[-1:]
+                runs += map(number.__getitem__, plain)
             held.append(runs)
             at += 1
-        table = own.known({r for r in number if isinstance(r, str)})
-        rows = [table[r] if isinstance(r, str) else own.special_row(*r) for r in number]
+        if special_runs:
+            table = own.known(r for r in number if isinstance(r, str))
+            rows = [table[r] if isinstance(r, str) else own.special_row(*r) for r in number]
+        else:
+            rows = list(map(own.known(number).__getitem__, number))
         ids, sizes, raw = zip(*rows)
         for runs in held:
-            text = b"".join(map(raw.__getitem__, runs)).decode("utf-8", "replace").encode()
-            joined = ",".join(map(ids.__getitem__, runs)).encode()
-            yield sum(map(sizes.__getitem__, runs)), hashlib.sha256(joined).hexdigest(), hashlib.sha256(text).hexdigest()
+            # Of one run alone it gives no tuple, so the first is asked for twice.
+            pick = itemgetter(runs[0], *runs)
+            text = b"".join(pick(raw)[1:]).decode("utf-8", "replace").encode()
+            joined = ",".join(pick(ids)[1:]).encode()
+            yield sum(pick(sizes)[1:]), hashlib.sha256(joined).hexdigest(), hashlib.sha256(text).hexdigest()
 
 
 def round_trip(
