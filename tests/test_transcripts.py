@@ -2,6 +2,7 @@ import json
 
 import pytest
 from conftest import TEXT, one, rows_of
+from pyspark.sql import functions as F
 
 from turnledger.sources.transcripts import parse_lines
 
@@ -234,3 +235,10 @@ def test_no_schema_is_worked_out_for_a_string(spark):
     plan = parse_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
     # What is left: four counts, each named twice, and the sidechain flag.
     assert plan.lower().count("schemaofvariant.schemaofvariant") <= 9
+
+
+def test_a_filter_on_the_status_types_no_line_twice(spark):
+    lines = spark.range(3).select(F.concat(F.lit('{"type":"user","n":'), "id", F.lit("}")).alias("value"))
+    kept = parse_lines(lines).where(F.col("status") == "record").select("id", "ts")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("isValid()") == 1
