@@ -10,6 +10,7 @@ from turnledger.operators.pricing import price_table
 from turnledger.plans import ingest as plan
 from turnledger.plans.ingest import Source, ingest
 from turnledger.sources import store as stores
+from turnledger.sources import transcripts
 from turnledger.sources.transcripts import (
     changed_files,
     list_files,
@@ -479,3 +480,19 @@ def test_months_are_told_by_event_time(spark, folder, prices):
     assert sorted(name for name in os.listdir(f"{folder}/store/events") if "=" in name) == [
         "month=2026-07", "month=2026-08",
     ]
+
+
+def test_a_run_walks_the_folders_once(spark, folder, no_prices, monkeypatch):
+    os.makedirs(f"{folder}/logs/.hidden")
+    with open(f"{folder}/logs/.hidden/1.jsonl", "w") as file:
+        file.write('{"type":"user","timestamp":"2026-08-01T10:00:00Z","message":{"content":"x"}}\n')
+    walks, original = [], transcripts.walked
+
+    def counted(*given):
+        walks.append(given)
+        return original(*given)
+
+    monkeypatch.setattr(transcripts, "walked", counted)
+    monkeypatch.setattr(plan, "walked", counted)
+    assert one(ingest(spark, f"{folder}/logs", f"{folder}/store", no_prices, 1))["new_events"] == 1
+    assert len(walks) == 1
