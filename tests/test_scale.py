@@ -330,3 +330,36 @@ def test_calls_are_gathered_after_the_shuffle_only(spark, folder):
     tables_of(spark, folder, range(50))
     plan = plan_of(sample._calls_per_order(spark, folder))
     assert "partial_collect_list" in plan.split("Exchange")[0]
+
+
+@pytest.mark.parametrize("mended", [False, True])
+def test_damaged_files_are_landed_without_values_that_hold_a_file(spark, folder, monkeypatch, mended):
+    monkeypatch.setattr(registered_queries, "FILE_LINES", 20)
+    monkeypatch.setattr(registered_queries, "BROKEN_AT", 14)
+    stored, hashed = [], "spark.sql.execution.useObjectHashAggregateExec"
+    real = registered_queries.staged
+
+    def staged(rows, place):
+        written = real(rows, place)
+        text = F.max(F.size(F.split(written.columns[-1], "\n")))
+        stored.append(written.agg(text).first()[0])
+        return written
+
+    monkeypatch.setattr(registered_queries, "staged", staged)
+    tables_of(spark, folder, [None, *range(70), 34, 94, 94])
+    before = spark.conf.get(hashed)
+    registered_queries._land_damaged(spark, folder, f"{folder}/logs", mended)
+    assert max(stored, default=1) == 1 and spark.conf.get(hashed) == before
+    lines = sample.transcript_lines(sample.raw_events(spark, folder, True)).orderBy("seq", "value")
+    expected = defaultdict(bytes)
+    for number, line in lines.collect():
+        if number is None:
+            continue
+        line = line.replace('"sessionId":"s-', '"sessionId":"\\ud800s-') if number % 89 == 5 else line
+        bad = not mended and number // 20 % 2 == 0 and number % 20 == 14
+        expected[number // 20] += b"\xe2\x82" * bad + line.encode() + b"\n"
+    for file in () if mended else [file for file in expected if file % 2]:
+        expected[file] += b'{"type":"user","timest '
+    found = {p.parent.name: p.read_bytes() for p in Path(f"{folder}/logs").glob("file=[0-9]*/*.txt")}
+    assert found == {f"file={file}": text for file, text in expected.items()}
+    assert not Path(f"{folder}/logs-lines").exists()
