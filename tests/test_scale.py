@@ -363,3 +363,29 @@ def test_damaged_files_are_landed_without_values_that_hold_a_file(spark, folder,
     found = {p.parent.name: p.read_bytes() for p in Path(f"{folder}/logs").glob("file=[0-9]*/*.txt")}
     assert found == {f"file={file}": text for file, text in expected.items()}
     assert not Path(f"{folder}/logs-lines").exists()
+
+
+def test_copies_that_land_for_a_stream_are_packed(spark, folder):
+    tables_of(spark, folder, range(400))
+    lines = sample.transcript_lines(sample.raw_events(spark, folder, True))
+    texts = lines.agg(F.sum(F.octet_length("value"))).first()[0]
+    work = Path(shared_folder(spark)) / "turnledger"
+    before = set(work.glob("streamed-*"))
+    found = rows_of(registered()["stream_dedup"](spark, folder))
+    assert {int(row["id"], 16) for row in found} and len(found) == sum(n % 101 > 0 and n % 103 > 0 for n in range(400))
+    (own,) = set(work.glob("streamed-*")) - before
+    landed = [path for path in own.glob("logs/[abc]/*") if path.name.startswith("part-")]
+    assert len(landed) == 12 and sum(path.stat().st_size for path in landed) < texts / 2
+    # Neither state nor stored tables are larger than they need to be.
+    assert list(own.glob("checkpoint/state/0/*/*.zip")) and not list(own.glob("checkpoint/state/0/*/*.delta"))
+    assert all(".zstd." in path.name for path in own.rglob("store/events/month=*/part-*"))
+
+
+def test_damaged_files_go_when_the_mended_ones_are_read(spark, folder):
+    tables_of(spark, folder, range(2100))
+    work = Path(shared_folder(spark)) / "turnledger"
+    before = set(work.glob("damaged-*"))
+    found = rows_of(registered()["transcript_bad_bytes"](spark, folder).orderBy("run"))
+    assert [row["files_behind"] for row in found] == [2, 0]
+    (own,) = set(work.glob("damaged-*")) - before
+    assert not list(own.glob("logs-*"))

@@ -149,3 +149,12 @@ def test_files_are_taken_in_batches(spark, folder, prices):
     query = stream(spark, folder, prices, files_per_batch=1)
     assert len([p for p in query.recentProgress if p["numInputRows"]]) == 3
     assert len(stored(spark, f"{folder}/store")) == 3
+
+
+def test_shuffle_files_of_a_batch_go_with_it(spark, folder, prices, monkeypatch):
+    done = []
+    monkeypatch.setattr("turnledger.streaming.ingest.let_go", lambda own: done.append(own))
+    for number in range(2):
+        write_lines(folder, f"landing/{number}.jsonl", [said(f"u{number}", number)])
+    stream(spark, folder, prices, files_per_batch=1)
+    assert len(done) == 2
